@@ -105,7 +105,7 @@ def route_rules(
 
 
 def route_many(posts: DataFrame, rules: DataFrame, value: str = "value") -> DataFrame:
-    """``route_rules`` for any number of rules, by one equality join.
+    """``route_rules`` for any number of rules, by equality joins.
 
     Each condition is filed under one key: an account rule under the account id, a
     keyword condition under the first letters (at most ``GRAM``) of its longest term,
@@ -134,19 +134,27 @@ def route_many(posts: DataFrame, rules: DataFrame, value: str = "value") -> Data
         found = F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
         return F.transform(F.array_distinct(found), lambda g: F.concat(F.lit("~"), g))
 
-    ids = F.coalesce(accounts(F.col(value)), F.array().cast("array<string>"))
+    ids = F.coalesce(accounts(F.col("_raw")), F.array().cast("array<string>"))
     offered = F.concat(
         F.array(F.lit("~")),
         F.transform(ids, lambda i: F.concat(F.lit("@"), i)),
         *[letter_groups(n) for n in range(1, GRAM + 1)],
     )
-    # One numbering of the posts and one branch, so the number identifies a post.
-    numbered = posts.withColumn("_low", F.lower(value)).withColumn("_post", F.monotonically_increasing_id())
-    matched = (
-        numbered.select("*", F.explode(offered).alias("_key"))
+    # What a post matches depends on its text alone, so candidates are found and tested
+    # per text digest; the narrow rows of the letter groups never carry the text.
+    digest = F.sha2(value, 256)
+    texts = posts.select(digest.alias("_post"), F.lower(value).alias("_low"), F.col(value).alias("_raw"))
+    candidates = (
+        texts.select("_post", F.explode(offered).alias("_key"))
         .join(filed.select("_key", "_terms").distinct(), "_key")
+        .distinct()
+    )
+    hits = (
+        texts.join(candidates, "_post")
         .where(F.forall("_terms", lambda t: F.contains(low, t)))
-        .drop("_low")
+        .select("_post", "_key", "_terms")
+        .join(filed, ["_key", "_terms"])
+        .select("_post", "event")
+        .distinct()
     )
-    routed = matched.join(filed, ["_key", "_terms"]).dropDuplicates(["_post", "event"])
-    return routed.select("event", *posts.columns)
+    return posts.withColumn("_post", digest).join(hits, "_post").select("event", *posts.columns)

@@ -16,7 +16,7 @@ from postmill.operators import catalogue as cat
 from postmill.operators import geotag, mentions, paging, predicates, projections, routing, search, upsert, volume
 from postmill.operators.predicates import Expression, PostQuery, Predicate
 from postmill.plans import fixtures as fx
-from postmill.schema import EVENTS, POST
+from postmill.schema import EVENTS, FILE_INDEX
 from postmill.session import scratch_path
 from postmill.sinks.snapshots import SnapshotStore
 from postmill.sources import tables, timeline
@@ -48,7 +48,7 @@ def project_nested(spark, d):
     rows = projections.authors_and_media(fx.order_posts(spark, d))
     return rows.select(
         "id_str", "user", "user_id_str",
-        F.size("media").cast("bigint").alias("n_media"),
+        F.size("media").cast("string").alias("n_media"),
         F.get(F.get(F.get("bounding_box", F.lit(0)), F.lit(0)), F.lit(0)).alias("low_lon"),
     )
 
@@ -149,7 +149,8 @@ def route_rules_many(spark, d):
 # ---- mentions, media, geo ----------------------------------------------------
 
 def _joined_names(rows):
-    return rows.withColumn("user", F.array_join("user", ","))
+    """Flat columns: names as comma text, the id (null for mentions without one) as text."""
+    return rows.withColumn("user", F.array_join("user", ",")).withColumn("user_id", F.col("user_id").cast("string"))
 
 
 def mentions_ranking(spark, d):
@@ -313,7 +314,9 @@ def index_refresh(spark, d):
     cut = F.to_timestamp(F.lit("2024-01-20 00:00:00"))
     late = (F.col("event") == "click") & (F.col("hour") == F.to_timestamp(F.lit("2024-01-19 20:00:00")))
     seen = files.where((F.col("hour") < cut) & ~late).select("filename")
-    before = volume.file_offsets(volume.file_listing(seen))
+    path = scratch_path(spark, "index")
+    volume.file_offsets(volume.file_listing(seen)).write.parquet(path)
+    before = tables.read_table(spark, path, FILE_INDEX)
     return volume.index_refresh(before, volume.file_listing(files.select("filename")))
 
 
