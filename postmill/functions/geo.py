@@ -43,20 +43,50 @@ def lat_cell(lat: Column, precision: int) -> Column:
     return F.when(lat.between(-90.0, 90.0), cell)
 
 
+def _two_letters(lon5: int, lat5: int) -> str:
+    """The two letters that five column bits and five row bits interleave to."""
+    z = 0
+    for bit in range(4, -1, -1):
+        z = (z << 2) | ((lon5 >> bit & 1) << 1) | (lat5 >> bit & 1)
+    return ALPHABET[z >> 5] + ALPHABET[z & 31]
+
+
+def _one_letter(lon3: int, lat2: int) -> str:
+    """The last letter of an odd length: three column bits around two row bits."""
+    bits = (lon3 >> 2, lat2 >> 1, lon3 >> 1, lat2, lon3)
+    return ALPHABET[int("".join(str(b & 1) for b in bits), 2)]
+
+
+def _lookup(entries: list) -> Column:
+    """An array constant; built from one text so that the plan stays small."""
+    if isinstance(entries[0], int):
+        return F.split(F.lit(",".join(map(str, entries))), ",").cast("array<bigint>")
+    return F.split(F.lit(",".join(entries)), ",")
+
+
+# Tables indexed by 32 * column bits + row bits, and by 32 * first letter + second letter.
+PAIRS = [_two_letters(x, y) for x in range(32) for y in range(32)]
+SINGLES = [_one_letter(x, y) for x in range(8) for y in range(4)]
+PAIR_AT = {pair: divmod(i, 32) for i, pair in enumerate(PAIRS)}
+SINGLE_AT = {letter: divmod(i, 4) for i, letter in enumerate(SINGLES)}
+
+
+def _bits(idx: Column, shift: int, width: int) -> Column:
+    moved = F.shiftright(idx, shift) if shift else idx
+    return moved.bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
+
+
 def cells_to_hash(lon_idx: Column, lat_idx: Column, precision: int) -> Column:
-    """Geohash text of a grid cell."""
-    lon_bits, lat_bits = grid_bits(precision)
-    chars = []
-    for k in range(precision):
-        value = None
-        for place in range(5):
-            bit = 5 * k + place
-            idx, bits = (lon_idx, lon_bits) if bit % 2 == 0 else (lat_idx, lat_bits)
-            digit = F.shiftright(idx, bits - 1 - bit // 2).bitwiseAND(F.lit(1).cast("bigint"))
-            term = digit * (16 >> place)
-            value = term if value is None else value + term
-        chars.append(F.substring(F.lit(ALPHABET), (value + 1).cast("int"), F.lit(1)))
-    return F.concat(*chars)
+    """Geohash text of a grid cell: one table look-up per two letters."""
+    lon_left, lat_left = grid_bits(precision)
+    letters = []
+    while lat_left >= 5:
+        lon_left, lat_left = lon_left - 5, lat_left - 5
+        at = _bits(lon_idx, lon_left, 5) * 32 + _bits(lat_idx, lat_left, 5)
+        letters.append(F.get(_lookup(PAIRS), at))
+    if lon_left:
+        letters.append(F.get(_lookup(SINGLES), _bits(lon_idx, 0, 3) * 4 + _bits(lat_idx, 0, 2)))
+    return F.concat(*letters)
 
 
 def geohash_encode(lat: Column, lon: Column, precision: int = STORED_PRECISION) -> Column:
@@ -66,20 +96,23 @@ def geohash_encode(lat: Column, lon: Column, precision: int = STORED_PRECISION)
 
 def hash_to_cells(geo_hash: Column, precision: int) -> tuple[Column, Column]:
     """(grid column, grid row) of the first ``precision`` characters of a geohash."""
-    lon_bits, lat_bits = grid_bits(precision)
-    lon_idx = lat_idx = None
-    for k in range(precision):
-        value = F.instr(F.lit(ALPHABET), F.substring(geo_hash, k + 1, 1)).cast("bigint") - 1
-        for place in range(5):
-            bit = 5 * k + place
-            digit = F.shiftright(value, 4 - place).bitwiseAND(F.lit(1).cast("bigint"))
-            if bit % 2 == 0:
-                term = digit * (1 << (lon_bits - 1 - bit // 2))
-                lon_idx = term if lon_idx is None else lon_idx + term
-            else:
-                term = digit * (1 << (lat_bits - 1 - bit // 2))
-                lat_idx = term if lat_idx is None else lat_idx + term
-    return lon_idx, lat_idx
+
+    def letter(k: int) -> Column:
+        place = F.instr(F.lit(ALPHABET), F.substring(geo_hash, k + 1, 1)).cast("bigint") - 1
+        return F.when(place >= 0, place)
+
+    by_letters = [PAIR_AT[a + b] for a in ALPHABET for b in ALPHABET]
+    by_letter = [SINGLE_AT[a] for a in ALPHABET]
+    columns, rows = [F.lit(0).cast("bigint")], [F.lit(0).cast("bigint")]
+    for k in range(0, precision - 1, 2):
+        at = letter(k) * 32 + letter(k + 1)
+        for axis, out in ((0, columns), (1, rows)):
+            out.append(out[-1] * 32 + F.get(_lookup([c[axis] for c in by_letters]), at))
+    if precision % 2:
+        at = letter(precision - 1)
+        columns.append(columns[-1] * 8 + F.get(_lookup([c[0] for c in by_letter]), at))
+        rows.append(rows[-1] * 4 + F.get(_lookup([c[1] for c in by_letter]), at))
+    return columns[-1], rows[-1]
 
 
 def geohash_decode(geo_hash: Column, precision: int = STORED_PRECISION) -> Column:

@@ -22,7 +22,7 @@ def split_list(value: Column, separator: str = ",") -> Column:
 
     The empty text is one empty item; a text of separators only has no item.
     """
-    kept = F.regexp_replace(value, f"[{separator}]+$", "")
+    kept = F.rtrim(value, F.lit(separator))
     return (
         F.when(value == "", F.array(F.lit("")))
         .when(kept == "", F.array().cast("array<string>"))

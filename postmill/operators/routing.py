@@ -16,6 +16,8 @@ from postmill.schema import COVID19, FOLLOWS, POST_ACCOUNTS
 # Rules are compared with every post while there are at most this many conditions.
 MAX_BROADCAST_CONDITIONS = 2000
 GRAM = 3
+# Marks account keys; longer than any letter group, so the two never coincide.
+ACCOUNT = "account:"
 
 
 def java_trim(value: Column) -> Column:
@@ -31,8 +33,16 @@ def keyword_terms(condition: Column) -> Column:
 def match_keyword(value: Column, condition: str | Column) -> Column:
     """Every term of the condition occurs in the lower-cased raw text of the post."""
     condition = F.lit(condition) if isinstance(condition, str) else condition
-    lowered = F.lower(value)
-    return F.forall(keyword_terms(condition), lambda term: F.contains(lowered, term))
+    return _once(F.lower(value), lambda low: _has_terms(low, keyword_terms(condition)))
+
+
+def _has_terms(lowered: Column, terms: Column) -> Column:
+    return F.forall(terms, lambda term: F.contains(lowered, term))
+
+
+def _once(value: Column, test) -> Column:
+    """``test(value)`` with the value worked out once, however often the test uses it."""
+    return F.exists(F.array(value), test)
 
 
 def accounts(value: Column) -> Column:
@@ -61,7 +71,10 @@ def match_all(value: Column) -> Column:
 def match_any_condition(value: Column, conditions: str | Column) -> Column:
     """Any item of a comma list of keyword conditions matches."""
     conditions = F.lit(conditions) if isinstance(conditions, str) else conditions
-    return F.exists(split_list(conditions), lambda c: match_keyword(value, c))
+    return _once(
+        F.lower(value),
+        lambda low: F.exists(split_list(conditions), lambda c: _has_terms(low, keyword_terms(c))),
+    )
 
 
 def event_rules(rules: DataFrame) -> DataFrame:
@@ -97,9 +110,7 @@ def route_rules(
             F.col("match_key") == FOLLOWS,
             F.coalesce(F.arrays_overlap("_ids", "_conditions"), F.lit(False)),
         )
-        .otherwise(
-            F.exists("_terms", lambda terms: F.forall(terms, lambda t: F.contains(F.col("_low"), t)))
-        )
+        .otherwise(F.exists("_terms", lambda terms: _has_terms(F.col("_low"), terms)))
     )
     return prepared.join(F.broadcast(per_event), hit).select("event", *posts.columns)
 
@@ -123,21 +134,20 @@ def route_many(posts: DataFrame, rules: DataFrame, value: str = "value") -> Data
     filed = single.withColumn("match_key", F.coalesce("match_key", F.lit(""))).select(
         "event",
         F.when(is_follow, F.array().cast("array<string>")).otherwise(F.array_distinct(terms)).alias("_terms"),
-        F.when(is_follow, F.concat(F.lit("@"), F.col("condition")))
-        .otherwise(F.concat(F.lit("~"), F.substring(F.array_max(sized)["t"], 1, GRAM)))
+        F.when(is_follow, F.concat(F.lit(ACCOUNT), F.col("condition")))
+        .otherwise(F.substring(F.array_max(sized)["t"], 1, GRAM))
         .alias("_key"),
     )
     low = F.col("_low")
 
     def letter_groups(n: int) -> Column:
         # Overlapping groups: an empty match at every place that n letters follow.
-        found = F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-        return F.transform(F.array_distinct(found), lambda g: F.concat(F.lit("~"), g))
+        return F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
     ids = F.coalesce(accounts(F.col("_raw")), F.array().cast("array<string>"))
     offered = F.concat(
-        F.array(F.lit("~")),
-        F.transform(ids, lambda i: F.concat(F.lit("@"), i)),
+        F.array(F.lit("")),
+        F.transform(ids, lambda i: F.concat(F.lit(ACCOUNT), i)),
         *[letter_groups(n) for n in range(1, GRAM + 1)],
     )
     # What a post matches depends on its text alone, so candidates are found and tested
@@ -151,7 +161,7 @@ def route_many(posts: DataFrame, rules: DataFrame, value: str = "value") -> Data
     )
     hits = (
         texts.join(candidates, "_post")
-        .where(F.forall("_terms", lambda t: F.contains(low, t)))
+        .where(_has_terms(low, F.col("_terms")))
         .select("_post", "_key", "_terms")
         .join(filed, ["_key", "_terms"])
         .select("_post", "event")
