@@ -33,16 +33,21 @@ def wrap_longitude(lon: Column) -> Column:
 def lon_cell(lon: Column, precision: int) -> Column:
     """Grid column of a longitude; the +180 edge belongs to the last column."""
     n = 1 << grid_bits(precision)[0]
-    return F.least(F.floor((wrap_longitude(lon) + 180.0) / 360.0 * float(n)), F.lit(n - 1))
+    return _at_most(F.floor((wrap_longitude(lon) + 180.0) / 360.0 * float(n)), n - 1)
 
 
 def lat_cell(lat: Column, precision: int) -> Column:
     """Grid row of a latitude; null outside [-90, 90]."""
     n = 1 << grid_bits(precision)[1]
-    cell = F.least(F.floor((lat + 90.0) / 180.0 * float(n)), F.lit(n - 1))
+    cell = _at_most(F.floor((lat + 90.0) / 180.0 * float(n)), n - 1)
     return F.when(lat.between(-90.0, 90.0), cell)
 
 
+def _at_most(cell: Column, top: int) -> Column:
+    # Not ``least``, which would turn a null into the limit.
+    return F.when(cell > top, F.lit(top).cast("bigint")).otherwise(cell)
+
+
 def _two_letters(lon5: int, lat5: int) -> str:
     """The two letters that five column bits and five row bits interleave to."""
     z = 0
@@ -173,7 +178,7 @@ def geohash_cover(
 
 
 def _clip(lat: Column) -> Column:
-    return F.least(F.greatest(lat, F.lit(-90.0)), F.lit(90.0))
+    return F.when(lat > 90.0, 90.0).when(lat < -90.0, -90.0).otherwise(lat)
 
 
 def in_box_cells(geo_hash: Column, box: tuple[float, float, float, float], precision: int) -> Column:

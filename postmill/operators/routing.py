@@ -145,10 +145,11 @@ def route_many(posts: DataFrame, rules: DataFrame, value: str = "value") -> Data
         return F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
     ids = F.coalesce(accounts(F.col("_raw")), F.array().cast("array<string>"))
+    # At most GRAM + 1 different lengths come back; posts only offer those in use.
+    in_use = filed.where(F.size("_terms") > 0).select(F.length("_key").alias("n")).distinct().collect()
     offered = F.concat(
-        F.array(F.lit("")),
         F.transform(ids, lambda i: F.concat(F.lit(ACCOUNT), i)),
-        *[letter_groups(n) for n in range(1, GRAM + 1)],
+        *[letter_groups(row.n) if row.n else F.array(F.lit("")) for row in in_use],
     )
     # What a post matches depends on its text alone, so candidates are found and tested
     # per text digest; the narrow rows of the letter groups never carry the text.

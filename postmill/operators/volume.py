@@ -6,6 +6,8 @@ end_index), offsets running over an event's files in name order.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,17 +17,20 @@ INDEX_COLUMNS = ["event", "filename", "timestamp", "start_index", "end_index"]
 UNCERTAINTY = 10
 
 
+def relative_name(path: Column, root: str) -> Column:
+    """A full file path without the ``root`` folder in front, whatever way both are spelled."""
+    plain = F.regexp_replace(path, r"^file:/*", "/")
+    folder = re.sub(r"^file:/*", "/", root).rstrip("/") + "/"
+    return F.when(plain.startswith(folder), F.substring(plain, F.lit(len(folder) + 1), F.length(plain))).otherwise(path)
+
+
 def file_listing(files: DataFrame, root: str | None = None) -> DataFrame:
     """(event, filename, timestamp, size) parsed from a column of stored file names.
 
     Only ``.json.gz`` names with a write time and a row count are kept. ``root`` is cut
     from the front of full paths; the event is the first folder of what remains.
     """
-    name = F.col("filename")
-    if root is not None:
-        name = F.regexp_replace(name, r"^file:/*", "/")
-        cut = root.removeprefix("file://").removeprefix("file:").rstrip("/") + "/"
-        name = F.regexp_replace(name, "^" + _quote(cut), "")
+    name = F.col("filename") if root is None else relative_name(F.col("filename"), root)
     parsed = files.select(name.alias("filename")).select(
         F.substring_index("filename", "/", 1).alias("event"),
         "filename",
@@ -35,10 +40,6 @@ def file_listing(files: DataFrame, root: str | None = None) -> DataFrame:
     return parsed.where(F.col("timestamp").isNotNull() & F.col("size").isNotNull())
 
 
-def _quote(text: str) -> str:
-    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-
-
 def running_start(
     rows: DataFrame, key: str, order: list[str], levels: list[Column], value: str, name: str
 ) -> DataFrame:
@@ -90,9 +91,14 @@ def file_levels() -> list[Column]:
     ]
 
 
-def file_offsets(listing: DataFrame) -> DataFrame:
+def batch_levels() -> list[Column]:
+    """Buckets along the names of files landed by batch: ten thousand batches, one batch."""
+    return [F.substring("filename", 1, len("batch=") + 8), F.substring("filename", 1, len("batch=") + 12)]
+
+
+def file_offsets(listing: DataFrame, levels: list[Column] | None = None) -> DataFrame:
     """Offset index of a complete listing, from zero per event."""
-    rows = running_start(listing, "event", ["filename"], file_levels(), "size", "start_index")
+    rows = running_start(listing, "event", ["filename"], levels or file_levels(), "size", "start_index")
     return _index(rows)
 
 
@@ -106,7 +112,9 @@ def latest_files(index: DataFrame, n: int = UNCERTAINTY) -> DataFrame:
     return index.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= n).drop("_rank")
 
 
-def index_refresh(index: DataFrame, listing: DataFrame, uncertainty: int = UNCERTAINTY) -> DataFrame:
+def index_refresh(
+    index: DataFrame, listing: DataFrame, uncertainty: int = UNCERTAINTY, levels: list[Column] | None = None
+) -> DataFrame:
     """New index state after looking at the current file listing.
 
     Files that appeared among an event's last ``uncertainty`` indexed ones make those
@@ -135,7 +143,7 @@ def index_refresh(index: DataFrame, listing: DataFrame, uncertainty: int = UNCER
         .withColumn("_end", F.coalesce("_end", F.lit(0)))
         .drop("_last")
     )
-    appended = running_start(new, "event", ["filename"], file_levels(), "size", "start_index")
+    appended = running_start(new, "event", ["filename"], levels or file_levels(), "size", "start_index")
     appended = appended.withColumn("start_index", F.col("start_index") + F.col("_end"))
     return kept.unionByName(_index(appended))
 
@@ -169,8 +177,12 @@ def page_files(index: DataFrame, start: int, end: int, event: str | None = None)
     """
     if event is not None:
         index = index.where(F.col("event") == event)
-    hit = index.where((F.col("start_index") < end) & (F.col("end_index") > start))
-    return hit.orderBy("event", "start_index")
+    return _overlapping(index, start, end).orderBy("event", "start_index")
+
+
+def _overlapping(index: DataFrame, start: int, end: int) -> DataFrame:
+    overlap = (F.col("start_index") < end) & (F.col("end_index") > start)
+    return index.where(overlap & (F.col("end_index") > F.col("start_index")))
 
 
 def page_positions(page: int, count: int) -> tuple[int, int]:
@@ -188,7 +200,7 @@ def page_posts(posts: DataFrame, index: DataFrame, order: list[str], page: int,
     by its writer's row limit and the kept files by the page length.
     """
     start, end = page_positions(page, count)
-    files = index.where((F.col("start_index") < end) & (F.col("end_index") > start))
+    files = _overlapping(index, start, end)
     inside = Window.partitionBy("event", "filename").orderBy(*order)
     return (
         posts.join(files.select("event", "filename", "start_index"), ["event", "filename"])

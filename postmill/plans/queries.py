@@ -555,7 +555,7 @@ def stream_source(spark, d):
 
 def _landed(spark, root):
     path = F.concat_ws("/", "year", "month", "day", "hour")
-    return collect.read_landed(spark, root).select(
+    return tables.read_lines(spark, root).select(
         "event", path.alias("folder"), F.get_json_object("value", "$.id_str").alias("id_str")
     )
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from postmill.operators.volume import page_files, page_positions, relative_name
+
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A table stored as a Parquet folder."""
@@ -49,16 +51,46 @@ def stored_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def landed_files(spark: SparkSession, root: str, glob: str = "*.gz") -> DataFrame:
-    """(event, filename, timestamp ms, size) of landed files that Spark has named.
+    """(event, filename, timestamp ms, size) of files landed by batch, names below ``root``.
+
+    Spark names these files, so the row count is counted instead of read from the name.
+    """
+    lines = read_lines(spark, root, glob)
+    return lines.groupBy(
+        "event",
+        relative_name(F.col("_metadata.file_path"), root).alias("filename"),
+        F.unix_millis("_metadata.file_modification_time").alias("timestamp"),
+    ).agg(F.count(F.lit(1)).alias("size"))
+
 
-    Used where the file name does not carry the row count; it is counted instead.
+def read_lines(spark: SparkSession, root: str, glob: str = "*.gz") -> DataFrame:
+    """Landed lines with batch, event and hour columns; the folder columns prune the scan."""
+    schema = "value string, batch bigint, event string, year string, month string, day string, hour string"
+    return spark.read.schema(schema).option("pathGlobFilter", glob).text(root)
+
+
+def read_page(spark: SparkSession, root: str, index: DataFrame, event: str, page: int = 1, count: int = 100) -> DataFrame:
+    """(position, value) of one page of an event's stored posts.
+
+    Only the files that overlap the page are opened. Each of them holds at least one of
+    at most ``count`` positions, so the list of names brought to the driver is bounded.
     """
-    lines = spark.read.option("pathGlobFilter", glob).option("basePath", root).text(root)
+    start, end = page_positions(page, count)
+    files = page_files(index, start, end, event).select("filename", "start_index").collect()
+    if not files:
+        return spark.createDataFrame([], "position bigint, value string")
+    offsets = spark.createDataFrame(files, "filename string, start_index bigint")
+    lines = spark.read.text([f"{root.rstrip('/')}/{f.filename}" for f in files]).select(
+        "value",
+        relative_name(F.col("_metadata.file_path"), root).alias("filename"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    # A compressed file is read by one task from its first line on, so ids follow its lines.
+    in_file = Window.partitionBy("filename").orderBy("_at")
+    placed = lines.withColumn("_line", F.row_number().over(in_file) - 1).join(F.broadcast(offsets), "filename")
+    position = F.col("start_index") + F.col("_line")
     return (
-        lines.groupBy(
-            "event",
-            F.col("_metadata.file_path").alias("filename"),
-            F.unix_millis("_metadata.file_modification_time").alias("timestamp"),
-        )
-        .agg(F.count(F.lit(1)).alias("size"))
+        placed.select(position.alias("position"), "value")
+        .where((F.col("position") >= start) & (F.col("position") < end))
+        .orderBy("position")
     )

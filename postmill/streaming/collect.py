@@ -101,7 +101,7 @@ def collect_posts(
 
     def land(batch: DataFrame, batch_id: int) -> None:
         current = rules(batch.sparkSession) if callable(rules) else rules
-        write_hourly(route_rules(batch, current), f"{root}/batch={batch_id}", now(), rows_per_file)
+        write_hourly(route_rules(batch, current), f"{root}/batch={batch_id:012d}", now(), rows_per_file)
 
     return lines.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
 
@@ -111,9 +111,3 @@ def drain(writer: DataStreamWriter) -> StreamingQuery:
     query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
     return query
-
-
-def read_landed(spark: SparkSession, root: str) -> DataFrame:
-    """Landed lines with batch, event and hour columns; the folder columns prune the scan."""
-    schema = "value string, batch bigint, event string, year string, month string, day string, hour string"
-    return spark.read.schema(schema).option("pathGlobFilter", "*.txt.gz").text(root)
