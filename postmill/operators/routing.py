@@ -99,18 +99,17 @@ def route_rules(
     single = event_rules(rules)
     if single.limit(max_conditions + 1).count() > max_conditions:
         return route_many(posts, rules, value)
-    per_event = single.groupBy("event", "match_key").agg(
-        F.collect_set("condition").alias("_conditions"),
-        F.collect_set(keyword_terms(F.col("condition"))).alias("_terms"),
+    kind = F.coalesce("match_key", F.lit(""))
+    per_event = single.groupBy("event").agg(
+        F.max(kind == COVID19).alias("_every"),
+        F.collect_set(F.when(kind == FOLLOWS, F.col("condition"))).alias("_accounts"),
+        F.collect_set(F.when(~kind.isin(FOLLOWS, COVID19), keyword_terms(F.col("condition")))).alias("_terms"),
     )
     prepared = posts.withColumn("_low", F.lower(value)).withColumn("_ids", accounts(F.col(value)))
     hit = (
-        F.when(F.col("match_key") == COVID19, F.lit(True))
-        .when(
-            F.col("match_key") == FOLLOWS,
-            F.coalesce(F.arrays_overlap("_ids", "_conditions"), F.lit(False)),
-        )
-        .otherwise(F.exists("_terms", lambda terms: _has_terms(F.col("_low"), terms)))
+        F.col("_every")
+        | F.coalesce(F.arrays_overlap("_ids", "_accounts"), F.lit(False))
+        | F.exists("_terms", lambda terms: _has_terms(F.col("_low"), terms))
     )
     return prepared.join(F.broadcast(per_event), hit).select("event", *posts.columns)
 
