@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.functions.text import slug
@@ -59,22 +59,20 @@ def event_terms(events: DataFrame, terms: DataFrame) -> DataFrame:
 def gather_terms(rows: DataFrame, keys: list[str], distinct: bool = False) -> DataFrame:
     """Term lists per key, sorted, as comma text ``terms``.
 
-    Sizes are summed first and a list over ``MAX_LIST_BYTES`` raises an error before it
-    is built, so a group is only gathered when it is known to fit.
+    Repetitions are folded to counts first. The size of each list is then summed, over
+    rows that may spill, and a list over ``MAX_LIST_BYTES`` raises an error before it is
+    built, so a group is only gathered when it is known to fit. The sum and the gathering
+    share one shuffle.
     """
     if distinct:
-        rows = rows.select(*keys, "term").distinct()
-    counted = rows.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = counted.groupBy(*keys).agg(
-        F.sum((F.octet_length("term") + 1) * F.col("_n")).alias("_bytes")
-    )
-    fits = F.when(
-        F.col("_bytes") > MAX_LIST_BYTES,
-        F.raise_error(F.concat(F.lit("term list too long: "), F.col("_bytes").cast("string"))).cast("boolean"),
-    ).otherwise(F.lit(True))
-    checked = sizes.where(fits).select(*keys)
-    kept = counted.join(checked, keys, "left_semi") if keys else counted
-    repeated = F.flatten(F.collect_list(F.array_repeat("term", F.col("_n").cast("int"))))
+        counted = rows.select(*keys, "term").distinct().withColumn("_n", F.lit(1))
+    else:
+        counted = rows.groupBy(*keys, "term").agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    size = F.sum((F.octet_length("term") + 1) * F.col("_n")).over(Window.partitionBy(*keys))
+    too_long = F.concat(F.lit("term list too long: "), F.col("_bytes").cast("string"), F.lit(" bytes"))
+    fits = F.when(F.col("_bytes") <= MAX_LIST_BYTES, F.lit(True)).otherwise(F.raise_error(too_long).cast("boolean"))
+    kept = counted.withColumn("_bytes", size).where(fits)
+    repeated = F.flatten(F.collect_list(F.array_repeat("term", F.col("_n"))))
     return kept.groupBy(*keys).agg(F.array_join(F.array_sort(repeated), ",").alias("terms"))
 
 
@@ -106,7 +104,7 @@ def active_terms(events: DataFrame, terms: DataFrame, column: str) -> DataFrame:
 def active_term_string(events: DataFrame, terms: DataFrame) -> DataFrame:
     """Per match key one comma text of the distinct terms of active events."""
     live = events.where(F.col("status") == ACTIVE).select(F.col("normalized_name").alias("event_name"))
-    rows = terms.distinct().join(live, "event_name", "left_semi")
+    rows = terms.join(live, "event_name", "left_semi")
     return gather_terms(rows, ["match_key"], distinct=True)
 
 

@@ -13,8 +13,10 @@ from postmill.functions.posts import parse_post
 from postmill.functions.text import split_list
 from postmill.schema import COVID19, FOLLOWS, POST_ACCOUNTS
 
-# Rules are compared with every post while there are at most this many conditions.
+# Rules are compared with every post, and sent to every task for it, while there are at
+# most this many conditions and their texts fit in this many bytes.
 MAX_BROADCAST_CONDITIONS = 2000
+MAX_BROADCAST_BYTES = 8 << 20
 GRAM = 3
 # Marks account keys; longer than any letter group, so the two never coincide.
 ACCOUNT = "account:"
@@ -92,12 +94,16 @@ def route_rules(
 ) -> DataFrame:
     """(event, post columns) for every post and event whose rule it meets.
 
-    A small rule table (counted here, so its size is known) is broadcast and compared
+    A small rule table (measured here, so its size is known) is broadcast and compared
     with each post in one pass, grouped per event so that no post is emitted twice. A
     larger one goes through ``route_many``, where equality joins find the candidates.
     """
     single = event_rules(rules)
-    if single.limit(max_conditions + 1).count() > max_conditions:
+    size = single.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum(F.octet_length("event") + F.octet_length("condition")), F.lit(0)).alias("bytes"),
+    ).first()
+    if size.n > max_conditions or size.bytes > MAX_BROADCAST_BYTES:
         return route_many(posts, rules, value)
     kind = F.coalesce("match_key", F.lit(""))
     per_event = single.groupBy("event").agg(

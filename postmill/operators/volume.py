@@ -41,7 +41,7 @@ def file_listing(files: DataFrame, root: str | None = None) -> DataFrame:
 
 
 def running_start(
-    rows: DataFrame, key: str, order: list[str], levels: list[Column], value: str, name: str
+    rows: DataFrame, key: list[str], order: list[str], levels: list[Column], value: str, name: str
 ) -> DataFrame:
     """Adds ``name``: the sum of ``value`` over the rows of the key before this one.
 
@@ -53,18 +53,18 @@ def running_start(
     buckets = [f"_b{i}" for i in range(len(levels))]
     rows = rows.select("*", *[c.alias(b) for c, b in zip(levels, buckets)])
     starts = None
-    totals = rows.groupBy(key, *buckets).agg(F.sum(value).alias("_sum"))
+    totals = rows.groupBy(*key, *buckets).agg(F.sum(value).alias("_sum"))
     tables = [totals]
     for depth in range(len(buckets) - 1, 0, -1):
-        tables.insert(0, tables[0].groupBy(key, *buckets[:depth]).agg(F.sum("_sum").alias("_sum")))
+        tables.insert(0, tables[0].groupBy(*key, *buckets[:depth]).agg(F.sum("_sum").alias("_sum")))
     for depth, table in enumerate(tables):
-        above, here = [key, *buckets[:depth]], buckets[depth]
+        above, here = [*key, *buckets[:depth]], buckets[depth]
         window = _before(above, [here])
         step = table.withColumn("_before", F.coalesce(F.sum("_sum").over(window), F.lit(0))).drop("_sum")
         if starts is not None:
             step = step.join(starts, above).withColumn("_before", F.col("_before") + F.col("_outer")).drop("_outer")
         starts = step.withColumnRenamed("_before", "_outer")
-    keys = [key, *buckets]
+    keys = [*key, *buckets]
     inside = F.coalesce(F.sum(value).over(_before(keys, order)), F.lit(0))
     return (
         rows.withColumn(name, inside)
@@ -98,7 +98,7 @@ def batch_levels() -> list[Column]:
 
 def file_offsets(listing: DataFrame, levels: list[Column] | None = None) -> DataFrame:
     """Offset index of a complete listing, from zero per event."""
-    rows = running_start(listing, "event", ["filename"], levels or file_levels(), "size", "start_index")
+    rows = running_start(listing, ["event"], ["filename"], levels or file_levels(), "size", "start_index")
     return _index(rows)
 
 
@@ -122,30 +122,32 @@ def index_refresh(
     appended with offsets going on from it.
     """
     tail = latest_files(index, uncertainty)
-    span = tail.groupBy("event").agg(F.min("filename").alias("_low"), F.max("filename").alias("_high"))
+    span = tail.groupBy("event").agg(
+        F.min("filename").alias("_low"),
+        F.max("filename").alias("_high"),
+        F.min("start_index").alias("_start"),
+        F.max("end_index").alias("_end"),
+    )
     late = (
         listing.join(span, "event")
         .where(F.col("filename").between(F.col("_low"), F.col("_high")))
-        .join(index.select("event", "filename"), ["event", "filename"], "left_anti")
-        .select("event")
+        .join(tail.select("event", "filename"), ["event", "filename"], "left_anti")
+        .select("event", F.lit(True).alias("_late"))
         .distinct()
     )
-    redo = span.join(late, "event", "left_semi").select("event", "_low")
-    kept = (
-        index.join(redo, "event", "left")
-        .where(F.col("_low").isNull() | (F.col("filename") < F.col("_low")))
-        .select(*INDEX_COLUMNS)
-    )
-    last = kept.groupBy("event").agg(F.max("filename").alias("_last"), F.max("end_index").alias("_end"))
-    new = (
-        listing.join(last, "event", "left")
-        .where(F.col("_last").isNull() | (F.col("filename") > F.col("_last")))
-        .withColumn("_end", F.coalesce("_end", F.lit(0)))
-        .drop("_last")
+    # One row per event: index rows from ``_low`` on are redone, or nothing is.
+    cut = span.join(late, "event", "left").withColumn("_late", F.coalesce("_late", F.lit(False)))
+    kept = index.join(cut, "event").where(~F.col("_late") | (F.col("filename") < F.col("_low")))
+    fresh = (
+        F.col("_late").isNull()
+        | (F.col("filename") > F.col("_high"))
+        | (F.col("_late") & (F.col("filename") >= F.col("_low")))
     )
-    appended = running_start(new, "event", ["filename"], levels or file_levels(), "size", "start_index")
-    appended = appended.withColumn("start_index", F.col("start_index") + F.col("_end"))
-    return kept.unionByName(_index(appended))
+    base = F.coalesce(F.when(F.col("_late"), F.col("_start")).otherwise(F.col("_end")), F.lit(0))
+    new = listing.join(cut, "event", "left").where(fresh).select(*listing.columns, base.alias("_base"))
+    appended = running_start(new, ["event"], ["filename"], levels or file_levels(), "size", "start_index")
+    appended = appended.withColumn("start_index", F.col("start_index") + F.col("_base"))
+    return kept.select(*INDEX_COLUMNS).unionByName(_index(appended))
 
 
 def event_totals(index: DataFrame, events: DataFrame | None = None) -> DataFrame:
@@ -192,19 +194,22 @@ def page_positions(page: int, count: int) -> tuple[int, int]:
     return (page - 1) * count, page * count
 
 
-def page_posts(posts: DataFrame, index: DataFrame, order: list[str], page: int, count: int) -> DataFrame:
+def page_posts(
+    posts: DataFrame, index: DataFrame, order: list[str], levels: list[Column], page: int, count: int
+) -> DataFrame:
     """The posts of one page of every event, with their global ``position``.
 
-    ``posts`` carries event and filename; ``order`` is the order inside a file. Only
-    files that overlap the page are kept before anything is ranked; a file is bounded
-    by its writer's row limit and the kept files by the page length.
+    ``posts`` carries event and filename; ``order`` is the order inside a file and
+    ``levels`` are buckets along it. Only files that overlap the page are kept before
+    anything is numbered, and the buckets spread a file of any size over many tasks.
     """
     start, end = page_positions(page, count)
-    files = _overlapping(index, start, end)
-    inside = Window.partitionBy("event", "filename").orderBy(*order)
+    files = _overlapping(index, start, end).select("event", "filename", "start_index")
+    near = posts.join(files, ["event", "filename"]).withColumn("_one", F.lit(1))
+    placed = running_start(near, ["event", "filename"], order, levels, "_one", "_line")
+    position = F.col("start_index") + F.col("_line")
     return (
-        posts.join(files.select("event", "filename", "start_index"), ["event", "filename"])
-        .withColumn("position", F.col("start_index") + F.row_number().over(inside) - 1)
+        placed.withColumn("position", position)
         .where((F.col("position") >= start) & (F.col("position") < end))
-        .drop("start_index")
+        .drop("start_index", "_one", "_line")
     )

@@ -300,7 +300,8 @@ def page_tweets(spark, d):
     index = _index(spark, d)
     files = fx.hour_files(spark, d)
     located = posts.join(files, ["event", "hour"])
-    page = volume.page_posts(located, index, ["ts_us", "post_id"], page=3, count=100)
+    levels = [F.floor(F.col("ts_us") / 60_000_000), F.floor(F.col("ts_us") / 1_000_000)]
+    page = volume.page_posts(located, index, ["ts_us", "post_id"], levels, page=3, count=100)
     return page.select("event", "position", "post_id")
 
 

@@ -1,7 +1,8 @@
 """Versioned result snapshots: ``<root>/data/<job>/<event>/run_ms=<ms>/`` plus a manifest.
 
-The manifest gets a row after a snapshot is completely written, so it marks the
-snapshot as valid and carries its row count; a reader never sees a half-written run.
+The manifest of a job and event gets a row after a snapshot is completely written, so it
+marks the snapshot as valid and carries its row count; a reader never sees a half-written
+run.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ class SnapshotStore:
     def _path(self, job: str, event: str, run_ms: int) -> str:
         return f"{self.root}/data/{job}/{event}/run_ms={run_ms}"
 
+    def _manifest(self, job: str, event: str) -> str:
+        return f"{self.root}/manifest/{job}/{event}"
+
     def write(
         self, rows: DataFrame, job: str, event: str, run_ms: int, fmt: str = "parquet", **options
     ) -> int:
@@ -41,21 +45,24 @@ class SnapshotStore:
         counted.write.mode("overwrite").format(fmt).options(**options).save(self._path(job, event, run_ms))
         count = seen.get["row_count"]
         entry = self.spark.createDataFrame([Row(job, event, run_ms, count, fmt)], MANIFEST)
-        entry.write.mode("append").parquet(f"{self.root}/manifest")
+        entry.write.mode("append").parquet(self._manifest(job, event))
         return count
 
     def runs(self) -> DataFrame:
         """All complete snapshots."""
+        return self._entries(f"{self.root}/manifest")
+
+    def _entries(self, path: str) -> DataFrame:
         try:
-            return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest")
+            return self.spark.read.schema(MANIFEST).option("recursiveFileLookup", "true").parquet(path)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             return self.spark.createDataFrame([], MANIFEST)
 
     def latest_run(self, job: str, event: str) -> Run | None:
-        """The newest complete snapshot of a job and event: one row from the manifest."""
-        mine = self.runs().where((F.col("job") == job) & (F.col("event") == event))
+        """The newest complete snapshot of a job and event: one row of its manifest."""
+        mine = self._entries(self._manifest(job, event))
         found = mine.orderBy(F.desc("run_ms")).limit(1).collect()
         return Run(found[0].run_ms, found[0].row_count, found[0].format) if found else None
 
