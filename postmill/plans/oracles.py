@@ -296,6 +296,8 @@ ORACLES = {
         SELECT id_str, text, CAST(ms AS VARCHAR) AS timestamp_ms, source, {USER}, ms FROM text_posts WHERE {TREE}
         ORDER BY ms, id_str LIMIT 50 OFFSET 50) SELECT * EXCLUDE (ms) FROM hits""",
     "search_cached": f"WITH {BASE} SELECT id_str, text, CAST(ms AS VARCHAR) AS timestamp_ms, source, {USER} FROM text_posts WHERE {TREE}",
+    "search_curated": f"""WITH {BASE} SELECT id_str, ms AS created_ms FROM text_posts
+        WHERE ms BETWEEN 883612800000 AND 946684800000 AND lang = 'en' AND {TREE}""",
     "page_meta": f"""WITH t AS (SELECT count(*) AS n FROM ({WORDS}{TREE}))
         SELECT 'storm' AS event_name, CAST(2 AS BIGINT) AS page, CAST(50 AS BIGINT) AS "count", CAST(n AS BIGINT) AS total_count,
         CAST(ceil(n / 50.0) AS BIGINT) AS num_pages, CAST(greatest(0, least(50, n - 50)) AS BIGINT) AS tweet_count,

@@ -6,7 +6,6 @@ result asked for.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.functions import geo, text, times
@@ -18,6 +17,7 @@ from postmill.operators.predicates import Expression, PostQuery, Predicate
 from postmill.plans import fixtures as fx
 from postmill.schema import EVENTS, FILE_INDEX
 from postmill.session import scratch_path
+from postmill.sinks import curated
 from postmill.sinks.snapshots import SnapshotStore
 from postmill.sources import tables, timeline
 from postmill.streaming import collect
@@ -80,7 +80,7 @@ def filter_hashtag_any(spark, d):
     return PostQuery(hashtags="machinery,1-Urgent").apply(posts).select("id_str")
 
 
-def _words(kind, words):
+def _words(kind: str, words: str):
     def run(spark, d):
         posts = fx.text_posts(spark, d, authors=False)
         return posts.transform(predicates.words_match(kind, words)).select("id_str")
@@ -100,6 +100,13 @@ def filter_full_query_legacy(spark, d):
     return FULL.apply(fx.text_posts(spark, d), legacy=True).select("id_str")
 
 
+def search_curated(spark, d):
+    path = scratch_path(spark, "curated")
+    curated.write_curated(fx.text_posts(spark, d), path)
+    query = PostQuery([TREE], start_ms=START_MS, end_ms=END_MS, language="en")
+    return curated.search_curated(spark.read.parquet(path), query).select("id_str", "created_ms")
+
+
 def search_tweets(spark, d):
     page = search.search_page(fx.text_posts(spark, d), PostQuery([TREE]), page=2, count=50)
     return page.select(*projections.POST_FIELDS, "user.*")
@@ -657,6 +664,7 @@ QUERIES = {
     "filter_full_query_legacy": filter_full_query_legacy,
     "search_tweets": search_tweets,
     "search_cached": search_cached,
+    "search_curated": search_curated,
     "page_meta": page_meta,
     "page_results": page_results,
     "page_by_position": page_by_position,

@@ -60,6 +60,24 @@ def test_stored_time_and_language_reach_the_scan(spark, tmp_path):
     assert "ReadSchema: struct<created_ms:bigint,lang:string>" in text
 
 
+def test_curated_search_prunes_months(spark, tmp_path):
+    from postmill.sinks import curated
+
+    path = str(tmp_path / "curated")
+    posts = spark.createDataFrame(
+        [("1", "Fri Dec 31 00:00:00 +0000 1999", "en"), ("2", "Sun Jan 02 00:00:00 +0000 2000", "en"), ("3", "bad", "en")],
+        "id_str string, created_at string, lang string",
+    )
+    curated.write_curated(posts, path)
+    found = curated.search_curated(
+        spark.read.parquet(path), PostQuery(start_ms=946771200000, language="en"), text=F.lit(""), full_text=F.lit("")
+    )
+    text = plan(found)
+    assert "PartitionFilters: [isnotnull(month" in text and ">= 2000-01)" in text
+    assert "GreaterThanOrEqual(created_ms,946771200000)" in text
+    assert [r.id_str for r in found.collect()] == ["2"]
+
+
 def test_ranking_shuffles_only_partial_sums(spark):
     text = plan(entry.queries()["mentions_ranking"](spark, SF))
     assert "partial_sum" in text and "ReadSchema" in text
