@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.functions.text import slug
-from postmill.schema import ACTIVE, COVID19, FOLLOWS, KEYWORDS, PAUSE_EVENT, START_EVENT
+from postmill.operators.upsert import first_per_key
+from postmill.schema import ACTIVE, COVID19, CREATE_EVENT, FOLLOWS, KEYWORDS, PAUSE_EVENT, START_EVENT
 
 EVENT_COLUMNS = ["name", "normalized_name", "status", "description", "author"]
 
@@ -127,14 +128,34 @@ def lifecycle_log(diff: DataFrame, author: str, now: Column) -> DataFrame:
     )
 
 
-def creation_log(events: DataFrame, now: Column, kind: str = "CREATE_EVENT") -> DataFrame:
+def creation_log(events: DataFrame, now: Column) -> DataFrame:
     """Activity rows for newly inserted events."""
     return events.select(
-        F.lit(kind).alias("type"), now.alias("time"), "author",
+        F.lit(CREATE_EVENT).alias("type"), now.alias("time"), "author",
         F.col("normalized_name").alias("event_name"),
     )
 
 
+def add_events(
+    events: DataFrame, terms: DataFrame, activity: DataFrame, new: DataFrame, now: Column
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows to append to (events, terms, activity) for new events.
+
+    ``new`` has name, description, author, status, match_key and a keyword list. Invalid
+    events and events whose normalized name is taken are left out; of new events with the
+    same normalized name the first by name is taken.
+    """
+    valid = validate_events(new).where(F.size("reasons") == 0).drop("reasons")
+    head = [*EVENT_COLUMNS, "match_key", "keywords"]
+    first = first_per_key(valid.select(*head), ["normalized_name"], ["name", "description"])
+    added = first.join(events.select("normalized_name"), "normalized_name", "left_anti")
+    event_rows = added.select(*EVENT_COLUMNS)
+    term_rows = added.select(
+        F.col("normalized_name").alias("event_name"), F.explode("keywords").alias("term"), "match_key"
+    ).select(*terms.columns)
+    return event_rows, term_rows, creation_log(added, now).select(*activity.columns)
+
+
 def set_status(events: DataFrame, changes: DataFrame) -> DataFrame:
     """Event table after status changes (``normalized_name``, ``status``; one row per event)."""
     new = changes.select("normalized_name", F.col("status").alias("_new"))

@@ -18,10 +18,10 @@ def first_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFra
     return best.select(*[F.col(k) if k in keys else F.col(f"_first.{k}").alias(k) for k in rows.columns])
 
 
-def insert_or_ignore(
+def new_rows(
     target: DataFrame, batch: DataFrame, keys: list[str], order: list[str] | None = None, unique: bool = False
 ) -> DataFrame:
-    """New state of ``target`` after adding batch rows whose key it lacks.
+    """Batch rows to append to ``target``: those whose key it lacks, one per key.
 
     Of batch rows with the same key the first in ``order`` wins; ``unique=True`` says the
     batch has one row per key. Rows with a null in the key never conflict.
@@ -33,7 +33,14 @@ def insert_or_ignore(
             no_key = no_key | F.col(k).isNull()
         solo = batch.withColumn("_solo", F.when(no_key, F.monotonically_increasing_id()).otherwise(-1))
         batch = first_per_key(solo, [*keys, "_solo"], order).drop("_solo")
-    return target.unionByName(batch.join(target.select(*keys), keys, "left_anti").select(*target.columns))
+    return batch.join(target.select(*keys), keys, "left_anti").select(*target.columns)
+
+
+def insert_or_ignore(
+    target: DataFrame, batch: DataFrame, keys: list[str], order: list[str] | None = None, unique: bool = False
+) -> DataFrame:
+    """State of ``target`` after appending its ``new_rows``."""
+    return target.unionByName(new_rows(target, batch, keys, order, unique))
 
 
 def exists_flags(wanted: DataFrame, table: DataFrame, keys: list[str], name: str = "found") -> DataFrame:

@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.operators.geotag import INDEX_FIELDS, geotag_extract, geotag_index_load
+from postmill.operators.geotag import geotag_extract, geotag_index_rows
 from postmill.operators.mentions import media_extract, mentions_ranking
 from postmill.operators.paging import page_by_position, with_positions
+from postmill.operators.upsert import new_rows
 from postmill.schema import GEO_INDEX
 from postmill.sinks.snapshots import SnapshotStore
 from postmill.sources.timeline import read_timeline
 
 
+TAGS = (
+    "user string, user_id_str string, geo_hash string, created_at string, tweet_id_str string, "
+    "lang string, source string, in_reply_to_user_id_str string, text string, "
+    "retweeted_status struct<user: struct<id_str: string>>, image_link string, media_pos int"
+)
+
+
 def run_mentions(store: SnapshotStore, posts: DataFrame, event: str, run_ms: int) -> int:
     """Publish the mention ranking with positions; returns the number of accounts."""
     ranked = mentions_ranking(posts, ordered=False)
@@ -32,23 +40,21 @@ def run_geotag(store: SnapshotStore, posts: DataFrame, event: str, run_ms: int)
     return store.write(rows, "geotag", event, run_ms, fmt="json", compression="gzip")
 
 
-def load_geotag_index(store: SnapshotStore, event: str, run_ms: int) -> int:
-    """Add an event's newest geo-tag snapshot to the geo-tag index table."""
-    tags = store.latest("geotag", event, schema=TAGS).withColumn("event", F.lit(event))
-    if store.latest_run("table", "geo_tag_index") is None:
-        index = store.spark.createDataFrame([], GEO_INDEX)
-    else:
-        index = store.latest("table", "geo_tag_index")
-    # Sorted by hash so that box queries skip most of the files' row groups.
-    loaded = geotag_index_load(tags, index.select(*INDEX_FIELDS), "media_pos")
-    return store.write(loaded.orderBy("event", "geo_hash"), "table", "geo_tag_index", run_ms)
+def geotag_index(store: SnapshotStore, event: str) -> DataFrame:
+    """The geo-tag index of an event."""
+    return store.parts("geo_tag_index", event, GEO_INDEX)
 
 
-TAGS = (
-    "user string, user_id_str string, geo_hash string, created_at string, tweet_id_str string, "
-    "lang string, source string, in_reply_to_user_id_str string, text string, "
-    "retweeted_status struct<user: struct<id_str: string>>, image_link string, media_pos int"
-)
+def load_geotag_index(store: SnapshotStore, event: str, run_ms: int) -> int:
+    """Append what an event's newest geo-tag snapshot adds to its index; returns the row count.
+
+    Only this event's index is compared, nothing stored is rewritten, and a part sorted
+    by geohash lets box queries skip most of its row groups.
+    """
+    tags = store.latest("geotag", event, schema=TAGS).withColumn("event", F.lit(event))
+    fresh = geotag_index_rows(tags, "media_pos")
+    added = new_rows(geotag_index(store, event), fresh, ["event", "tweet_id_str"], unique=True)
+    return store.write(added.orderBy("geo_hash"), "geo_tag_index", event, run_ms)
 
 
 def analyse_event(spark: SparkSession, landing: str, results: str, event: str, run_ms: int) -> dict[str, int]:

@@ -401,7 +401,7 @@ ORACLES = {
         UNION ALL SELECT 'benchmark', CAST(item_id AS VARCHAR), text FROM benchmark
         UNION ALL SELECT 'conversations', CAST(conv_id AS VARCHAR), text FROM conversations""",
     "stream_source": "SELECT CAST(doc_id AS VARCHAR) AS id_str, lang FROM documents",
-    "stream_sink": "SELECT CAST(doc_id AS VARCHAR) AS id_str, lang FROM documents",
+    "stream_sink": "SELECT 'turn-' || conv_id || '-' || turn AS id_str, text FROM conversations",
     "land_hourly": f"WITH {ROUTED} SELECT event, {FOLDER}, id_str FROM routed",
     "restart_exactly_once": f"WITH {ROUTED} SELECT event, {FOLDER}, id_str FROM routed UNION ALL SELECT event, {FOLDER}, id_str FROM talk_routed",
     "rule_refresh": f"""WITH {ROUTED} SELECT event, {FOLDER}, id_str FROM routed WHERE event = 'fire'

@@ -561,6 +561,18 @@ def stream_source(spark, d):
     )
 
 
+def stream_sink(spark, d):
+    """A framed feed copied to a sink, line by line."""
+    path, out = scratch_path(spark, "feed"), scratch_path(spark, "copy")
+    blank = fx.table(spark, d, "pages").select(F.lit("").alias("value"))
+    _talk(spark, d).unionByName(blank).write.option("lineSep", "\r\n").text(path)
+    lines = collect.file_source(spark, path, crlf=True)
+    collect.drain(collect.file_sink(lines, out, scratch_path(spark, "checkpoint")))
+    return spark.read.text(out).select(
+        F.get_json_object("value", "$.id_str").alias("id_str"), F.get_json_object("value", "$.text").alias("text")
+    )
+
+
 def _landed(spark, root):
     path = F.concat_ws("/", "year", "month", "day", "hour")
     return tables.read_lines(spark, root).select(
@@ -723,7 +735,7 @@ QUERIES = {
     "frame_lines": frame_lines,
     "union_partitions": union_partitions,
     "stream_source": stream_source,
-    "stream_sink": stream_source,
+    "stream_sink": stream_sink,
     "land_hourly": land_hourly,
     "restart_exactly_once": restart_exactly_once,
     "rule_refresh": rule_refresh,

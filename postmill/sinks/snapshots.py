@@ -75,3 +75,10 @@ class SnapshotStore:
         if schema is not None:
             reader = reader.schema(schema)
         return reader.load(self._path(job, event, run.run_ms))
+
+    def parts(self, job: str, event: str, schema: str) -> DataFrame:
+        """Rows of all complete runs together: a table that grows by one part per run."""
+        runs = self._entries(self._manifest(job, event)).select("run_ms").distinct().collect()
+        if not runs:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[self._path(job, event, r.run_ms) for r in runs])

@@ -56,6 +56,23 @@ def test_sync_and_log(spark, events):
     }
 
 
+def test_new_events(spark, events):
+    terms = spark.createDataFrame([], "event_name string, term string, match_key string")
+    activity = spark.createDataFrame([], "type string, time timestamp, author string, event_name string")
+    new = spark.createDataFrame(
+        [
+            ("A  B", "taken", "u", "ACTIVE", "KEYWORDS", ["k"]), ("New One", "d", "u", "ACTIVE", "KEYWORDS", ["x", "y"]),
+            ("new one", "second", "u", "ACTIVE", "FOLLOWS", ["1"]), ("Bad", "", "u", "ACTIVE", "KEYWORDS", ["k"]),
+        ],
+        "name string, description string, author string, status string, match_key string, keywords array<string>",
+    )
+    rows = cat.add_events(events, terms, activity, new, F.lit("2024-01-01").cast("timestamp"))
+    heads, words, log = ([tuple(r) for r in part.collect()] for part in rows)
+    assert heads == [("New One", "new-one", "ACTIVE", "d", "u")]
+    assert sorted(words) == [("new-one", "x", "KEYWORDS"), ("new-one", "y", "KEYWORDS")]
+    assert [(r[0], r[2], r[3]) for r in log] == [("CREATE_EVENT", "u", "new-one")]
+
+
 def test_status_change(spark, events):
     changes = spark.createDataFrame([("c", "FAILED")], "normalized_name string, status string")
     got = {r.normalized_name: r.status for r in cat.set_status(events, changes).collect()}

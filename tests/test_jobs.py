@@ -87,8 +87,9 @@ def test_analysis_from_landed_files_to_pages(spark, landing, tmp_path):
     assert [r.user_id for r in jobs.snapshot_page(store, "mentions", "storm", 2, 2).collect()] == [None]
     assert jobs.snapshot_page(store, "media", "storm").count() == 2
     assert jobs.load_geotag_index(store, "storm", 2000) == 1
-    assert jobs.load_geotag_index(store, "storm", 3000) == 1
-    found = geo_box_query(store.latest("table", "geo_tag_index"), (51.0, 9.0, 49.0, 11.0)).collect()
+    assert jobs.load_geotag_index(store, "storm", 3000) == 0
+    assert jobs.geotag_index(store, "other").count() == 0
+    found = geo_box_query(jobs.geotag_index(store, "storm"), (51.0, 9.0, 49.0, 11.0)).collect()
     assert [(r.event, r.tweet_id_str, r.image_link, r.is_retweet) for r in found] == [("storm", "1", "m1", False)]
     assert abs(found[0].coordinates[0] - 10) < 1e-4 and abs(found[0].coordinates[1] - 50) < 1e-4
 
