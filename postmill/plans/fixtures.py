@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.functions.times import created_at, file_name
-from postmill.schema import COVID19, FOLLOWS, KEYWORDS, MEDIA, MENTION
+from postmill.schema import COVID19, FOLLOWS, KEYWORDS, MEDIA, MENTION, TABLES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -275,4 +275,4 @@ def rules(spark: SparkSession) -> DataFrame:
         ("fire", KEYWORDS, "with"),
         ("everything", COVID19, ""),
     ]
-    return spark.createDataFrame(rows, "event string, match_key string, condition string")
+    return spark.createDataFrame(rows, TABLES["rules"])

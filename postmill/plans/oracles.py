@@ -393,7 +393,8 @@ ORACLES = {
     "scan_tolerant": "SELECT CAST(doc_id AS VARCHAR) AS id_str, lang FROM documents",
     "scan_quarantine": r"""SELECT 'post' AS kind, CAST(doc_id AS VARCHAR) AS value FROM documents
         UNION ALL SELECT 'bad', v FROM (SELECT regexp_replace(text, '[\r\n]+', ' ', 'g') AS v FROM conversations) WHERE trim(v) <> ''""",
-    "scan_catalogue": f"WITH {CATALOGUE} SELECT name, normalized_name, status, description, author FROM cat",
+    "scan_catalogue": f"""WITH {CATALOGUE} SELECT name, normalized_name, status, description, author, term AS keyword
+        FROM cat JOIN term_rows USING (s_suppkey) WHERE cat.match_key = 'KEYWORDS'""",
     "adhoc_sql": f"WITH {BASE} SELECT lang, count(*) AS posts, count(full_text) AS long_posts FROM text_posts GROUP BY lang",
     "frame_lines": "SELECT CAST(doc_id AS VARCHAR) AS id_str FROM documents",
     "union_partitions": """SELECT 'documents' AS feed, CAST(doc_id AS VARCHAR) AS id, text FROM documents

@@ -15,7 +15,7 @@ from postmill.operators import catalogue as cat
 from postmill.operators import geotag, mentions, paging, predicates, projections, routing, search, upsert, volume
 from postmill.operators.predicates import Expression, PostQuery, Predicate
 from postmill.plans import fixtures as fx
-from postmill.schema import EVENTS, FILE_INDEX
+from postmill.schema import FILE_INDEX
 from postmill.session import scratch_path
 from postmill.sinks import curated
 from postmill.sinks.snapshots import SnapshotStore
@@ -652,9 +652,13 @@ def snapshot_latest(spark, d):
 
 
 def scan_catalogue(spark, d):
-    path = scratch_path(spark, "table")
-    fx.catalogue(spark, d).withColumn("created_at", F.lit(None).cast("timestamp")).write.parquet(path)
-    return tables.read_table(spark, path, EVENTS).drop("created_at")
+    """Events with their keywords, both read back as stored tables."""
+    root = scratch_path(spark, "tables")
+    fx.catalogue(spark, d).withColumn("created_at", F.lit(None).cast("timestamp")).write.parquet(f"{root}/events")
+    fx.keywords(spark, d).write.parquet(f"{root}/keywords")
+    events, words = (tables.read_named(spark, root, n) for n in ("events", "keywords"))
+    rows = events.join(words, events.normalized_name == words.event_name)
+    return rows.select("name", "normalized_name", "status", "description", "author", "keyword")
 
 
 QUERIES = {

@@ -43,16 +43,27 @@ EVENTS = (
     "name string, normalized_name string, status string, created_at timestamp, "
     "description string, author string"
 )
-EVENT_ACTIVITY = "type string, time timestamp, author string, event_name string"
-TERMS = "event_name string, term string"
 FILE_INDEX = "event string, filename string, timestamp bigint, start_index bigint, end_index bigint"
-ANNOTATION = "tweet_id string, tag string, event_name string, authuser string"
 GEO_INDEX = (
     "event string, geo_hash string, created_at string, username string, user_id_str string, "
     "tweet_id_str string, lang string, source string, in_reply_to_user_id_str string, "
     "text string, image_link string, is_retweet boolean"
 )
 
+# The relational tables by name.
+TABLES = {
+    "events": EVENTS,
+    "event_activity": "type string, time timestamp, author string, event_name string",
+    "keywords": "event_name string, keyword string",
+    "follows": "event_name string, follow string",
+    "covid19": "event_name string",
+    "tweets": "tweet_id string, tweet string",
+    "annotation": "tweet_id string, tag string, event_name string, authuser string",
+    "geo_tag_index": GEO_INDEX,
+    "event_index": FILE_INDEX,
+    "rules": "event string, match_key string, condition string",
+}
+
 # Event states, activity kinds, and the topic each match key reads.
 ACTIVE, NOT_ACTIVE, FAILED = "ACTIVE", "NOT_ACTIVE", "FAILED"
 CREATE_EVENT, START_EVENT, PAUSE_EVENT = "CREATE_EVENT", "START_EVENT", "PAUSE_EVENT"

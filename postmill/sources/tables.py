@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postmill.operators.volume import page_files, page_positions, relative_name
+from postmill.schema import TABLES
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -14,6 +15,11 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return reader.parquet(path)
 
 
+def read_named(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """One of the relational tables, with its fixed schema, from ``<root>/<name>``."""
+    return read_table(spark, f"{root.rstrip('/')}/{name}", TABLES[name])
+
+
 def jdbc_options(
     url: str,
     table: str,
