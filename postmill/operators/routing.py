@@ -80,10 +80,12 @@ def match_any_condition(value: Column, conditions: str | Column) -> Column:
 
 
 def event_rules(rules: DataFrame) -> DataFrame:
-    """One row per (event, match_key, single condition), repetitions removed."""
-    return rules.select(
-        "event", "match_key", F.explode(split_list(F.col("condition"))).alias("condition")
-    ).distinct()
+    """One row per (event, match_key, single condition), repetitions removed.
+
+    A match-all rule needs no condition.
+    """
+    listed = F.when(F.col("match_key") == COVID19, F.array(F.lit(""))).otherwise(split_list(F.col("condition")))
+    return rules.select("event", "match_key", F.explode(listed).alias("condition")).distinct()
 
 
 def route_rules(

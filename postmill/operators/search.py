@@ -23,7 +23,7 @@ def search_page(
 ) -> DataFrame:
     """One page of matching posts by post time and id, the user nested."""
     hits = search_posts(posts, query, **columns)
-    order = [F.col("timestamp_ms").cast("bigint"), F.col("id_str")]
+    order = [F.col("timestamp_ms").try_cast("bigint"), F.col("id_str")]
     return nest_user(page_results(hits, order, page, count))
 
 
@@ -45,6 +45,6 @@ def search_cached(
     job = "search"
     key = query.key(event)
     fresh = store.latest_run(job, key)
-    if fresh is None or now_ms - fresh.run_ms > life_ms:
+    if fresh is None or now_ms - fresh.run_ms >= life_ms:
         store.write(search_posts(posts, query), job, key, now_ms)
     return store.latest(job, key)

@@ -31,8 +31,8 @@ def new_rows(
         no_key = F.lit(False)
         for k in keys:
             no_key = no_key | F.col(k).isNull()
-        solo = batch.withColumn("_solo", F.when(no_key, F.monotonically_increasing_id()).otherwise(-1))
-        batch = first_per_key(solo, [*keys, "_solo"], order).drop("_solo")
+        keyed = first_per_key(batch.where(~no_key), keys, order)
+        batch = keyed.unionByName(batch.where(no_key))
     return batch.join(target.select(*keys), keys, "left_anti").select(*target.columns)
 
 

@@ -57,10 +57,8 @@ def load_geotag_index(store: SnapshotStore, event: str, run_ms: int) -> int:
     return store.write(added.orderBy("geo_hash"), "geo_tag_index", event, run_ms)
 
 
-def analyse_event(spark: SparkSession, landing: str, results: str, event: str, run_ms: int) -> dict[str, int]:
-    """The three analysis jobs over one event's landed posts; returns their row counts."""
-    store = SnapshotStore(spark, results)
-    posts = read_timeline(spark, landing, event)
+def analyse_posts(store: SnapshotStore, posts: DataFrame, event: str, run_ms: int) -> dict[str, int]:
+    """The three analysis jobs over an event's posts; returns their row counts."""
     return {
         "mentions": run_mentions(store, posts, event, run_ms),
         "media": run_media(store, posts, event, run_ms),
@@ -68,6 +66,11 @@ def analyse_event(spark: SparkSession, landing: str, results: str, event: str, r
     }
 
 
+def analyse_event(spark: SparkSession, landing: str, results: str, event: str, run_ms: int) -> dict[str, int]:
+    """``analyse_posts`` over the stored files of an event."""
+    return analyse_posts(SnapshotStore(spark, results), read_timeline(spark, landing, event), event, run_ms)
+
+
 def snapshot_page(store: SnapshotStore, job: str, event: str, page: int = 1, count: int = 100) -> DataFrame:
     """One page of an event's newest mentions or media snapshot."""
     return page_by_position(store.latest(job, event), page, count)

@@ -9,7 +9,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postmill.functions.posts import parse_post
 from postmill.schema import POST
+from postmill.sources.tables import read_lines
 
 CORRUPT = "_corrupt_record"
 
@@ -27,6 +29,12 @@ def read_timeline(
     return reader.json(f"{root.rstrip('/')}/{event}/*/*/*/*/*")
 
 
+def read_collected(spark: SparkSession, root: str, event: str, schema: str = POST) -> DataFrame:
+    """Posts of an event as landed by the stream collector; the event's folders only."""
+    lines = read_lines(spark, root).where(F.col("event") == event)
+    return lines.select(parse_post(F.col("value"), schema).alias("post")).select("post.*")
+
+
 def read_tolerant(
     spark: SparkSession, paths: str | Sequence[str], schema: str | None = POST
 ) -> DataFrame:
