@@ -26,7 +26,6 @@ def page_by_position(ranked: DataFrame, page: int = 1, count: int = DEFAULT_COUN
 
 def page_meta(rows: DataFrame, event: str, page: int = 1, count: int = DEFAULT_COUNT) -> DataFrame:
     """One row: page size, total, number of pages, page number, rows on the page, status."""
-    start, _ = page_positions(page, count)
     total = rows.agg(F.count(F.lit(1)).alias("total_count"))
     return meta_columns(total, F.lit(event), page, count)
 

@@ -104,6 +104,7 @@ def route_rules(
     size = single.agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum(F.octet_length("event") + F.octet_length("condition")), F.lit(0)).alias("bytes"),
+        F.max(F.col("match_key") == FOLLOWS).alias("follows"),
     ).first()
     if size.n > max_conditions or size.bytes > MAX_BROADCAST_BYTES:
         return route_many(posts, rules, value)
@@ -113,7 +114,9 @@ def route_rules(
         F.collect_set(F.when(kind == FOLLOWS, F.col("condition"))).alias("_accounts"),
         F.collect_set(F.when(~kind.isin(FOLLOWS, COVID19), keyword_terms(F.col("condition")))).alias("_terms"),
     )
-    prepared = posts.withColumn("_low", F.lower(value)).withColumn("_ids", accounts(F.col(value)))
+    # Posts are only parsed when some rule looks at accounts.
+    ids = accounts(F.col(value)) if size.follows else F.lit(None).cast("array<string>")
+    prepared = posts.withColumn("_low", F.lower(value)).withColumn("_ids", ids)
     hit = (
         F.col("_every")
         | F.coalesce(F.arrays_overlap("_ids", "_accounts"), F.lit(False))

@@ -7,8 +7,6 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Sizing is left to AQE: a high initial shuffle width that AQE coalesces keeps
-# post-shuffle partitions near the advisory size at any input size.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     # The JVM does not compile methods over 8000 bytes; beyond that size Spark's smaller
@@ -20,14 +18,26 @@ DEFAULTS = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "128m",
 }
+# On a cluster shuffles start wide enough for terabytes and AQE merges small partitions
+# up to the advisory size, so one setting fits small and large inputs.
+CLUSTER_DEFAULTS = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8192",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+}
 
 
 def build_session(app: str = "postmill", master: str | None = None, **conf) -> SparkSession:
-    """A session with the package defaults; ``conf`` entries win over them."""
+    """A session with the package defaults; ``conf`` entries win over them.
+
+    Without ``master`` the session is taken to run on the cluster that launched it.
+    """
     builder = SparkSession.builder.appName(app)
+    defaults = dict(DEFAULTS)
     if master:
         builder = builder.master(master)
-    for key, value in {**DEFAULTS, **conf}.items():
+    if not (master or "").startswith("local"):
+        defaults |= CLUSTER_DEFAULTS
+    for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

@@ -47,12 +47,12 @@ def read_jdbc(spark: SparkSession, url: str, table: str, **kwargs) -> DataFrame:
     return spark.read.format("jdbc").options(**jdbc_options(url, table, **kwargs)).load()
 
 
-def stored_files(spark: SparkSession, root: str) -> DataFrame:
-    """``filename`` of every file below a folder.
+def stored_files(spark: SparkSession, folders: str | list[str]) -> DataFrame:
+    """``filename`` of every file below one or more folders.
 
     Only file names are asked for, so the binary reader lists without opening files.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders)
     return files.select(F.col("path").alias("filename"))
 
 

@@ -154,6 +154,22 @@ def test_listing_and_pages_of_named_files(spark, landing):
     assert [json.loads(r.value)["id_str"] for r in rows] == ["1", "2", "3"]
 
 
+def test_index_job_follows_the_stored_files(spark, landing, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "results"))
+
+    def shown():
+        rows = jobs.file_index(store).where("event = 'storm'").orderBy("start_index").collect()
+        return [(r.filename.rsplit("/", 1)[1], r.start_index, r.end_index) for r in rows]
+
+    assert jobs.refresh_file_index(store, landing, 1) == 3
+    assert shown() == [("tweet-1704067200000-2.json.gz", 0, 2), ("tweet-1704070800000-2.json.gz", 2, 4)]
+    land(landing, "storm", 2, "tweet-1704074400000-1.json.gz", POSTS[:1])
+    land(landing, "storm", 0, "tweet-1704067200001-1.json.gz", POSTS[:1])
+    assert jobs.refresh_file_index(store, landing, 2, [f"{landing}/storm", f"{landing}/other"]) == 5
+    assert [s for _, s, _ in shown()] == [0, 2, 3, 5] and shown()[-1][2] == 6
+    assert jobs.refresh_file_index(store, landing, 3) == 5
+
+
 def test_jdbc_options():
     options = tables.jdbc_options("jdbc:x", "events", "id", (1, 100), 4, user="u")
     assert options["numPartitions"] == "4" and options["upperBound"] == "100" and options["user"] == "u"
