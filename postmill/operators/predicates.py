@@ -68,9 +68,8 @@ class Expression:
     def canonical(self) -> str:
         return self.kind + ",".join(self.words)
 
-    def condition(self, text: Column, full_text: Column) -> Column:
-        """Decide on the short text alone or on the long text alone; either suffices."""
-        short, long = F.lower(text), F.lower(full_text)
+    def condition(self, short: Column, long: Column) -> Column:
+        """Decide on one lower-case text alone or on the other alone; either suffices."""
         return self._on(short) | self._on(long)
 
     def _on(self, lowered: Column) -> Column:
@@ -96,8 +95,8 @@ class Predicate:
             out += ("OR" if e.is_or else "AND") * (i > 0) + e.canonical()
         return out
 
-    def condition(self, text: Column, full_text: Column) -> Column:
-        return _join_mixed([(e.is_or, e.condition(text, full_text)) for e in self.expressions])
+    def condition(self, short: Column, long: Column) -> Column:
+        return _join_mixed([(e.is_or, e.condition(short, long)) for e in self.expressions])
 
 
 @dataclass(frozen=True)
@@ -145,13 +144,27 @@ class PostQuery:
             )
             if c is not None
         ]
-        words = [(p.is_or, p.condition(text, full_text)) for p in self.predicates]
-        if legacy and fixed and words:
-            return _join_mixed([(False, _all(fixed)), (False, words[0][1]), *words[1:]])
-        if words:
-            fixed.append(_join_mixed(words))
+        if legacy and fixed and self.predicates:
+            parts = self._parts(F.lower(text), F.lower(full_text))
+            return _join_mixed([(False, _all(fixed)), (False, parts[0][1]), *parts[1:]])
+        if self.predicates:
+            fixed.append(self._words(text, full_text))
         return _all(fixed) if fixed else None
 
+    def _parts(self, short: Column, long: Column) -> list[tuple[bool, Column]]:
+        return [(p.is_or, p.condition(short, long)) for p in self.predicates]
+
+    def _words(self, text: Column, full_text: Column) -> Column:
+        """The predicate block.
+
+        From three words on each text is lower-cased just once, by passing the pair
+        through a one-element array; below that the plain form is faster.
+        """
+        if sum(len(e.words) for p in self.predicates for e in p.expressions) < 3:
+            return _join_mixed(self._parts(F.lower(text), F.lower(full_text)))
+        texts = F.array(F.struct(F.lower(text).alias("short"), F.lower(full_text).alias("long")))
+        return F.exists(texts, lambda t: _join_mixed(self._parts(t["short"], t["long"])))
+
     def apply(self, posts: DataFrame, **columns) -> DataFrame:
         condition = self.condition(**columns)
         return posts if condition is None else posts.where(condition)

@@ -184,6 +184,13 @@ def test_json_leaves_out_nulls(spark):
     assert row.j == '{"x":"a"}'
 
 
+def test_scratch_is_below_the_shared_folder(spark):
+    from postmill.session import scratch_path
+
+    first, second = scratch_path(spark, "x"), scratch_path(spark, "x")
+    assert first != second and first.startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
 def test_scratch_needs_a_shared_folder_on_a_cluster():
     from postmill.session import scratch_path
 

@@ -116,7 +116,7 @@ def test_latest(spark, names):
     assert got == sorted(n for e in ("a", "bigger-event") for n in sorted(x for x in names if x.startswith(e + "/"))[-3:])
 
 
-def test_pages_partition_a_result(spark):
+def test_pages_partition_a_result(spark, monkeypatch):
     rows = spark.range(250).withColumn("k", F.col("id") % 7).cache()
     order = [F.desc("k"), F.col("id")]
     ranked = paging.with_positions(rows.repartition(5), order).cache()
@@ -124,6 +124,8 @@ def test_pages_partition_a_result(spark):
     top = [r.id for p in (1, 2, 3, 4) for r in paging.page_results(rows, order, p, 100).collect()]
     deep = [r.id for p in (1, 2, 3, 4) for r in paging.page_by_position(ranked, p, 100).orderBy("position").collect()]
     assert top == wanted and deep == wanted
+    monkeypatch.setattr(paging, "TOP_ROWS", 50)
+    assert [r.id for p in (1, 2, 3, 4) for r in paging.page_results(rows, order, p, 100).collect()] == wanted
     assert [r.position for r in ranked.orderBy("position").collect()] == list(range(250))
 
 
