@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from postmill.llm import packing
+from postmill.llm import decontaminate, packing, quality, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,12 +19,45 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    docs = read(spark, sf_dir, "documents")
+    lexicon, model = toxicity.fit(spark, docs, read(spark, sf_dir, "labels"))
+    scored = toxicity.score(spark, docs.select("doc_id", "text"), lexicon, model)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in all documents, by windows of 13 words."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.benchmark_hits(spark, docs, read(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"),
+        decontaminate.is_contaminated().alias("contaminated"),
+    )
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents."""
+    docs = read(spark, sf_dir, "documents")
+    model = quality.fit(docs, read(spark, sf_dir, "labels"))
+    scored = quality.score(spark, docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 2048 tokens."""
     return packing.pack(spark, read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op5_decontaminate": op5_decontaminate,
+    "op9_quality": op9_quality,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {}
