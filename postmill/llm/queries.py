@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import decontaminate, packing, quality, toxicity
+from postmill.llm import decontaminate, packing, quality, substrings, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,6 +35,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the windows of 50 words that an earlier document holds."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = substrings.remove_repeats(spark, docs)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in all documents, by windows of 13 words."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -64,6 +71,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
