@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import decontaminate, packing, quality, substrings, toxicity
+from postmill.llm import decontaminate, embeddings, packing, quality, substrings, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,6 +56,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.9 and more among all embeddings."""
+    return embeddings.near_duplicates(spark, read(spark, sf_dir, "embeddings"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents."""
     docs = read(spark, sf_dir, "documents")
@@ -73,6 +78,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_decontaminate": op5_decontaminate,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
 }
