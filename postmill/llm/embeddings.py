@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm.components import components
+from postmill.llm.components import components, local_roots
 from postmill.llm.rows import find_column, quoted
 from postmill.session import scratch_path
 
@@ -96,19 +96,6 @@ def linked_pairs(left: np.ndarray, right: np.ndarray, axes: np.ndarray, threshol
                 yield i[stay], j[stay]
 
 
-def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest position of each position's component."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        before = root.copy()
-        np.minimum.at(root, root[a], low)
-        np.minimum.at(root, root[b], low)
-        root = root[root]
-        if (root == before).all():
-            return root
-
-
 def _compare(axes, threshold: float):
     def run(key, table):
         turn = axes.value

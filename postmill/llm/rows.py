@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,3 +56,28 @@ def add_columns(docs: DataFrame, inputs: dict[str, str], fields: str, make: Make
             yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
     return docs.select(*columns).mapInArrow(run, schema)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, with the first row of each group, from rows sorted by the first ``keys`` columns."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        rest = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
+        starts = _starts(rest, keys)
+        if len(starts) > 1:
+            yield rest.slice(0, starts[-1]), starts[:-1]
+            rest = rest.slice(starts[-1])
+    if rest is not None and rest.num_rows:
+        yield rest, _starts(rest, keys)
+
+
+def _starts(table: pa.Table, keys: int) -> np.ndarray:
+    new = np.zeros(table.num_rows, bool)
+    new[0] = True
+    for i in range(keys):
+        values = table.column(i).to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(new)
