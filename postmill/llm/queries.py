@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import decontaminate, embeddings, ngram_join, packing, quality, substrings, toxicity
+from postmill.llm import chats, decontaminate, embeddings, licenses, lm_score, ngram_join, packing, quality, substrings, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -47,6 +47,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trigram stupid-backoff scores of all documents against all others."""
+    scored = lm_score.stupid_backoff(spark, read(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in all documents, by windows of 13 words."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -61,6 +67,28 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scan_licenses(docs)
+    names = F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["license"])))
+    count = lambda status: F.size(F.filter("licenses", lambda x: x["status"] == status)).cast("long")
+    return found.select(
+        "doc_id",
+        "n_candidates",
+        F.concat_ws(",", names).alias("licenses"),
+        count("exact").alias("n_exact"),
+        count("variant").alias("n_variant"),
+    )
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, with tool calls made from their turns, as linked canonical JSON."""
+    table = chats.with_tool_calls(read(spark, sf_dir, "conversations"))
+    schemas = spark.createDataFrame(chats.SCHEMAS, "name string, argument string, type string, required boolean")
+    return chats.format_chats(spark, table, schemas)
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of cosine 0.9 and more among all embeddings."""
     return embeddings.near_duplicates(spark, read(spark, sf_dir, "embeddings"))
@@ -83,7 +111,10 @@ QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_toxicity": op2_toxicity,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_lm_score": op4_lm_score,
     "op5_decontaminate": op5_decontaminate,
+    "op6_license_scan": op6_license_scan,
+    "op7_chat_format": op7_chat_format,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
