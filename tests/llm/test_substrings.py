@@ -1,0 +1,65 @@
+import hashlib
+
+import pytest
+
+import __spark_entry__ as entry
+from postmill.llm.substrings import remove_repeats
+from tests.llm.conftest import SMALL, words_of
+
+LAST = 2**63 - 1
+
+
+def brute(rows, n):
+    """Multiset of (id, words, removed, kept) by comparing every window with every earlier id."""
+    first = {}
+    for doc_id, text in rows:
+        w = words_of(text)
+        for i in range(len(w) - n + 1):
+            key = tuple(w[i : i + n])
+            first[key] = min(first.get(key, LAST), LAST if doc_id is None else doc_id)
+    out = []
+    for doc_id, text in rows:
+        w = words_of(text)
+        gone = [False] * len(w)
+        for i in range(len(w) - n + 1):
+            if first[tuple(w[i : i + n])] < (LAST if doc_id is None else doc_id):
+                gone[i : i + n] = [True] * n
+        out.append((doc_id, len(w), sum(gone), b" ".join(x for x, g in zip(w, gone) if not g).decode()))
+    return sorted(out, key=str)
+
+
+def found(frame):
+    return sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in frame.collect()), key=str)
+
+
+PASSAGE = " ".join(f"p{i}" for i in range(12))
+CASES = {
+    "shared passage": [(1, f"a b {PASSAGE} c"), (2, f"x {PASSAGE} y z"), (3, f"{PASSAGE}\n{PASSAGE}")],
+    "cut differently": [(5, " ".join(f"p{i}" for i in range(3, 12)) + " q r s"), (2, f"u v {PASSAGE}"), (9, f"{PASSAGE} q r s t")],
+    "inside one document only": [(1, f"{PASSAGE} {PASSAGE}")],
+    "copies and equal ids": [(3, PASSAGE), (3, PASSAGE), (3, PASSAGE + " tail"), (1, "other words here")],
+    "nulls and empty": [(None, PASSAGE), (None, None), (2, ""), (4, None), (7, PASSAGE), (8, " \t\n")],
+    "one word over and over": [(1, "la " * 300), (2, "la " * 40), (3, "la " * 9 + "end")],
+    "other spaces are words": [(1, "a b c d e f g h i j"), (2, "a b c d e f g h i j")],
+    "very long": [(1, " ".join(f"w{i % 977}" for i in range(60_000))), (2, " ".join(f"w{i % 977}" for i in range(500, 3000)))],
+}
+
+
+@pytest.mark.parametrize("case", list(CASES))
+@pytest.mark.parametrize("n,k", [(8, 3), (2, 1)])
+def test_same_as_brute_force(spark, docs, case, n, k):
+    assert found(remove_repeats(spark, docs(*CASES[case]), n, k)) == brute(CASES[case], n)
+
+
+def test_empty_table_and_clashing_columns(spark, docs):
+    assert remove_repeats(spark, docs()).count() == 0
+    schema = "doc_id long, text string, kept int, N_WORDS int, size int, start string, lang string"
+    frame = remove_repeats(spark, docs((1, PASSAGE, 1, 2, 3, "s", "en"), (2, PASSAGE, 4, 5, 6, None, None), schema=schema), 8, 3)
+    assert frame.columns == ["doc_id", "text", "size", "start", "lang", "n_words", "n_removed", "kept"]
+    assert {(r.doc_id, r.n_removed, r.size, r.lang) for r in frame.collect()} == {(1, 0, 3, "en"), (2, 12, 6, None)}
+
+
+def test_query_on_whole_table(spark, documents):
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    want = {(i, n, gone, hashlib.sha256(kept.encode()).hexdigest()) for i, n, gone, kept in brute(rows, 50)}
+    assert {tuple(r) for r in entry.queries()["op3_substring_dedup"](spark, SMALL).collect()} == want
