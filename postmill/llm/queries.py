@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm import chats, decontaminate, embeddings, licenses, lm_score, ngram_join, packing, quality, substrings, toxicity
+from postmill.llm.oracles import ORACLES as ORACLES
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,7 +51,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trigram stupid-backoff scores of all documents against all others."""
     scored = lm_score.stupid_backoff(spark, read(spark, sf_dir, "documents"))
-    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,4 +120,3 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {}
