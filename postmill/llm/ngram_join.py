@@ -234,9 +234,11 @@ def _verified(rows: DataFrame, n: int, threshold: Fraction) -> DataFrame:
             parts.append((found, doc + low))
         found, doc = distinct_shingles(*map(np.concatenate, zip(*parts)), total)
         mark, _, size = class_marks(found, doc, total)
-        # Rows of one id may belong to another class; only the row of the class itself stays.
-        own = mark == group["mark"].to_numpy()
         tile, rep, copies = (group[c].to_numpy() for c in ("tile", "rep", "copies"))
+        # Rows of one id may hold several texts; one row of the class itself stays.
+        own = np.zeros(total, bool)
+        own[np.unique(np.stack([rep, mark, mark == group["mark"].to_numpy()]), axis=1, return_index=True)[1]] = True
+        own &= mark == group["mark"].to_numpy()
         common = overlaps(found, doc, total)
         i, j = np.nonzero(np.triu(common, 1))
         both = common[i, j].astype(np.int64)
@@ -303,7 +305,8 @@ def jaccard_join(
     members = chosen.select("rep", "mark", "copies").join(groups, "rep")
     sizes = members.groupBy("key").agg(F.count("*").alias("size"))
     members = tiled(members.join(sizes, "key"), "key", "size", VERIFY_TILE)
-    texts = rows.join(members, rows["id"] == members["rep"])
+    texts = rows.join(members, rows["id"] == members["rep"]).withColumn("print", F.xxhash64("text"))
+    texts = texts.dropDuplicates(["rep", "mark", "low", "high", "print"])
     linked = _stored(spark, _verified(_dealt(texts), n, Fraction(str(threshold))), "links")
     counts = linked.groupBy("rep", "mark").agg(F.sum("links").alias("links"))
 

@@ -10,12 +10,14 @@ the text itself determines, and a passage is cut alike in every document that ho
    id that holds them. A block that an earlier document holds is taken as a whole; greedily
    joined neighbours of that kind are the long factors.
 3. At the boundaries of factors, and in passages cut differently, the blocks left over are
-   checked window by window against the windows left over everywhere. The first holder of a
-   window always has it left over, so nothing is missed.
+   checked window by window, if another document has a block of that name left over too. The
+   first holder of a window always has it left over, so nothing is missed.
 
 Every step is a join or a sum by a fingerprint, so a passage that a third of all documents
 share costs rows in proportion to its occurrences. Step 1 uses 64-bit hashes as a filter;
-steps 2 and 3 decide by 128 bits. No group is gathered but the spans of one document.
+steps 2 and 3 decide by 128 bits. No group is gathered but the spans of one document. The
+texts are shuffled once: windows are read and documents cut from the same exchange, as both
+keep all columns.
 
 Defined results: a null text has no words; a null id counts as later than every other, and
 rows with equal ids are not earlier than each other; rows equal in id and text are judged
@@ -69,60 +71,52 @@ class Blocks:
         self.size = np.diff(np.append(heads, len(window)))
 
 
-def _names(rows: DataFrame, n: int, k: int) -> DataFrame:
-    """(name, id, text_key): the smallest hashes of all windows."""
+def _blocks(rows: DataFrame, n: int, k: int) -> DataFrame:
+    """All blocks of the rows (id, text_key, text), with a 128-bit fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, _, data, offsets in slices(batch.column(2)):
-                blocks = Blocks(Words(data, offsets), n, k)
+                words = Words(data, offsets)
+                blocks = Blocks(words, n, k)
+                end = blocks.word + blocks.size + n - 1
+                prints = (span_hash(prefix_hash(words.hashes(i), i), blocks.word, end, i).view(np.int64) for i in (0, 1))
                 own = pa.array(blocks.doc + low)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(blocks.name.view(np.int64)), batch.column(0).take(own), batch.column(1).take(own)],
-                    ["name", "id", "text_key"],
-                )
+                    [batch.column(0).take(own), batch.column(1).take(own),
+                     pa.array((blocks.word - words.first[blocks.doc]).astype(np.int32)), pa.array(blocks.size.astype(np.int32)),
+                     pa.array(blocks.name.view(np.int64)), *map(pa.array, prints)],
+                    ["id", "text_key", "start", "size", "name", "print_a", "print_b"],
+                )
 
-    return rows.select("id", "text_key", "text").mapInArrow(run, "name long, id long, text_key long")
+    return rows.mapInArrow(run, "id long, text_key long, start int, size int, name long, print_a long, print_b long")
 
 
-def _blocks(rows: DataFrame, n: int, k: int) -> DataFrame:
-    """Blocks whose name is among the row's ``names``, with fingerprints of block and windows."""
+def _windows(rows: DataFrame, n: int) -> DataFrame:
+    """128-bit fingerprints of the windows that the last column asks for.
+
+    The columns before it are the text, the id and the key of the text; others are not used.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column(3)
-            for low, high, data, offsets in slices(batch.column(2)):
+            text, ids, keys, asked = batch.columns[-4:]
+            for low, high, data, offsets in slices(text):
                 words = Words(data, offsets)
-                blocks = Blocks(words, n, k)
-                wanted = names.slice(low, high - low)
-                per_doc = np.diff(wanted.offsets.to_numpy())
-                spread = U64(0x9E3779B97F4A7C15)
-                known = wanted.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
-                known = np.sort(known + np.repeat(np.arange(len(per_doc)), per_doc).astype(U64) * spread)
-                asked = blocks.name + blocks.doc.astype(U64) * spread
-                at = np.minimum(np.searchsorted(known, asked), max(len(known) - 1, 0))
-                pick = np.flatnonzero(known[at] == asked) if len(known) else np.zeros(0, np.int64)
-                if not len(pick):
-                    continue
-                start, size = blocks.word[pick], blocks.size[pick]
-                window = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
-                where = pa.array(np.append(0, np.cumsum(size)), pa.int32())
-                found = []
-                for which in (0, 1):
-                    sums = prefix_hash(words.hashes(which), which)
-                    found.append(pa.array(span_hash(sums, start, start + size + n - 1, which).view(np.int64)))
-                    single = pa.array(span_hash(sums, window, window + n, which).view(np.int64))
-                    found.append(pa.ListArray.from_arrays(where, single))
-                own = pa.array(blocks.doc[pick] + low)
+                part = asked.slice(low, high - low)
+                doc = np.repeat(np.arange(high - low), np.diff(part.offsets.to_numpy()))
+                start, size = (part.flatten().field(x).to_numpy().astype(np.int64) for x in ("start", "size"))
+                row = np.repeat(np.arange(len(start)), size)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + start[row]
+                window = at + words.first[doc[row]]
+                prints = (span_hash(prefix_hash(words.hashes(i), i), window, window + n, i).view(np.int64) for i in (0, 1))
+                own = pa.array(doc[row] + low)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(own), batch.column(1).take(own),
-                     pa.array(start - words.first[blocks.doc[pick]], pa.int64()), pa.array(size, pa.int64()),
-                     found[0], found[2], found[1], found[3]],
-                    ["id", "text_key", "start", "size", "print_a", "print_b", "windows_a", "windows_b"],
-                )
+                    [ids.take(own), keys.take(own), pa.array(at.astype(np.int32)), *map(pa.array, prints)],
+                    ["id", "text_key", "start", "window_a", "window_b"],
+                )
 
-    kinds = "id long, text_key long, start long, size long, print_a long, print_b long, windows_a array<long>, windows_b array<long>"
-    return rows.select("id", "text_key", "text", "names").mapInArrow(run, kinds)
+    return rows.mapInArrow(run, "id long, text_key long, start int, window_a long, window_b long")
 
 
 def _stored(spark: SparkSession, rows: DataFrame) -> DataFrame:
@@ -133,21 +127,27 @@ def _stored(spark: SparkSession, rows: DataFrame) -> DataFrame:
 
 
 def repeated_windows(spark: SparkSession, rows: DataFrame, n: int, k: int) -> DataFrame:
-    """(id, text_key, start, size): runs of windows of ``rows`` (id, text_key, text) that an earlier id holds."""
-    names = _stored(spark, _names(rows, n, k))
-    shared = names.groupBy("name").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    mine = names.join(shared.select("name"), "name").groupBy("id", "text_key").agg(F.collect_set("name").alias("names"))
-    blocks = _stored(spark, _blocks(rows.join(mine, ["id", "text_key"]), n, k))
-    index = blocks.groupBy("print_a", "print_b").agg(F.min("id").alias("holder"))
-    placed = blocks.join(index, ["print_a", "print_b"])
-    whole = placed.where("holder < id").select("id", "text_key", "start", "size")
-    left = placed.where("holder >= id").select(
-        "id", "text_key", "start", F.posexplode(F.arrays_zip("windows_a", "windows_b")).alias("at", "window")
-    )
-    left = _stored(spark, left.select("id", "text_key", (F.col("start") + F.col("at")).alias("start"), "window.*"))
-    first = left.groupBy("windows_a", "windows_b").agg(F.min("id").alias("holder"), F.max("id").alias("last")).where("holder < last")
-    single = left.join(first, ["windows_a", "windows_b"]).where("holder < id")
-    return whole.unionByName(single.select("id", "text_key", "start", F.lit(1).cast("long").alias("size")))
+    """(id, text_key, start, size): runs of windows of ``rows`` that an earlier id holds.
+
+    The last columns of ``rows`` are the text, ``_repeat_id`` and ``_repeat_key``.
+    """
+    ids = ["_repeat_id", "_repeat_key"]
+    blocks = _stored(spark, _blocks(rows.select(*ids, quoted(rows.columns[-3])), n, k))
+    shared = blocks.groupBy("name").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    blocks = _stored(spark, blocks.join(shared.select("name"), "name"))
+    index = blocks.groupBy("print_a", "print_b").agg(F.min("id").alias("holder"), F.min("name").alias("name"))
+    contested = index.groupBy("name").agg(F.min("holder").alias("low"), F.max("holder").alias("high")).where("low < high")
+    index = index.join(contested.select("name", F.lit(True).alias("contested")), "name", "left").drop("name")
+    placed = blocks.join(index, ["print_a", "print_b"]).where("holder < id or contested")
+    placed = _stored(spark, placed.select("id", "text_key", "start", "size", (F.col("holder") < F.col("id")).alias("held")))
+
+    asked = placed.where("not held").groupBy(F.col("id").alias(ids[0]), F.col("text_key").alias(ids[1]))
+    asked = asked.agg(F.collect_set(F.struct("start", "size")).alias("_repeat_asked"))
+    left = _windows(rows.join(asked, ids).select(*map(quoted, rows.columns), "_repeat_asked"), n)
+    first = left.groupBy("window_a", "window_b").agg(F.min("id").alias("holder"), F.max("id").alias("last")).where("holder < last")
+    single = left.join(first, ["window_a", "window_b"]).where("holder < id")
+    single = single.select("id", "text_key", "start", F.lit(1).alias("size"))
+    return placed.where("held").select("id", "text_key", "start", "size").unionByName(single)
 
 
 def _cut(n: int):
@@ -181,13 +181,14 @@ def remove_repeats(
     spark: SparkSession, docs: DataFrame, n: int = 50, k: int = 10, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``docs`` with ``n_words``, ``n_removed`` and ``kept``, the words left over joined by a space."""
-    text = F.coalesce(quoted(find_column(docs, text_col)).cast("string"), F.lit(""))
-    rows = docs.select(
-        "*", F.coalesce(quoted(find_column(docs, id_col)).cast("long"), F.lit(LAST_ID)).alias("_id"), F.xxhash64(text).alias("_key")
-    )
-    found = repeated_windows(spark, rows.select(F.col("_id").alias("id"), F.col("_key").alias("text_key"), text.alias("text")), n, k)
-    spans = found.groupBy("id", "text_key").agg(F.collect_set(F.struct("start", "size")).alias("_spans"))
-    spans = spans.select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), "_spans")
-    joined = rows.join(spans, ["_id", "_key"], "left").drop("_id", "_key")
-    out = add_columns(joined, {text_col: "string", "_spans": "array<struct<start:bigint,size:bigint>>"}, FIELDS, _cut(n))
-    return out.drop("_spans")
+    name = find_column(docs, text_col)
+    text = F.coalesce(quoted(name).cast("string"), F.lit(""))
+    others = [quoted(c) for c in docs.columns if c != name]
+    ids = F.coalesce(quoted(find_column(docs, id_col)).cast("long"), F.lit(LAST_ID)), F.xxhash64(text)
+    rows = docs.select(*others, quoted(name).cast("string").alias(name), ids[0].alias("_repeat_id"), ids[1].alias("_repeat_key"))
+    found = repeated_windows(spark, rows, n, k)
+    spans = found.groupBy(F.col("id").alias("_repeat_id"), F.col("text_key").alias("_repeat_key"))
+    spans = spans.agg(F.collect_set(F.struct("start", "size")).alias("_repeat_spans"))
+    joined = rows.join(spans, ["_repeat_id", "_repeat_key"], "left").select(*map(quoted, docs.columns), "_repeat_spans")
+    out = add_columns(joined, {text_col: "string", "_repeat_spans": "array<struct<start:int,size:int>>"}, FIELDS, _cut(n))
+    return out.drop("_repeat_spans")
