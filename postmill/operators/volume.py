@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from postmill.functions.times import bucket_label, file_rows, file_timestamp
 
 INDEX_COLUMNS = ["event", "filename", "timestamp", "start_index", "end_index"]
-UNCERTAINTY = 10
 
 
 def relative_name(path: Column, root: str) -> Column:
@@ -106,48 +105,34 @@ def _index(rows: DataFrame) -> DataFrame:
     return rows.withColumn("end_index", F.col("start_index") + F.col("size")).select(*INDEX_COLUMNS)
 
 
-def latest_files(index: DataFrame, n: int = UNCERTAINTY) -> DataFrame:
+def latest_files(index: DataFrame, n: int = 10) -> DataFrame:
     """The ``n`` last files per event; Spark trims each task's groups before the shuffle."""
     window = Window.partitionBy("event").orderBy(F.desc("filename"))
     return index.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= n).drop("_rank")
 
 
-def index_refresh(
-    index: DataFrame, listing: DataFrame, uncertainty: int = UNCERTAINTY, levels: list[Column] | None = None
-) -> DataFrame:
+def index_refresh(index: DataFrame, listing: DataFrame, levels: list[Column] | None = None) -> DataFrame:
     """New index state after looking at the current file listing.
 
-    Files that appeared among an event's last ``uncertainty`` indexed ones make those
-    rows be dropped and indexed again; then all files after the last indexed name are
-    appended with offsets going on from it.
+    Files that the index lacks are added wherever their names fall: from an event's lowest
+    new name on, offsets are worked out again, going on from the rows before it. Indexed
+    files keep their sizes and need not be listed again, so a listing of some folders only
+    loses nothing.
     """
-    tail = latest_files(index, uncertainty)
-    span = tail.groupBy("event").agg(
-        F.min("filename").alias("_low"),
-        F.max("filename").alias("_high"),
-        F.min("start_index").alias("_start"),
-        F.max("end_index").alias("_end"),
-    )
-    late = (
-        listing.join(span, "event")
-        .where(F.col("filename").between(F.col("_low"), F.col("_high")))
-        .join(tail.select("event", "filename"), ["event", "filename"], "left_anti")
-        .select("event", F.lit(True).alias("_late"))
-        .distinct()
-    )
-    # One row per event: index rows from ``_low`` on are redone, or nothing is.
-    cut = span.join(late, "event", "left").withColumn("_late", F.coalesce("_late", F.lit(False)))
-    kept = index.join(cut, "event").where(~F.col("_late") | (F.col("filename") < F.col("_low")))
-    fresh = (
-        F.col("_late").isNull()
-        | (F.col("filename") > F.col("_high"))
-        | (F.col("_late") & (F.col("filename") >= F.col("_low")))
-    )
-    base = F.coalesce(F.when(F.col("_late"), F.col("_start")).otherwise(F.col("_end")), F.lit(0))
-    new = listing.join(cut, "event", "left").where(fresh).select(*listing.columns, base.alias("_base"))
-    appended = running_start(new, ["event"], ["filename"], levels or file_levels(), "size", "start_index")
-    appended = appended.withColumn("start_index", F.col("start_index") + F.col("_base"))
-    return kept.select(*INDEX_COLUMNS).unionByName(_index(appended))
+    added = listing.join(index.select("event", "filename"), ["event", "filename"], "left_anti")
+    added = added.select("event", "filename", "timestamp", "size").distinct()
+    low = added.groupBy("event").agg(F.min("filename").alias("_low"))
+    # The new files may be few or all; the rows of events without any pass through the join.
+    marked = index.select(*INDEX_COLUMNS).join(low, "event", "left")
+    before = F.col("_low").isNull() | (F.col("filename") < F.col("_low"))
+    kept = marked.where(before)
+    bases = kept.where(F.col("_low").isNotNull()).groupBy("event").agg(F.max("end_index").alias("_base"))
+    size = (F.col("end_index") - F.col("start_index")).alias("size")
+    redone = marked.where(~before).select("event", "filename", "timestamp", size).unionByName(added)
+    placed = running_start(redone, ["event"], ["filename"], levels or file_levels(), "size", "start_index")
+    placed = placed.join(bases, "event", "left")
+    placed = placed.withColumn("start_index", F.col("start_index") + F.coalesce("_base", F.lit(0)))
+    return kept.select(*INDEX_COLUMNS).unionByName(_index(placed))
 
 
 def event_totals(index: DataFrame, events: DataFrame | None = None) -> DataFrame:
@@ -161,11 +146,16 @@ def event_totals(index: DataFrame, events: DataFrame | None = None) -> DataFrame
     )
 
 
-def bucket_counts(index: DataFrame, bucket: str = "hour", event: str | None = None) -> DataFrame:
-    """Posts per event and hour, day or month of the files' write time, ascending."""
+def bucket_counts(
+    index: DataFrame, bucket: str = "hour", event: str | None = None, time: str = "timestamp"
+) -> DataFrame:
+    """Posts per event and hour, day or month of the files' write time, ascending.
+
+    ``time`` names another column of epoch milliseconds to count by.
+    """
     if event is not None:
         index = index.where(F.col("event") == event)
-    stamp = F.timestamp_seconds(F.floor(F.col("timestamp") / 1000))
+    stamp = F.timestamp_seconds(F.floor(F.col(time) / 1000))
     counts = index.groupBy("event", bucket_label(stamp, bucket).alias("time")).agg(
         F.sum(F.col("end_index") - F.col("start_index")).alias("count")
     )

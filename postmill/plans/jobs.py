@@ -62,8 +62,8 @@ def load_geotag_index(store: SnapshotStore, event: str, run_ms: int) -> int:
 def refresh_file_index(store: SnapshotStore, landing: str, run_ms: int, folders: list[str] | None = None) -> int:
     """Publish the file-offset index of all events after looking at the stored files.
 
-    ``folders`` limits the listing, for instance to the days since the last refresh; they
-    must reach back over the last indexed files of each event. Returns the row count.
+    ``folders`` limits the listing, for instance to the days since the last refresh; indexed
+    files elsewhere keep their rows. Returns the row count.
     """
     listing = file_listing(stored_files(store.spark, folders or landing), landing)
     if store.latest_run("event_index", "all") is None:

@@ -65,6 +65,10 @@ def test_tolerant_and_quarantine(spark, tmp_path):
     root = str(tmp_path)
     land(root, "storm", 0, "a.json.gz", [POSTS[0], '{"id_str": "broken', "", "no json at all"])
     assert [r.id_str for r in timeline.read_tolerant(spark, f"{root}/storm").select("id_str").collect()] == ["1"]
+    land(root, "types", 0, "a.json.gz", [POSTS[0], '{"id_str": "9", "retweet_count": "many"}'])
+    posts = timeline.read_tolerant(spark, f"{root}/types")
+    assert posts.count() == posts.select("id_str").count() == len(posts.collect()) == 1
+    assert timeline.read_tolerant(spark, f"{root}/types", None).select("id_str").distinct().count() == 2
     good, bad = timeline.read_quarantined(spark, f"{root}/storm/*/*/*/*/*")
     assert [r.id_str for r in good.collect()] == ["1"]
     assert sorted(r.value for r in bad.collect()) == ["no json at all", '{"id_str": "broken']
@@ -87,7 +91,9 @@ def test_analysis_from_landed_files_to_pages(spark, landing, tmp_path):
     assert [r.user_id for r in jobs.snapshot_page(store, "mentions", "storm", 2, 2).collect()] == [None]
     assert jobs.snapshot_page(store, "media", "storm").count() == 2
     assert jobs.load_geotag_index(store, "storm", 2000) == 1
+    assert jobs.load_geotag_index(store, "storm", 2000) == 1
     assert jobs.load_geotag_index(store, "storm", 3000) == 0
+    assert jobs.geotag_index(store, "storm").count() == 1
     assert jobs.geotag_index(store, "other").count() == 0
     found = geo_box_query(jobs.geotag_index(store, "storm"), (51.0, 9.0, 49.0, 11.0)).collect()
     assert [(r.event, r.tweet_id_str, r.image_link, r.is_retweet) for r in found] == [("storm", "1", "m1", False)]
@@ -119,11 +125,26 @@ def test_snapshots(spark, tmp_path):
     assert store.write(spark.range(7).repartition(3), "mentions", "e", 99, fmt="json", compression="gzip") == 7
     assert store.latest("mentions", "e").count() == 5
     assert store.write(spark.range(0), "mentions", "e", 1000) == 0
-    assert store.latest_run("mentions", "e") == (1000, 0, "parquet")
+    assert store.latest_run("mentions", "e")[:3] == (1000, 0, "parquet")
+    # A run that is tried again changes nothing.
+    assert store.write(spark.range(3), "mentions", "e", 100) == 5
+    assert store.runs().where("event = 'e' and run_ms = 100").count() == 1
     assert store.latest_run("mentions", "f") is None
     # Data without a manifest row, as an interrupted run leaves it, is not seen.
-    spark.range(9).write.parquet(store._path("mentions", "e", 2000))
+    spark.range(9).write.parquet(store._path("mentions", "e", 2000, "0f"))
     assert store.latest_run("mentions", "e").run_ms == 1000
+    assert store.write(spark.range(4), "mentions", "e", 2000) == 4 == store.latest("mentions", "e").count()
+
+
+def test_parts_leave_out_attempts_that_did_not_finish(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "s"))
+    assert store.parts("index", "e", "id bigint").count() == 0
+    for run in (1, 2):
+        spark.range(100).write.parquet(store._path("index", "e", run, "00"))
+        rows = spark.range(run).where(F.lit(True))
+        store.write(rows.join(store.parts("index", "e", "id bigint"), "id", "left_anti"), "index", "e", run)
+        store.write(rows.join(store.parts("index", "e", "id bigint"), "id", "left_anti"), "index", "e", run)
+    assert sorted(r.id for r in store.parts("index", "e", "id bigint").collect()) == [0, 1]
 
 
 def test_search_results_live_ten_minutes(spark, tmp_path, lines):
