@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions.text import slug
 from postmill.operators.upsert import first_per_key
 from postmill.schema import ACTIVE, COVID19, CREATE_EVENT, FOLLOWS, KEYWORDS, PAUSE_EVENT, START_EVENT
 
-EVENT_COLUMNS = ["name", "normalized_name", "status", "description", "author"]
+EVENT_COLUMNS = ["name", "normalized_name", "status", "created_at", "description", "author"]
 
-# A term list ends up in one setting of a collector, and such a setting holds at most
-# one MiB. Longer lists are refused before they are gathered.
-MAX_LIST_BYTES = 1 << 20
+# A term list ends up in settings of a collector; a setting holds at most one MiB.
+CHUNK_BYTES = 1 << 20
 
 
 def validate_events(events: DataFrame) -> DataFrame:
@@ -26,6 +25,8 @@ def validate_events(events: DataFrame) -> DataFrame:
     """
     checks = [(f, F.coalesce(F.length(f), F.lit(0)) == 0) for f in ("name", "description")]
     checks.append(("keywords", F.coalesce(F.size("keywords"), F.lit(0)) <= 0))
+    if "match_key" in events.columns:
+        checks.append(("match_key", F.coalesce(F.length("match_key"), F.lit(0)) == 0))
     return _with_reasons(events, checks).withColumn("normalized_name", slug(F.col("name")))
 
 
@@ -57,28 +58,35 @@ def event_terms(events: DataFrame, terms: DataFrame) -> DataFrame:
     return events.join(terms, events.normalized_name == terms.event_name).drop("event_name")
 
 
-def gather_terms(rows: DataFrame, keys: list[str], distinct: bool = False) -> DataFrame:
-    """Term lists per key, sorted, as comma text ``terms``.
+def gather_terms(rows: DataFrame, keys: list[str], distinct: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Term lists per key as comma texts ``terms``, sorted, in numbered chunks.
 
-    Repetitions are folded to counts first. The size of each list is then summed, over
-    rows that may spill, and a list over ``MAX_LIST_BYTES`` raises an error before it is
-    built, so a group is only gathered when it is known to fit. The sum and the gathering
-    share one shuffle.
+    A list of at most ``chunk_bytes`` is one text, chunk 0. The terms of a longer one are
+    dealt to as many chunks by their hash, so that no list is too long and no task gathers
+    more than about one chunk; repetitions of a term are folded to counts first and split
+    likewise.
     """
     if distinct:
-        counted = rows.select(*keys, "term").distinct().withColumn("_n", F.lit(1))
+        counted = rows.select(*keys, "term").distinct().withColumn("_n", F.lit(1).cast("bigint"))
     else:
-        counted = rows.groupBy(*keys, "term").agg(F.count(F.lit(1)).cast("int").alias("_n"))
-    size = F.sum((F.octet_length("term") + 1) * F.col("_n")).over(Window.partitionBy(*keys))
-    too_long = F.concat(F.lit("term list too long: "), F.col("_bytes").cast("string"), F.lit(" bytes"))
-    fits = F.when(F.col("_bytes") <= MAX_LIST_BYTES, F.lit(True)).otherwise(F.raise_error(too_long).cast("boolean"))
-    kept = counted.withColumn("_bytes", size).where(fits)
-    repeated = F.flatten(F.collect_list(F.array_repeat("term", F.col("_n"))))
-    return kept.groupBy(*keys).agg(F.array_join(F.array_sort(repeated), ",").alias("terms"))
+        counted = rows.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("_n"))
+    size = F.octet_length("term") + 1
+    chunks = F.ceil(F.sum(size * F.col("_n")) / chunk_bytes).cast("bigint")
+    lists = counted.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(chunks.alias("_chunks"))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    placed = counted.join(lists, same).select(*keys, "term", "_n", "_chunks")
+    # A term with very many copies is cut into pieces that fit a chunk.
+    most = F.greatest(F.floor(F.lit(chunk_bytes) / size), F.lit(1))
+    placed = placed.select("*", most.alias("_most"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / most))).alias("_piece"))
+    copies = F.least(F.col("_n") - F.col("_piece") * F.col("_most"), F.col("_most")).cast("int")
+    chunk = F.pmod(F.xxhash64("term", "_piece"), F.col("_chunks")).cast("int")
+    placed = placed.select(*keys, "term", copies.alias("_copies"), F.when(F.col("_chunks") > 1, chunk).otherwise(0).alias("chunk"))
+    repeated = F.flatten(F.collect_list(F.array_repeat("term", F.col("_copies"))))
+    return placed.groupBy(*keys, "chunk").agg(F.array_join(F.array_sort(repeated), ",").alias("terms"))
 
 
 def events_with_terms(events: DataFrame, terms: DataFrame) -> DataFrame:
-    """One row per event and match key with the sorted term list as comma text."""
+    """One row per event, match key and chunk with the sorted term list as comma text."""
     lists = gather_terms(terms, ["event_name", "match_key"])
     return event_terms(events, lists)
 
@@ -86,7 +94,7 @@ def events_with_terms(events: DataFrame, terms: DataFrame) -> DataFrame:
 def active_events(
     events: DataFrame, keywords: DataFrame, follows: DataFrame, covid19: DataFrame
 ) -> DataFrame:
-    """Active events of all three kinds with match key and term list."""
+    """Active events of all three kinds with match key and term list, by chunk."""
     live = events.where(F.col("status") == ACTIVE)
     return events_with_terms(live, tagged_terms(keywords, follows, covid19))
 
@@ -103,7 +111,7 @@ def active_terms(events: DataFrame, terms: DataFrame, column: str) -> DataFrame:
 
 
 def active_term_string(events: DataFrame, terms: DataFrame) -> DataFrame:
-    """Per match key one comma text of the distinct terms of active events."""
+    """Per match key the distinct terms of active events as comma text, by chunk."""
     live = events.where(F.col("status") == ACTIVE).select(F.col("normalized_name").alias("event_name"))
     rows = terms.join(live, "event_name", "left_semi")
     return gather_terms(rows, ["match_key"], distinct=True)
@@ -141,15 +149,18 @@ def add_events(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows to append to (events, terms, activity) for new events.
 
-    ``new`` has name, description, author, status, match_key and a keyword list. Invalid
-    events and events whose normalized name is taken are left out; of new events with the
-    same normalized name the first by name is taken.
+    ``new`` has name, description, author, status, match_key and a keyword list, and may have
+    ``created_at``; without one the event is created ``now``. Invalid events and events whose
+    normalized name is taken are left out; of new events with the same normalized name the
+    first by name is taken.
     """
     valid = validate_events(new).where(F.size("reasons") == 0).drop("reasons")
+    created = F.coalesce("created_at", now) if "created_at" in new.columns else now
+    valid = valid.withColumn("created_at", created.cast("timestamp"))
     head = [*EVENT_COLUMNS, "match_key", "keywords"]
     first = first_per_key(valid.select(*head), ["normalized_name"], ["name", "description"])
     added = first.join(events.select("normalized_name"), "normalized_name", "left_anti")
-    event_rows = added.select(*EVENT_COLUMNS)
+    event_rows = added.select(*[c for c in EVENT_COLUMNS if c in events.columns])
     term_rows = added.select(
         F.col("normalized_name").alias("event_name"), F.explode("keywords").alias("term"), "match_key"
     ).select(*terms.columns)
@@ -169,28 +180,29 @@ def set_status(events: DataFrame, changes: DataFrame) -> DataFrame:
 def event_detail(
     events: DataFrame, terms: DataFrame, activity: DataFrame, normalized_name: str | None = None
 ) -> DataFrame:
-    """Event, sorted terms and activity, one row per activity entry, in time order.
+    """Events, their terms and their activity as rows of three kinds, in order.
 
-    Activity grows without bound, so it stays in rows instead of one array per event.
-    Sorting by (event, time) spreads a busy event over several tasks.
+    ``event`` rows hold the event alone, ``terms`` rows a match key and a chunk of its sorted
+    terms, ``activity`` rows one entry each, in time order. Nothing of an event is copied to
+    its other rows but its name and status, and sorting by (event, kind, time) spreads a busy
+    event over several tasks.
     """
     if normalized_name is not None:
         events = events.where(F.col("normalized_name") == normalized_name)
         terms = terms.where(F.col("event_name") == normalized_name)
         activity = activity.where(F.col("event_name") == normalized_name)
+    narrow = events.select("normalized_name", "status")
     lists = gather_terms(terms, ["event_name", "match_key"])
-    heads = events.join(lists, events.normalized_name == lists.event_name, "left").drop("event_name")
+    listed = narrow.join(lists, narrow.normalized_name == lists.event_name).drop("event_name")
     log = activity.select(
         F.col("event_name").alias("_event"),
         F.col("type").alias("activity_type"),
         F.col("time").alias("activity_time"),
         F.col("author").alias("activity_author"),
     )
-    # An inner join lets Spark broadcast the heads or split a busy event's rows; an outer
-    # join could do neither. Events without any activity are added from an anti join.
-    busy = heads.join(log, heads.normalized_name == log["_event"]).drop("_event")
-    quiet = heads.join(
-        log.select(F.col("_event").alias("normalized_name")).distinct(), "normalized_name", "left_anti"
-    )
-    rows = busy.unionByName(quiet, allowMissingColumns=True)
-    return rows.orderBy("normalized_name", "activity_time", "activity_type", "activity_author")
+    busy = narrow.join(log, narrow.normalized_name == log["_event"]).drop("_event")
+    rows = events.withColumn("kind", F.lit("event"))
+    rows = rows.unionByName(listed.withColumn("kind", F.lit("terms")), allowMissingColumns=True)
+    rows = rows.unionByName(busy.withColumn("kind", F.lit("activity")), allowMissingColumns=True)
+    place = F.when(F.col("kind") == "event", 0).when(F.col("kind") == "terms", 1).otherwise(2)
+    return rows.orderBy("normalized_name", place, "activity_time", "activity_type", "activity_author", "match_key", "chunk")

@@ -37,11 +37,19 @@ def test_active(events, terms):
     assert strings == {"KEYWORDS": "x,y", "FOLLOWS": "9", "COVID19": ""}
 
 
-def test_oversized_lists_are_an_error(spark, events):
-    rows = spark.range(200).select(F.lit("a-b").alias("event_name"), F.lit("KEYWORDS").alias("match_key"),
+def test_long_lists_come_in_chunks(spark, events):
+    rows = spark.range(210).select(F.lit("a-b").alias("event_name"), F.lit("KEYWORDS").alias("match_key"),
                                    F.concat(F.repeat(F.lit("x"), 9999), F.col("id").cast("string")).alias("term"))
-    with pytest.raises(Exception, match="term list too long"):
-        cat.events_with_terms(events, rows).collect()
+    chunks = cat.events_with_terms(events, rows).collect()
+    assert len(chunks) == len({r.chunk for r in chunks}) > 1 and all(len(r.terms) < 2 * cat.CHUNK_BYTES for r in chunks)
+    assert sorted(t for r in chunks for t in r.terms.split(",")) == sorted(r.term for r in rows.collect())
+
+
+def test_copies_of_one_term_are_split(spark):
+    rows = spark.range(1000).select(F.lit("e").alias("event_name"), F.lit(None).cast("string").alias("match_key"), F.lit("abc").alias("term"))
+    chunks = cat.gather_terms(rows, ["event_name", "match_key"], chunk_bytes=400).collect()
+    assert len(chunks) > 3 and sum(r.terms.count("abc") for r in chunks) == 1000
+    assert [r.terms for r in cat.gather_terms(rows, ["event_name", "match_key"], distinct=True).collect()] == ["abc"]
 
 
 def test_sync_and_log(spark, events):
@@ -85,11 +93,12 @@ def test_detail_keeps_activity_in_time_order(spark, events, terms):
         "type string, time string, author string, event_name string",
     ).withColumn("time", F.col("time").cast("timestamp"))
     rows = cat.event_detail(events, cat.tagged_terms(*terms), log).collect()
-    assert [(r.normalized_name, r.activity_type) for r in rows] == [
-        ("a-b", "CREATE_EVENT"), ("a-b", "PAUSE_EVENT"), ("c", None), ("d", None), ("e", None)
+    assert [(r.normalized_name, r.activity_type) for r in rows if r.kind == "activity"] == [
+        ("a-b", "CREATE_EVENT"), ("a-b", "PAUSE_EVENT")
     ]
+    assert [r.normalized_name for r in rows if r.kind == "event"] == ["a-b", "c", "d", "e"]
     one = cat.event_detail(events, cat.tagged_terms(*terms), log, "d").collect()
-    assert [(r.normalized_name, r.terms) for r in one] == [("d", "9")]
+    assert [(r.kind, r.normalized_name, r.terms) for r in one] == [("event", "d", None), ("terms", "d", "9")]
 
 
 def test_validation(spark):
