@@ -63,5 +63,7 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         app = spark.sparkContext.applicationId
-        root = _local_roots.setdefault(app, tempfile.mkdtemp(prefix="postmill-"))
+        if app not in _local_roots:
+            _local_roots[app] = tempfile.mkdtemp(prefix="postmill-")
+        root = _local_roots[app]
     return f"{root.rstrip('/')}/postmill/{purpose}-{uuid.uuid4().hex}"

@@ -38,11 +38,17 @@ def read_collected(spark: SparkSession, root: str, event: str, schema: str = POS
 def read_tolerant(
     spark: SparkSession, paths: str | Sequence[str], schema: str | None = POST
 ) -> DataFrame:
-    """Posts of NDJSON files below ``paths``; bad rows and unknown fields are dropped."""
-    reader = spark.read.option("mode", "DROPMALFORMED").option("recursiveFileLookup", "true")
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.json(paths if isinstance(paths, str) else list(paths))
+    """Posts of NDJSON files below ``paths``; bad rows and unknown fields are dropped.
+
+    Every row is parsed whole before it is judged, so which rows remain does not depend on
+    the columns that a query asks for.
+    """
+    found = paths if isinstance(paths, str) else list(paths)
+    files = spark.read.option("recursiveFileLookup", "true")
+    if schema is None:
+        inferred = files.option("mode", "DROPMALFORMED").json(found).schema
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inferred.fields)
+    return _flagged(files.text(found), schema).where(~F.col("malformed")).select("post.*")
 
 
 def register_event_table(
@@ -62,13 +68,23 @@ def read_quarantined(
     spark: SparkSession, paths: str | Sequence[str], schema: str = POST
 ) -> tuple[DataFrame, DataFrame]:
     """(good posts, bad lines as ``value``): malformed lines are set apart, not dropped."""
-    lines = spark.read.text(paths if isinstance(paths, str) else list(paths))
+    flagged = read_flagged(spark, paths, schema)
+    return flagged.where(~F.col("malformed")).select("post.*"), flagged.where("malformed").select("value")
+
+
+def read_flagged(spark: SparkSession, paths: str | Sequence[str], schema: str = POST) -> DataFrame:
+    """(value, post, malformed) of every line that is not blank, good and bad in one pass."""
+    return _flagged(spark.read.text(paths if isinstance(paths, str) else list(paths)), schema)
+
+
+def _flagged(lines: DataFrame, schema: str) -> DataFrame:
+    # With options given Spark parses all fields, whatever is selected later.
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     parsed = lines.where(F.trim("value") != "").select(
         "value", F.from_json("value", f"{schema}, {CORRUPT} string", options).alias("post")
     )
-    malformed = F.col(f"post.{CORRUPT}").isNotNull()
-    return parsed.where(~malformed).select("post.*").drop(CORRUPT), parsed.where(malformed).select("value")
+    bad = F.col("post").isNull() | F.col(f"post.{CORRUPT}").isNotNull()
+    return parsed.select("value", F.col("post").dropFields(CORRUPT).alias("post"), bad.alias("malformed"))
 
 
 def read_framed(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
