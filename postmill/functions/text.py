@@ -6,10 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# How search keys write optional texts.
+ABSENT, GIVEN = "-", "="
+
+# The patterns of normalized names.
+SPACES, DROPPED = r"\s+", "[^-a-zA-Z0-9]"
+
+
 def slug(value: Column) -> Column:
     """Whitespace runs to ``-``, everything but letters, digits and ``-`` dropped, lower case."""
-    dashed = F.regexp_replace(value, r"\s+", "-")
-    return F.lower(F.regexp_replace(dashed, "[^-a-zA-Z0-9]", ""))
+    dashed = F.regexp_replace(value, SPACES, "-")
+    return F.lower(F.regexp_replace(dashed, DROPPED, ""))
 
 
 def table_name(normalized: Column) -> Column:
@@ -48,9 +55,15 @@ def query_key(
     start_ms: Column,
     end_ms: Column,
 ) -> Column:
-    """Digest that identifies a search: equal searches on one event get equal keys."""
-    def text(c: Column) -> Column:
-        return F.coalesce(c.cast("string"), F.lit("null"))
+    """Digest that identifies a search: equal searches on one event get equal keys.
 
-    params = F.concat_ws(",", text(predicates), text(hashtags), text(language), text(start_ms), text(end_ms))
+    An absent text differs from every given one, so nothing can be asked for by the word
+    that stands for absence.
+    """
+    def optional(c: Column) -> Column:
+        return F.coalesce(F.concat(F.lit(GIVEN), c.cast("string")), F.lit(ABSENT))
+
+    params = F.concat_ws(
+        ",", predicates, optional(hashtags), optional(language), start_ms.cast("string"), end_ms.cast("string")
+    )
     return F.sha2(F.concat(event, params), 256)

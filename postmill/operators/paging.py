@@ -9,19 +9,16 @@ from postmill.operators.volume import page_positions
 from postmill.session import scratch_path
 
 DEFAULT_COUNT = 100
-TOP_ROWS = 100_000
 
 
 def page_results(rows: DataFrame, order: list[Column | str], page: int = 1, count: int = DEFAULT_COUNT) -> DataFrame:
     """One page of ``rows`` in a total ``order``.
 
-    A page near the front is a top-k over partitions, which one task merges; a page
-    further back than ``TOP_ROWS`` is taken from sorted rows with stored positions.
+    A top-k over partitions, which one task merges: meant for pages near the front. Results
+    that are paged through deeply are stored with ``with_positions`` and read with
+    ``page_by_position``.
     """
-    start, end = page_positions(page, count)
-    if end > TOP_ROWS:
-        deep = page_by_position(with_positions(rows, order), page, count)
-        return deep.orderBy("position").drop("position")
+    start, _ = page_positions(page, count)
     return rows.orderBy(*order).offset(start).limit(count)
 
 

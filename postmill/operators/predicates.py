@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postmill.functions.text import ABSENT, GIVEN
 from postmill.functions.times import created_ms
 
 ALLWORDS, ANYWORDS, NOTWORDS, PHRASE = "ALLWORDS", "ANYWORDS", "NOTWORDS", "PHRASE"
@@ -115,7 +116,7 @@ class PostQuery:
         for i, p in enumerate(self.predicates):
             block += (")OR(" if p.is_or else ")AND(") * (i > 0) + p.canonical()
         tags = None if self.hashtags is None else ",".join(sorted(_items(self.hashtags)))
-        shown = ["null" if v is None else v for v in (tags, self.language)]
+        shown = [ABSENT if v is None else f"{GIVEN}{v}" for v in (tags, self.language)]
         return f"{block}),{shown[0]},{shown[1]},{self.start_ms},{self.end_ms}"
 
     def key(self, event: str) -> str:
@@ -155,13 +156,8 @@ class PostQuery:
         return [(p.is_or, p.condition(short, long)) for p in self.predicates]
 
     def _words(self, text: Column, full_text: Column) -> Column:
-        """The predicate block.
-
-        From three words on each text is lower-cased just once, by passing the pair
-        through a one-element array; below that the plain form is faster.
-        """
-        if sum(len(e.words) for p in self.predicates for e in p.expressions) < 3:
-            return _join_mixed(self._parts(F.lower(text), F.lower(full_text)))
+        """The predicate block; each text is lower-cased just once, by passing the pair
+        through a one-element array."""
         texts = F.array(F.struct(F.lower(text).alias("short"), F.lower(full_text).alias("long")))
         return F.exists(texts, lambda t: _join_mixed(self._parts(t["short"], t["long"])))
 

@@ -137,13 +137,12 @@ def route_many(posts: DataFrame, rules: DataFrame, value: str = "value") -> Data
     """
     single = event_rules(rules)
     is_follow = F.col("match_key") == FOLLOWS
-    terms = F.when(F.col("match_key") == COVID19, F.array(F.lit(""))).otherwise(
-        keyword_terms(F.col("condition"))
-    )
+    is_every = F.col("match_key") == COVID19
+    terms = F.when(is_every, F.array(F.lit(""))).otherwise(keyword_terms(F.col("condition")))
     sized = F.transform(terms, lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))
     filed = single.withColumn("match_key", F.coalesce("match_key", F.lit(""))).select(
         "event",
-        F.when(is_follow, F.array().cast("array<string>")).otherwise(F.array_distinct(terms)).alias("_terms"),
+        F.when(is_follow | is_every, F.array().cast("array<string>")).otherwise(F.array_distinct(terms)).alias("_terms"),
         F.when(is_follow, F.concat(F.lit(ACCOUNT), F.col("condition")))
         .otherwise(F.substring(F.array_max(sized)["t"], 1, GRAM))
         .alias("_key"),
@@ -154,16 +153,21 @@ def route_many(posts: DataFrame, rules: DataFrame, value: str = "value") -> Data
         # Overlapping groups: an empty match at every place that n letters follow.
         return F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
-    ids = F.coalesce(accounts(F.col("_raw")), F.array().cast("array<string>"))
-    # At most GRAM + 1 different lengths come back; posts only offer those in use.
-    in_use = filed.where(F.size("_terms") > 0).select(F.length("_key").alias("n")).distinct().collect()
+    nothing = F.array().cast("array<string>")
+    ids = F.coalesce(accounts(F.col("_raw")), nothing)
+    # At most GRAM + 1 different lengths come back; posts only offer those in use. A null
+    # post has no letters, but a match-all rule is filed under the empty text.
+    keyed = filed.where(~F.col("_key").startswith(ACCOUNT))
+    in_use = keyed.select(F.length("_key").alias("n")).distinct().collect()
     offered = F.concat(
         F.transform(ids, lambda i: F.concat(F.lit(ACCOUNT), i)),
-        *[letter_groups(row.n) if row.n else F.array(F.lit("")) for row in in_use],
+        *[F.coalesce(letter_groups(row.n), nothing) if row.n else F.array(F.lit("")) for row in in_use],
     )
     # What a post matches depends on its text alone, so candidates are found and tested
-    # per text digest; the narrow rows of the letter groups never carry the text.
-    digest = F.sha2(value, 256)
+    # per text digest; the narrow rows of the letter groups never carry the text. Letter
+    # groups that no rule is filed under are dropped by the join before anything is shuffled
+    # twice. No digest is empty, so the empty text stands for a null post.
+    digest = F.coalesce(F.sha2(value, 256), F.lit(""))
     texts = posts.select(digest.alias("_post"), F.lower(value).alias("_low"), F.col(value).alias("_raw"))
     candidates = (
         texts.select("_post", F.explode(offered).alias("_key"))

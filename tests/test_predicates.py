@@ -118,7 +118,8 @@ def test_key_ignores_word_and_hashtag_order_only():
     assert query("b,a", "y,x").key("e") == query("A,b", "x,y").key("e")
     assert query("b,a", "x").key("e") != query("b,a", "x", "ANYWORDS").key("e")
     assert query("b", "x").key("e") != query("b", "x").key("f")
-    assert query("b", "x").canonical() == "(ALLWORDSb),x,en,0,0"
+    assert query("b", "x").canonical() == "(ALLWORDSb),=x,=en,0,0"
+    assert PostQuery(hashtags="null").key("e") != PostQuery().key("e") != PostQuery(hashtags="-").key("e")
 
 
 def test_key_column_equals_the_query_key(spark):

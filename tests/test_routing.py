@@ -10,7 +10,7 @@ RULES = "event string, match_key string, condition string"
 
 
 def raw(spark, *values):
-    rows = [(str(i), v if isinstance(v, str) else json.dumps(v)) for i, v in enumerate(values)]
+    rows = [(str(i), v if v is None or isinstance(v, str) else json.dumps(v)) for i, v in enumerate(values)]
     return spark.createDataFrame(rows, "n string, value string")
 
 
@@ -64,7 +64,7 @@ def many(spark):
         if rng.random() < 0.3:
             post["in_reply_to_user_id_str"] = str(rng.randint(1, 6))
         posts.append(post)
-    posts += [posts[0], posts[0], "", "x", "broken {"]
+    posts += [posts[0], posts[0], "", "x", "broken {", None]
     rules = [
         ("a", "KEYWORDS", "fire,flood fire,lake"), ("b", "KEYWORDS", "storm"), ("b", "KEYWORDS", "watch,ab"),
         ("c", "FOLLOWS", "1,2"), ("d", "COVID19", ""), ("e", "KEYWORDS", "x,é"), ("f", "KEYWORDS", ""),
