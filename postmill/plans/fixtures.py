@@ -80,8 +80,8 @@ def text_posts(spark: SparkSession, sf_dir: str, authors: bool = True, long_text
         orders = table(spark, sf_dir, "orders").select(
             "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority"
         )
-        posts = posts.join(orders, F.col("doc_id") == F.col("o_orderkey")).join(
-            table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")
+        posts = posts.join(orders, F.col("doc_id") == F.col("o_orderkey"), "left").join(
+            table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left"
         )
         tags = F.array(
             F.struct(F.col("c_mktsegment").alias("text")), F.struct(F.col("o_orderpriority").alias("text"))

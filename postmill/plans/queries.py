@@ -15,7 +15,7 @@ from postmill.operators import catalogue as cat
 from postmill.operators import geotag, mentions, paging, predicates, projections, routing, search, upsert, volume
 from postmill.operators.predicates import Expression, PostQuery, Predicate
 from postmill.plans import fixtures as fx
-from postmill.schema import FILE_INDEX
+from postmill.schema import FILE_INDEX, GEO_INDEX, TABLES
 from postmill.session import scratch_path
 from postmill.sinks import curated
 from postmill.sinks.snapshots import SnapshotStore
@@ -153,6 +153,14 @@ def route_rules_many(spark, d):
     return routing.route_many(fx.raw_posts(spark, d), fx.rules(spark)).select("event", "id_str")
 
 
+def route_rules_null(spark, d):
+    """Texts that are null for one role, through the way for many rules."""
+    talks = fx.table(spark, d, "conversations")
+    posts = talks.select("conv_id", "turn", F.when(F.col("role") != "system", F.col("text")).alias("value"))
+    rules = spark.createDataFrame([("everything", "COVID19", ""), ("the", "KEYWORDS", "the")], TABLES["rules"])
+    return routing.route_many(posts, rules).select("event", "conv_id", "turn")
+
+
 # ---- mentions, media, geo ----------------------------------------------------
 
 def _joined_names(rows):
@@ -243,6 +251,21 @@ def geotag_first(spark, d):
     return geotag.geotag_index_load(everything, index, "media_pos")
 
 
+def geotag_load_twice(spark, d):
+    """The index job, each of its two loads tried again after it was complete."""
+    store = SnapshotStore(spark, scratch_path(spark, "results"))
+    posts = fx.order_posts(spark, d)
+    for run, part in enumerate((posts.where(F.col("coordinates").isNotNull()), posts)):
+        rows = geotag.geotag_extract(part, "event", positions=True)
+        store.write(rows, "geotag", "all", RUN_MS + run)
+        for _ in range(2):
+            fresh = geotag.geotag_index_rows(store.latest("geotag", "all", schema=rows.schema), "media_pos")
+            index = store.parts("geo_tag_index", "all", GEO_INDEX)
+            added = upsert.new_rows(index, fresh, ["event", "tweet_id_str"], unique=True)
+            store.write(added.orderBy("geo_hash"), "geo_tag_index", "all", RUN_MS + run)
+    return store.parts("geo_tag_index", "all", GEO_INDEX)
+
+
 def geo_box_query(spark, d):
     found = geotag.geo_box_query(_geo_index(spark, d), BOX, 4)
     return found.select(
@@ -320,7 +343,10 @@ def page_status(spark, d):
 def index_refresh(spark, d):
     files = fx.hour_files(spark, d)
     cut = F.to_timestamp(F.lit("2024-01-20 00:00:00"))
-    late = (F.col("event") == "click") & (F.col("hour") == F.to_timestamp(F.lit("2024-01-19 20:00:00")))
+    # One file that comes a day of hourly files late, and one that comes a few late.
+    late = (F.col("event") == "click") & F.col("hour").isin(
+        *[F.to_timestamp(F.lit(t)) for t in ("2024-01-18 17:00:00", "2024-01-19 20:00:00")]
+    )
     seen = files.where((F.col("hour") < cut) & ~late).select("filename")
     path = scratch_path(spark, "index")
     volume.file_offsets(volume.file_listing(seen)).write.parquet(path)
@@ -328,6 +354,25 @@ def index_refresh(spark, d):
     return volume.index_refresh(before, volume.file_listing(files.select("filename")))
 
 
+def index_refresh_twice(spark, d):
+    """The same refresh tried again after it was complete, as a job that is restarted does."""
+    store = SnapshotStore(spark, scratch_path(spark, "results"))
+    files = volume.file_listing(fx.hour_files(spark, d).select("filename"))
+    store.write(volume.file_offsets(files.where("event = 'view'")), "event_index", "all", RUN_MS)
+    for _ in range(2):
+        index = store.latest("event_index", "all", schema=FILE_INDEX)
+        store.write(volume.index_refresh(index, files), "event_index", "all", RUN_MS + 1)
+    return store.latest("event_index", "all", schema=FILE_INDEX)
+
+
+def counts_by_column(spark, d):
+    """Counts per day of a time column: every order one row of an index."""
+    rows = fx.table(spark, d, "orders").select(
+        F.col("o_orderstatus").alias("event"), F.lit(0).alias("start_index"), F.lit(1).alias("end_index"), fx.order_ms().alias("ms")
+    )
+    return volume.bucket_counts(rows, "day", time="ms").select("event", "time", F.col("count").cast("bigint").alias("count"))
+
+
 def hour_path(spark, d):
     return fx.table(spark, d, "orders").select(
         "o_orderkey", times.hour_path(F.timestamp_millis(fx.order_ms())).alias("folder")
@@ -347,14 +392,14 @@ def _terms(spark, d):
 
 def events_with_terms(spark, d):
     rows = cat.events_with_terms(fx.catalogue(spark, d), _terms(spark, d))
-    return rows.select("name", "normalized_name", "status", "match_key", "terms")
+    return rows.select("name", "normalized_name", "status", "match_key", "chunk", "terms")
 
 
 def active_events(spark, d):
     rows = cat.active_events(
         fx.catalogue(spark, d), fx.keywords(spark, d), fx.follows(spark, d), fx.covid19(spark, d)
     )
-    return rows.select("normalized_name", "author", "match_key", "terms")
+    return rows.select("normalized_name", "author", "match_key", "chunk", "terms")
 
 
 def active_terms(spark, d):
@@ -390,11 +435,51 @@ def event_status(spark, d):
 def event_detail(spark, d):
     rows = cat.event_detail(fx.catalogue(spark, d), _terms(spark, d), fx.activity(spark, d))
     return rows.select(
-        "normalized_name", "status", "match_key", "terms", "activity_type",
+        "normalized_name", "status", "kind", "match_key", "chunk", "terms", "activity_type",
         F.unix_micros("activity_time").alias("activity_us"), "activity_author",
     )
 
 
+def long_term_list(spark, d):
+    """Term lists of whole texts, far over one chunk, taken apart again."""
+    words = fx.table(spark, d, "documents").select(
+        F.lit("KEYWORDS").alias("match_key"), F.concat_ws("-", "source", "doc_id", "text").alias("term")
+    )
+    talks = fx.table(spark, d, "conversations").select(F.lit("FOLLOWS").alias("match_key"), F.col("conv_id").cast("string").alias("term"))
+    rows = words.unionByName(talks).withColumn("term", F.translate("term", ",", ";"))
+    lists = cat.gather_terms(rows, ["match_key"], chunk_bytes=1 << 16)
+    terms = F.split("terms", ",")
+    size = F.octet_length("terms") - (F.size(terms) - 1)
+    return lists.groupBy("match_key").agg(F.sum(F.size(terms)).alias("n_terms"), F.sum(size).cast("bigint").alias("n_bytes"))
+
+
+def event_create(spark, d):
+    """New events, one per source, with the languages as terms; taken and invalid ones are left out."""
+    docs = fx.table(spark, d, "documents")
+    new = docs.groupBy("source").agg(F.array_sort(F.collect_set("lang")).alias("keywords")).select(
+        F.col("source").alias("name"), F.lit("all of a source").alias("description"), F.lit("me").alias("author"),
+        F.lit("ACTIVE").alias("status"), F.lit("KEYWORDS").alias("match_key"), "keywords",
+    )
+    invalid = new.withColumns({"name": F.concat("name", F.lit(" x")), "match_key": F.lit(None).cast("string")})
+    now = F.timestamp_millis(F.lit(1700000000000))
+    events = fx.catalogue(spark, d).withColumn("created_at", F.lit(None).cast("timestamp"))
+    terms = _terms(spark, d).select("event_name", "term", "match_key")
+    heads, words, log = cat.add_events(events, terms, fx.activity(spark, d), new.unionByName(invalid), now)
+    parts = [
+        heads.select(F.lit("event").alias("kind"), "name", F.col("normalized_name").alias("event_name"), F.unix_millis("created_at").alias("ms")),
+        words.select(F.lit("term").alias("kind"), F.col("term").alias("name"), "event_name", F.lit(None).cast("bigint").alias("ms")),
+        log.select(F.lit("log").alias("kind"), F.col("type").alias("name"), "event_name", F.unix_millis("time").alias("ms")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def annotation_check(spark, d):
+    labels = fx.table(spark, d, "labels")
+    tag = F.when(F.col("quality") == 1, "Good  text").otherwise("!")
+    rows = labels.select(F.col("doc_id").cast("string").alias("tweet_id"), tag.alias("tag"), F.lit("quality").alias("event_name"))
+    return cat.validate_annotations(rows).select("tweet_id", "tag", F.array_join("reasons", ",").alias("reasons"))
+
+
 def exists_flags(spark, d):
     wanted = fx.activity(spark, d).select(F.col("event_name").alias("normalized_name")).distinct()
     return upsert.exists_flags(wanted, fx.catalogue(spark, d), ["normalized_name"])
@@ -510,10 +595,24 @@ def scan_tolerant(spark, d):
     return timeline.read_tolerant(spark, _with_noise(spark, d)).select("id_str", "lang")
 
 
+def scan_tolerant_counts(spark, d):
+    """Rows counted in three ways over lines that also hold numbers of a wrong type."""
+    path = _with_noise(spark, d)
+    wrong = fx.table(spark, d, "pages").select(
+        F.to_json(F.struct(F.col("page_id").cast("string").alias("id_str"), F.col("url").alias("retweet_count"))).alias("value")
+    )
+    wrong.write.mode("append").text(path)
+    posts = timeline.read_tolerant(spark, path)
+    counts = [posts.agg(F.lit("all").alias("of"), F.count(F.lit(1)).alias("n"))]
+    counts += [posts.select(c).agg(F.lit(c).alias("of"), F.sum(F.lit(1)).alias("n")) for c in ("id_str", "lang")]
+    return timeline.union_partitions(counts)
+
+
 def scan_quarantine(spark, d):
-    good, bad = timeline.read_quarantined(spark, _with_noise(spark, d))
-    return good.select(F.lit("post").alias("kind"), F.col("id_str").alias("value")).unionByName(
-        bad.select(F.lit("bad").alias("kind"), "value")
+    lines = timeline.read_flagged(spark, _with_noise(spark, d))
+    return lines.select(
+        F.when(F.col("malformed"), "bad").otherwise("post").alias("kind"),
+        F.when(F.col("malformed"), F.col("value")).otherwise(F.col("post.id_str")).alias("value"),
     )
 
 
@@ -640,7 +739,16 @@ def snapshot_write(spark, d):
     ranked = mentions.mentions_ranking(fx.line_posts(spark, d), ordered=False)
     store.write(ranked, "mentions", "storm", RUN_MS)
     store.write(mentions.media_extract(fx.line_posts(spark, d)), "media", "storm", RUN_MS + 1, fmt="json")
-    return store.runs()
+    return store.runs().drop("attempt")
+
+
+def snapshot_rows(spark, d):
+    """Rows of a snapshot written as gzip JSON, tried twice, read back."""
+    store = SnapshotStore(spark, scratch_path(spark, "results"))
+    rows = mentions.media_extract(fx.line_posts(spark, d))
+    for _ in range(2):
+        store.write(rows, "media", "storm", RUN_MS, fmt="json", compression="gzip")
+    return store.latest("media", "storm", schema=rows.schema)
 
 
 def snapshot_latest(spark, d):
@@ -690,6 +798,15 @@ QUERIES = {
     "match_any_condition": match_any_condition,
     "route_rules": route_rules,
     "route_rules_many": route_rules_many,
+    "route_rules_null": route_rules_null,
+    "geotag_load_twice": geotag_load_twice,
+    "index_refresh_twice": index_refresh_twice,
+    "counts_by_column": counts_by_column,
+    "long_term_list": long_term_list,
+    "event_create": event_create,
+    "annotation_check": annotation_check,
+    "scan_tolerant_counts": scan_tolerant_counts,
+    "snapshot_rows": snapshot_rows,
     "geohash_encode": geohash_encode,
     "geohash_decode": geohash_decode,
     "bbox_center": bbox_center,
