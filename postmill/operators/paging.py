@@ -55,14 +55,15 @@ def page_status(total: Column, start: int) -> Column:
     return F.when(total == -1, "not_found").when(total < start, "out_of_range").otherwise("ok")
 
 
-def with_positions(rows: DataFrame, order: list[Column | str]) -> DataFrame:
+def with_positions(rows: DataFrame, order: list[Column | str], path: str | None = None) -> DataFrame:
     """Rows with a 0-based ``position`` along ``order``, ready for deep paging.
 
     Sorted by range partitions and written out once, since both later steps must see the
     same partitions; then each row's number inside its partition is added to the rows
     of the partitions before it. Only one count per partition is ever brought together.
+    ``path`` is the folder for that, which a job that stores the result can remove after it.
     """
-    path = scratch_path(rows.sparkSession, "ranked")
+    path = path or scratch_path(rows.sparkSession, "ranked")
     rows.orderBy(*order).select(
         "*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")
     ).write.parquet(path)

@@ -11,6 +11,7 @@ from postmill.operators.paging import page_by_position, with_positions
 from postmill.operators.upsert import new_rows
 from postmill.operators.volume import file_listing, index_refresh
 from postmill.schema import FILE_INDEX, GEO_INDEX
+from postmill.session import scratch_folder
 from postmill.sinks.snapshots import SnapshotStore
 from postmill.sources.tables import stored_files
 from postmill.sources.timeline import read_timeline
@@ -26,14 +27,16 @@ TAGS = (
 def run_mentions(store: SnapshotStore, posts: DataFrame, event: str, run_ms: int) -> int:
     """Publish the mention ranking with positions; returns the number of accounts."""
     ranked = mentions_ranking(posts, ordered=False)
-    placed = with_positions(ranked, [F.desc("times_mentioned"), F.asc_nulls_last("user_id")])
-    return store.write(placed, "mentions", event, run_ms)
+    with scratch_folder(store.spark, "ranked") as path:
+        placed = with_positions(ranked, [F.desc("times_mentioned"), F.asc_nulls_last("user_id")], path)
+        return store.write(placed, "mentions", event, run_ms)
 
 
 def run_media(store: SnapshotStore, posts: DataFrame, event: str, run_ms: int) -> int:
     """Publish the media rows with positions; returns their number."""
-    rows = with_positions(media_extract(posts), ["media_id", "tweet_url", "user"])
-    return store.write(rows, "media", event, run_ms)
+    with scratch_folder(store.spark, "ranked") as path:
+        rows = with_positions(media_extract(posts), ["media_id", "tweet_url", "user"], path)
+        return store.write(rows, "media", event, run_ms)
 
 
 def run_geotag(store: SnapshotStore, posts: DataFrame, event: str, run_ms: int) -> int:

@@ -295,6 +295,11 @@ ORACLES = {
     "search_tweets": f"""WITH {BASE}, hits AS (
         SELECT id_str, text, CAST(ms AS VARCHAR) AS timestamp_ms, source, {USER}, ms FROM text_posts WHERE {TREE}
         ORDER BY ms, id_str LIMIT 50 OFFSET 50) SELECT * EXCLUDE (ms) FROM hits""",
+    "search_page_cached": f"""WITH {BASE}, hits AS (SELECT * FROM text_posts WHERE {TREE})
+        SELECT id_str, CAST(ms AS VARCHAR) AS timestamp_ms, replace(lower(c_name), '#', '') AS screen_name, (SELECT count(*) FROM hits) AS total_count,
+          CAST(ceil((SELECT count(*) FROM hits) / 50.0) AS BIGINT) AS num_pages,
+          greatest(0, least(50, (SELECT count(*) FROM hits) - 50)) AS tweet_count
+        FROM hits ORDER BY ms, id_str LIMIT 50 OFFSET 50""",
     "search_cached": f"WITH {BASE} SELECT id_str, text, CAST(ms AS VARCHAR) AS timestamp_ms, source, {USER} FROM text_posts WHERE {TREE}",
     "search_curated": f"""WITH {BASE} SELECT id_str, ms AS created_ms FROM text_posts
         WHERE ms BETWEEN 883612800000 AND 946684800000 AND lang = 'en' AND {TREE}""",
@@ -420,6 +425,8 @@ ORACLES = {
         UNION ALL SELECT 'conversations', CAST(conv_id AS VARCHAR), text FROM conversations""",
     "stream_source": "SELECT CAST(doc_id AS VARCHAR) AS id_str, lang FROM documents",
     "stream_sink": "SELECT 'turn-' || conv_id || '-' || turn AS id_str, text FROM conversations",
+    "collect_to_pages": f"""WITH {ROUTED} SELECT event, 'count' AS kind, count(*) AS n FROM routed GROUP BY event
+        UNION ALL SELECT 'everything', 'position', unnest(range(50, least(100, (SELECT count(*) FROM raw))))""",
     "land_hourly": f"WITH {ROUTED} SELECT event, {FOLDER}, id_str FROM routed",
     "restart_exactly_once": f"WITH {ROUTED} SELECT event, {FOLDER}, id_str FROM routed UNION ALL SELECT event, {FOLDER}, id_str FROM talk_routed",
     "rule_refresh": f"""WITH {ROUTED} SELECT event, {FOLDER}, id_str FROM routed WHERE event = 'fire'

@@ -15,12 +15,13 @@ from postmill.operators import catalogue as cat
 from postmill.operators import geotag, mentions, paging, predicates, projections, routing, search, upsert, volume
 from postmill.operators.predicates import Expression, PostQuery, Predicate
 from postmill.plans import fixtures as fx
+from postmill.plans import jobs
 from postmill.schema import FILE_INDEX, GEO_INDEX, TABLES
 from postmill.session import scratch_path
 from postmill.sinks import curated
 from postmill.sinks.snapshots import SnapshotStore
 from postmill.sources import tables, timeline
-from postmill.streaming import collect
+from postmill.streaming import collect, publish
 
 RUN_MS = 1704067200000
 BOX = (50.0, -120.0, 10.0, 60.0)
@@ -119,6 +120,32 @@ def search_cached(spark, d):
     return search.search_cached(spark, posts, query, "storm", root, RUN_MS + 1)
 
 
+def search_page_cached(spark, d):
+    """Page 2 of a stored search, asked for twice, each row with the page's metadata."""
+    root = scratch_path(spark, "results")
+    query, posts = PostQuery([TREE]), fx.text_posts(spark, d)
+    search.search_answer(spark, posts, query, "storm", root, RUN_MS, page=1, count=50)
+    page, meta = search.search_answer(spark, posts, query, "storm", root, RUN_MS + 1, page=2, count=50)
+    row = meta.first()
+    more = {c: F.lit(row[c]).cast("bigint") for c in ("total_count", "num_pages", "tweet_count")}
+    return page.select("id_str", "timestamp_ms", F.col("user.screen_name").alias("screen_name")).withColumns(more)
+
+
+def collect_to_pages(spark, d):
+    """Posts streamed in, published, indexed, counted, and page 2 of each event read back."""
+    feed, landed, root, mark, results = (scratch_path(spark, p) for p in ("feed", "landed", "stored", "checkpoint", "results"))
+    fx.raw_posts(spark, d).select("value").repartition(4).write.text(feed)
+    lines = collect.file_source(spark, feed, files_per_batch=2)
+    collect.drain(collect.collect_posts(lines, fx.rules(spark), landed, mark, now=_clock))
+    publish.publish_landed(spark, landed, root, RUN_MS, rows_per_file=40)
+    store = SnapshotStore(spark, results)
+    jobs.refresh_file_index(store, root, RUN_MS)
+    index = jobs.file_index(store)
+    counts = volume.bucket_counts(index, "month").select("event", F.lit("count").alias("kind"), F.col("count").cast("bigint").alias("n"))
+    page = tables.read_page(spark, root, index, "everything", 2, 50)
+    return counts.unionByName(page.select(F.lit("everything").alias("event"), F.lit("position").alias("kind"), F.col("position").alias("n")))
+
+
 def page_meta(spark, d):
     hits = PostQuery([TREE]).apply(fx.text_posts(spark, d, authors=False))
     return paging.page_meta(hits, "storm", page=2, count=50)
@@ -788,6 +815,8 @@ QUERIES = {
     "filter_full_query_legacy": filter_full_query_legacy,
     "search_tweets": search_tweets,
     "search_cached": search_cached,
+    "search_page_cached": search_page_cached,
+    "collect_to_pages": collect_to_pages,
     "search_curated": search_curated,
     "page_meta": page_meta,
     "page_results": page_results,

@@ -33,6 +33,7 @@ def publish_landed(
 ) -> int:
     """Publish the batches that landed since the last run; returns the number of files."""
     store = SnapshotStore(spark, f"{root.rstrip('/')}/_publish")
+    _files(spark, root).mkdirs(_path(spark, root))
     if store.latest_run(JOB, f"run-{run_ms}") is None:
         first, last = _new_batches(spark, store, landing)
         if last is None:
@@ -87,13 +88,19 @@ def _plan(spark: SparkSession, root: str, staging: str) -> DataFrame:
     return placed.select("source", file_name(F.col("event"), written, F.col("rows")).alias("target"), "rows")
 
 
+def _path(spark: SparkSession, name: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+
+
+def _files(spark: SparkSession, root: str):
+    return _path(spark, root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def _move(spark: SparkSession, moves: DataFrame, root: str) -> int:
     """Rename every staged file that is still there; file names alone come to the driver, one at a time."""
-    paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    files, count = paths(root).getFileSystem(conf), 0
+    files, count = _files(spark, root), 0
     for move in moves.toLocalIterator():
-        source, target = paths(move.source), paths(f"{root.rstrip('/')}/{move.target}")
+        source, target = _path(spark, move.source), _path(spark, f"{root.rstrip('/')}/{move.target}")
         count += 1
         if files.exists(source):
             files.mkdirs(target.getParent())
