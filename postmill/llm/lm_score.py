@@ -5,8 +5,8 @@ document holds, times ``alpha`` for every order skipped; a word that no other do
 gets ``alpha`` once more over the number of all other words plus one. Counts are those of all
 documents without the document that is scored.
 
-Documents are dealt to buckets of about ``bucket_bytes`` of text and n-grams to parts by their
-hash. A bucket sends each part its distinct n-grams with their counts, packed in one row. In a
+Documents are dealt to buckets of about ``bucket_bytes`` of text, compressed, and n-grams to
+parts by their hash. A bucket sends each part its distinct n-grams with their counts, packed in one row. In a
 part all buckets' n-grams are summed into the count table and joined back to the buckets that
 asked; a bucket then sums the scores per document. An n-gram can only occur elsewhere if both
 its shorter n-grams do, so orders above two are asked for these alone.
@@ -21,8 +21,11 @@ are runs of letters and digits with A-Z in lower case.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,12 +37,26 @@ SPREAD = U64(0x9E3779B97F4A7C15)
 
 
 def packed(values: np.ndarray) -> bytes:
-    """64-bit numbers by byte planes, which compress well where high bytes are zero."""
-    return np.ascontiguousarray(values.astype(U64).view(np.uint8).reshape(-1, 8).T).tobytes()
+    """64-bit numbers by byte planes, compressed: high bytes are mostly zero."""
+    planes = np.ascontiguousarray(values.astype(U64).view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(U64).ravel()
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(U64).ravel()
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, place of each key among them, how often each occurs)."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    heads = np.flatnonzero(new)
+    return ordered[heads], place, np.diff(np.append(heads, len(keys)))
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -54,7 +71,7 @@ class Bucket:
     words, which a document holds once per word.
     """
 
-    def __init__(self, texts: pa.ChunkedArray, order: int):
+    def __init__(self, texts: pa.Array, order: int):
         self.order = order
         parts = [[] for _ in range(order + 1)]
         docs = [[] for _ in range(order + 1)]
@@ -99,19 +116,23 @@ class Bucket:
     def learn(self, level: int, totals: np.ndarray) -> None:
         """Take in the totals of a level's distinct keys, in their order."""
         keys, orders = self.level(level)
-        distinct = np.unique(keys)
+        found = totals.astype(np.int64)[grouped(keys)[1]]
         if level == 0:
             self.all_words = int(totals[0])
+        before = 0
         for n, at in orders:
-            own_keys = self.keys[n][at]
-            _, back, times = np.unique(own_keys + self.doc[at].astype(U64) * SPREAD, return_inverse=True, return_counts=True)
-            found = totals[np.searchsorted(distinct, own_keys)].astype(np.int64) - times[back]
+            total = found[before : before + len(at)]
+            before += len(at)
+            # An n-gram that occurs once occurs here only.
+            often = np.flatnonzero(total > 1)
+            total, at = total[often], at[often]
+            _, place, times = grouped(self.keys[n][at] + self.doc[at].astype(U64) * SPREAD)
             self.others[n] = np.zeros(len(self.doc), np.int64)
-            self.others[n][at] = found
+            self.others[n][at] = total - times[place]
 
     def asked(self, level: int) -> tuple[np.ndarray, np.ndarray]:
         """(distinct keys, how often each occurs here)."""
-        keys, times = np.unique(self.level(level)[0], return_counts=True)
+        keys, _, times = grouped(self.level(level)[0])
         if level == 0:
             times[0] = len(self.doc)
         return keys, times
@@ -146,8 +167,42 @@ def _totals_of(table: pa.Table) -> dict[int, np.ndarray]:
     return {level: np.concatenate(parts) for level, parts in out.items()}
 
 
+PACKS = "bucket long, ids array<long>, sizes binary, texts binary"
+
+
+def _packs(rows: DataFrame) -> DataFrame:
+    """Documents (bucket, doc_id, text) of a task's batch as one compressed row per bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            order = np.argsort(batch.column(0).to_numpy(), kind="stable")
+            batch = batch.take(pa.array(order))
+            bucket = batch.column(0).to_numpy()
+            edge = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+            packs = []
+            for low, high in zip(edge[:-1], edge[1:]):
+                parts = [(data.tobytes(), np.diff(offsets)) for _, _, data, offsets in slices(batch.column(2).slice(low, high - low))]
+                packs.append((squeeze.compress(b"".join(d for d, _ in parts)), np.concatenate([n for _, n in parts]).tobytes()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket[edge[:-1]]), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), batch.column(1)),
+                 pa.array([n for _, n in packs], pa.binary()), pa.array([t for t, _ in packs], pa.binary())],
+                ["bucket", "ids", "sizes", "texts"],
+            )
+
+    return rows.select("bucket", "doc_id", "text").mapInArrow(run, PACKS)
+
+
+def _texts(docs: pa.Table) -> pa.LargeStringArray:
+    sizes = np.concatenate([np.frombuffer(x, np.int64) for x in docs["sizes"].to_pylist()])
+    expand = zstandard.ZstdDecompressor()
+    data = b"".join(expand.decompress(x) for x in docs["texts"].to_pylist())
+    offsets = np.append(0, np.cumsum(sizes))
+    return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(data))
+
+
 def _learned(docs: pa.Table, totals: pa.Table | None, order: int) -> Bucket:
-    bucket = Bucket(docs["text"], order)
+    bucket = Bucket(_texts(docs), order)
     known = _totals_of(totals) if totals is not None else {}
     for level in sorted(known):
         bucket.learn(level, known[level])
@@ -185,9 +240,9 @@ def _ask(level: int, order: int, parts: int):
 def _answer(table):
     keys = [np.cumsum(unpacked(x), dtype=U64) for x in table["keys"].to_pylist()]
     times = np.concatenate([unpacked(x) for x in table["times"].to_pylist()])
-    _, back = np.unique(np.concatenate(keys), return_inverse=True)
+    _, place, _ = grouped(np.concatenate(keys))
     # Sums of counts stay exact below 2**53.
-    totals = np.bincount(back, times.astype(float)).astype(U64)[back]
+    totals = np.bincount(place, times.astype(float)).astype(U64)[place]
     edge = np.append(0, np.cumsum([len(x) for x in keys]))
     return pa.table({
         "bucket": table["bucket"], "part": table["part"], "level": table["level"],
@@ -200,7 +255,7 @@ def _score(order: int, alpha: float):
         if not docs.num_rows:
             return pa.table({c: pa.array([], t) for c, t in (("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64()))})
         bucket = _learned(docs, totals, order)
-        return pa.table({"doc_id": docs["doc_id"], "n_words": pa.array(bucket.n_words, pa.int64()), "log_score": pa.array(bucket.scores(alpha))})
+        return pa.table({"doc_id": docs["ids"].combine_chunks().flatten(), "n_words": pa.array(bucket.n_words, pa.int64()), "log_score": pa.array(bucket.scores(alpha))})
 
     return run
 
@@ -215,7 +270,7 @@ def stupid_backoff(
     size = rows.agg(F.sum(F.octet_length("text") + 32)).first()[0] or 0
     buckets, parts = -(-size // bucket_bytes) or 1, -(-size // part_bytes) or 1
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)))
-    dealt = rows.groupBy("bucket")
+    dealt = _packs(rows).groupBy("bucket")
     totals = None
     for level in range(max(order - 1, 1)):
         ask = _ask(level, order, parts)
