@@ -3,12 +3,12 @@
 Built-in functions only. A message's text may be a JSON object with ``tool_calls`` (role
 assistant: each with ``id``, ``name``, ``arguments`` and optionally ``after``, the ids of calls
 it needs) or with ``tool_call_id`` (role tool). Calls and results meet in a hash join by
-conversation and id. The order follows ``after``: calls whose needs are all placed are peeled
-off round by round, so rounds are the longest chain of calls; only ids take part in them.
+conversation and id. Calls are ordered topologically by ``after``: those listed before a call that
+they need are moved behind it, level by level.
 Arguments are tested against a schema table (name, argument, type, required). JSON is
 canonical: keys sorted at every depth, no spaces.
 
-Every message and every call is a row of its own (``turn``, ``level``, ``place`` give the order),
+Every message and every call is a row of its own (``level``, ``turn``, ``place`` give the order),
 so a conversation is never gathered into one row.
 
 Defined results: rows with a null conversation form one conversation; a null role or text is
@@ -104,24 +104,35 @@ def is_valid(calls: DataFrame, schemas: DataFrame) -> DataFrame:
 
 
 def levels_of(spark: SparkSession, calls: DataFrame) -> DataFrame:
-    """(conv, id, level) of the first call of each id that needs others; the rest have level 0."""
-    ids = calls.select("conv", "id").distinct()
-    needs = calls.select("conv", "id", F.explode("after").alias("need")).distinct()
-    known = ids.select("conv", F.col("id").alias("need"))
-    open_ = _stored(spark, needs.join(known, ["conv", "need"]).select("conv", "id", "need"))
-    placed, level = None, 0
-    while not open_.isEmpty():
+    """(conv, id, level) of calls whose order must change; all others have level 0.
+
+    A call listed after all that it needs keeps its place. Only calls that need one listed
+    later, and those that need such calls in turn, are peeled off round by round: level 1
+    needs none of them, level 2 only those of level 1 and so on; what is left needs itself.
+    By (level, turn, place) every call then comes after its needs. Rounds handle ids alone,
+    as many as the longest chain of moved calls.
+    """
+    listed = calls.groupBy("conv", "id").agg(F.min(F.struct("turn", "place", "after")).alias("at"))
+    known = listed.select("conv", F.col("id").alias("need"), F.struct("at.turn", "at.place").alias("need_at"))
+    needs = listed.select("conv", "id", F.struct("at.turn", "at.place").alias("at"), F.explode("at.after").alias("need")).distinct()
+    needs = _stored(spark, needs.join(known, ["conv", "need"]).select("conv", "id", "need", (F.col("need_at") >= F.col("at")).alias("later")))
+    moved = new = _stored(spark, needs.where("later").select("conv", "id").distinct())
+    while not new.isEmpty():
+        asks = needs.join(new.select("conv", F.col("id").alias("need")), ["conv", "need"], "left_semi")
+        new = _stored(spark, asks.select("conv", "id").distinct().join(moved, ["conv", "id"], "left_anti"))
+        moved = moved.unionByName(new)
+    open_ = needs.select("conv", "id", "need").join(moved.select("conv", F.col("id").alias("need")), ["conv", "need"], "left_semi")
+    rest = _stored(spark, moved)
+    placed, level = rest.where("false").withColumn("level", F.lit(0)), 0
+    while not rest.isEmpty():
         level += 1
-        waiting = open_.select("conv", F.col("id").alias("need")).distinct()
-        blocked = open_.join(waiting, ["conv", "need"], "left_semi").select("conv", "id").distinct()
-        ready = open_.select("conv", "id").distinct().join(blocked, ["conv", "id"], "left_anti")
-        ready = _stored(spark, ready.withColumn("level", F.lit(level)))
+        open_ = _stored(spark, open_.join(rest.select("conv", F.col("id").alias("need")), ["conv", "need"], "left_semi"))
+        waiting = _stored(spark, rest.join(open_, ["conv", "id"], "left_semi"))
+        ready = _stored(spark, rest.join(waiting, ["conv", "id"], "left_anti").withColumn("level", F.lit(level)))
         if ready.isEmpty():
-            ready = open_.select("conv", "id").distinct().withColumn("level", F.lit(-1))
-            return ready if placed is None else placed.unionByName(ready)
-        placed = ready if placed is None else placed.unionByName(ready)
-        open_ = _stored(spark, open_.join(ready.select("conv", "id"), ["conv", "id"], "left_anti"))
-    return spark.createDataFrame([], "conv string, id string, level int") if placed is None else placed
+            return placed.unionByName(waiting.withColumn("level", F.lit(-1)))
+        placed, rest = placed.unionByName(ready), waiting
+    return placed
 
 
 def _stored(spark: SparkSession, rows: DataFrame) -> DataFrame:
@@ -188,8 +199,9 @@ def with_tool_calls(table: DataFrame) -> DataFrame:
     """Conversations in which assistants call tools and the next user turns hold the results.
 
     An assistant turn calls ``search`` for its whole text and ``summarise`` after it and after
-    the ``summarise`` two turns earlier; some arguments are of a wrong type or missing. The
-    user turn after it answers the first call, and the second one mostly.
+    the ``search`` two turns earlier; some turns list the two in the wrong order, some arguments
+    are of a wrong type or missing. The user turn after it answers the first call, and the
+    second one mostly.
     """
     size = F.length("text")
     call_id = lambda turn, n: F.concat_ws(":", "conv_id", turn.cast("string"), F.lit(str(n)))
@@ -202,9 +214,10 @@ def with_tool_calls(table: DataFrame) -> DataFrame:
         F.lit('{"name":"summarise","id":'), json_text(call_id(turn, 1)),
         F.lit(',"arguments":{"words":'), size.cast("string"),
         F.when(size % 4 == 0, F.lit("")).otherwise(F.concat(F.lit(',"short":'), (size < 200).cast("string"))),
-        F.lit('},"after":'), F.to_json(F.array(call_id(turn, 0), call_id(turn - 2, 1))), F.lit("}"),
+        F.lit('},"after":'), F.to_json(F.array(call_id(turn, 0), call_id(turn - 2, 0))), F.lit("}"),
     )
-    asked = F.concat(F.lit('{"content":'), json_text(F.col("text")), F.lit(', "tool_calls":['), search, F.lit(","), summarise, F.lit("]}"))
+    both = F.when(size % 6 == 0, F.concat(summarise, F.lit(","), search)).otherwise(F.concat(search, F.lit(","), summarise))
+    asked = F.concat(F.lit('{"content":'), json_text(F.col("text")), F.lit(', "tool_calls":['), both, F.lit("]}"))
     answer = lambda n: F.concat(
         F.lit('{"tool_call_id":'), json_text(call_id(turn - 1, n)), F.lit(', "content":'), json_text(F.col("text")), F.lit("}")
     )

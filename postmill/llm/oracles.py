@@ -103,27 +103,22 @@ FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 CHATS = """
-WITH RECURSIVE m AS (SELECT conv_id, turn, role, text, length(text) AS size, to_json(text)::VARCHAR AS quoted FROM conversations),
+WITH m AS (SELECT conv_id, turn, role, text, length(text) AS size, to_json(text)::VARCHAR AS quoted FROM conversations),
 assistants AS (SELECT * FROM m WHERE role = 'assistant'),
-levels AS (
-  SELECT a.conv_id, a.turn, 1 AS level FROM assistants a ANTI JOIN assistants b ON a.conv_id = b.conv_id AND a.turn = b.turn + 2
-  UNION ALL
-  SELECT a.conv_id, a.turn, l.level + 1 FROM levels l JOIN assistants a ON a.conv_id = l.conv_id AND a.turn = l.turn + 2
-),
 answers AS (
   SELECT conv_id, turn, turn - 1 AS asked, n, quoted
   FROM (SELECT *, unnest(CASE WHEN size % 3 = 0 THEN [0] ELSE [0, 1] END) AS n FROM m WHERE role = 'user' AND turn > 0)
 ),
 calls AS (
-  SELECT conv_id, turn, 0 AS level, 0 AS n, 'search' AS name, size % 5 <> 0 AS valid,
+  SELECT conv_id, turn, 0 AS level, CASE WHEN size % 6 = 0 THEN 1 ELSE 0 END AS place, 0 AS n, 'search' AS name, size % 5 <> 0 AS valid,
     '{"limit":' || CASE WHEN size % 5 = 0 THEN '"many"' ELSE (size % 7)::VARCHAR END || ',"query":' || quoted || '}' AS arguments
   FROM assistants
   UNION ALL
-  SELECT conv_id, turn, level, 1, 'summarise', size % 4 <> 0,
+  SELECT conv_id, turn, CASE WHEN size % 6 = 0 THEN 1 ELSE 0 END, CASE WHEN size % 6 = 0 THEN 0 ELSE 1 END, 1, 'summarise', size % 4 <> 0,
     CASE WHEN size % 4 = 0 THEN '{"words":' ELSE '{"short":' || (size < 200)::VARCHAR || ',"words":' END || size::VARCHAR || '}'
-  FROM assistants JOIN levels USING (conv_id, turn)
+  FROM assistants
 )
-SELECT c.conv_id, c.turn, c.level, c.n AS place, 'call' AS kind, CASE WHEN a.conv_id IS NULL THEN 'unanswered' ELSE 'answered' END AS status,
+SELECT c.conv_id, c.turn, c.level, c.place, 'call' AS kind, CASE WHEN a.conv_id IS NULL THEN 'unanswered' ELSE 'answered' END AS status,
   c.conv_id || ':' || c.turn || ':' || c.n AS call_id, c.name, c.valid, (a.conv_id IS NOT NULL)::BIGINT AS n_results,
   '{"arguments":' || arguments || ',"id":"' || c.conv_id || ':' || c.turn || ':' || c.n || '","name":"' || c.name || '","result":'
     || coalesce(a.quoted, 'null') || '}' AS json

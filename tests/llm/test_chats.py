@@ -47,12 +47,13 @@ def test_order_of_calls(spark):
     got = called(
         spark,
         (1, 1, "assistant", calls(call("a", after=["b", "gone"]), call("b"), call("c", after=["a", "b"]), call("d", after=["a", "e"]), call("e", after=["d"]), call("f", after=["f"]))),
-        (2, 1, "assistant", calls(call("a", after=["z"]))),
+        (4, 9, "assistant", calls(*(call(f"k{i}", after=[f"k{i + 1}"] + ["k4"] * (i < 3)) for i in range(5)))),
         (3, 0, "assistant", calls(*(call(f"k{i}", after=[f"k{i - 1}"]) for i in range(6)))),
     )
-    levels = {(r.conv_id, r.call_id): r.level for r in got.values() if r.conv_id == 1}
-    assert levels == {(1, "b"): 0, (1, "a"): 1, (1, "c"): 2, (1, "d"): -1, (1, "e"): -1, (1, "f"): -1}
-    assert [got[0, i].level for i in range(6)] == list(range(6))
+    levels = {r.call_id: r.level for r in got.values() if r.conv_id == 1}
+    assert levels == {"b": 0, "a": 1, "c": 2, "d": -1, "e": -1, "f": -1}
+    assert [got[0, i].level for i in range(6)] == [0] * 6
+    assert [got[9, i].level for i in range(5)] == [4, 3, 2, 1, 0]
 
 
 def test_validation(spark):
