@@ -132,5 +132,5 @@ def score(
         return lambda batch: [trees.probability(statistics(batch.column(0)))]
 
     mine = F.coalesce(fold(quoted(find_column(docs, id_col)), parts) == held_out, F.lit(False))
-    scored = add_columns(docs, {"text": "string"}, "score double", make)
+    scored = add_columns(docs.drop("held_out", "predicted"), {"text": "string"}, "score double", make)
     return scored.withColumns({"held_out": mine, "predicted": (F.col("score") >= threshold).cast("int")})

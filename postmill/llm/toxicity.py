@@ -242,5 +242,5 @@ def score(
 ) -> DataFrame:
     """``docs`` with ``held_out``, ``score`` (probability of being toxic) and ``predicted``."""
     mine = F.coalesce(fold_of(quoted(find_column(docs, id_col)), parts) == held_out, F.lit(False))
-    scored = add_columns(docs, {"text": "string"}, "score double", _measure(spark.sparkContext.broadcast(lexicon), model))
+    scored = add_columns(docs.drop("held_out", "predicted"), {"text": "string"}, "score double", _measure(spark.sparkContext.broadcast(lexicon), model))
     return scored.withColumns({"held_out": mine, "predicted": (F.col("score") >= threshold).cast("int")})
