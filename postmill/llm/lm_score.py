@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm.rows import find_column, quoted
-from postmill.llm.words import PUNCTUATION, U64, Words, prefix_hash, slices, span_hash
+from postmill.llm.words import PUNCTUATION, U64, Words, mix, prefix_hash, slices, span_hash
 
 BUCKET_BYTES, PART_BYTES = 4 << 20, 8 << 20
 SPREAD = U64(0x9E3779B97F4A7C15)
@@ -47,16 +47,51 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(U64).ravel()
 
 
-def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys in order, place of each key among them, how often each occurs)."""
-    order = np.argsort(keys)
-    ordered = keys[order]
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys in order, how often each occurs)."""
+    ordered = np.sort(keys)
     new = np.ones(len(keys), bool)
     new[1:] = ordered[1:] != ordered[:-1]
-    place = np.empty(len(keys), np.int64)
-    place[order] = np.cumsum(new) - 1
     heads = np.flatnonzero(new)
-    return ordered[heads], place, np.diff(np.append(heads, len(keys)))
+    return ordered[heads], np.diff(np.append(heads, len(keys)))
+
+
+def _slots(keys: np.ndarray) -> tuple[np.ndarray, int]:
+    """A place for each key in a table about four times as long; keys are hashes already."""
+    bits = max(len(keys) * 4, 16).bit_length()
+    return (mix(keys) >> U64(64 - bits)).astype(np.int64), 1 << bits
+
+
+def places(distinct: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Place of each key among the sorted distinct ones, all of which are there.
+
+    A table answers most keys; those whose slot another key took are searched for.
+    """
+    slots, size = _slots(distinct)
+    table = np.zeros(size, np.int64)
+    table[slots] = np.arange(len(distinct))
+    shift = U64(64 - (size.bit_length() - 1))
+    found = table[(mix(keys) >> shift).astype(np.int64)]
+    missed = np.flatnonzero(distinct[found] != keys) if len(keys) else found
+    found[missed] = np.searchsorted(distinct, keys[missed])
+    return found
+
+
+def times_of(keys: np.ndarray) -> np.ndarray:
+    """How often each key occurs, in the order of the keys.
+
+    Slots that hold one key only are counted in a table, the others by sorting.
+    """
+    slots, size = _slots(keys)
+    table = np.zeros(size, U64)
+    table[slots] = keys
+    shared = np.zeros(size, bool)
+    shared[slots[table[slots] != keys]] = True
+    out = np.bincount(slots, minlength=size)[slots]
+    rest = np.flatnonzero(shared[slots])
+    distinct, times = grouped(keys[rest])
+    out[rest] = times[np.searchsorted(distinct, keys[rest])] if len(rest) else 0
+    return out
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -106,7 +141,7 @@ class Bucket:
             orders = [(n, np.flatnonzero(self.keys[n])) for n in range(1, min(self.order, 2) + 1)]
         else:
             n = level + 2
-            held = self.others[n - 1] > 0
+            held = self.held(n - 1) > 0
             both = np.zeros(len(held), bool)
             both[:-1] = held[:-1] & held[1:]
             orders = [(n, np.flatnonzero(both & (self.keys[n] != 0)))]
@@ -116,7 +151,7 @@ class Bucket:
     def learn(self, level: int, totals: np.ndarray) -> None:
         """Take in the totals of a level's distinct keys, in their order."""
         keys, orders = self.level(level)
-        found = totals.astype(np.int64)[grouped(keys)[1]]
+        found = totals.astype(np.int64)[places(grouped(keys)[0], keys)]
         if level == 0:
             self.all_words = int(totals[0])
         before = 0
@@ -126,13 +161,16 @@ class Bucket:
             # An n-gram that occurs once occurs here only.
             often = np.flatnonzero(total > 1)
             total, at = total[often], at[often]
-            _, place, times = grouped(self.keys[n][at] + self.doc[at].astype(U64) * SPREAD)
             self.others[n] = np.zeros(len(self.doc), np.int64)
-            self.others[n][at] = total - times[place]
+            self.others[n][at] = total - times_of(self.keys[n][at] + self.doc[at].astype(U64) * SPREAD)
+
+    def held(self, n: int) -> np.ndarray:
+        """How often other documents hold the n-gram at each word; nothing asked, nothing held."""
+        return self.others.get(n, np.zeros(len(self.doc), np.int64))
 
     def asked(self, level: int) -> tuple[np.ndarray, np.ndarray]:
         """(distinct keys, how often each occurs here)."""
-        keys, _, times = grouped(self.level(level)[0])
+        keys, times = grouped(self.level(level)[0])
         if level == 0:
             times[0] = len(self.doc)
         return keys, times
@@ -148,14 +186,14 @@ class Bucket:
             start = at - n + 1
             usable = open_ & (depth >= n)
             where = np.flatnonzero(usable)
-            number = self.others[n][start[where]]
+            number = self.held(n)[start[where]]
             hit = where[number > 0]
-            context = others_words[hit] if n == 1 else self.others[n - 1][start[hit]]
-            score[hit] = np.log(self.others[n][start[hit]] / context) + (depth[hit] - n) * np.log(alpha)
+            context = others_words[hit] if n == 1 else self.held(n - 1)[start[hit]]
+            score[hit] = np.log(self.held(n)[start[hit]] / context) + (depth[hit] - n) * np.log(alpha)
             open_[hit] = False
         left = np.flatnonzero(open_)
         score[left] = depth[left] * np.log(alpha) - np.log(others_words[left] + 1.0)
-        return np.bincount(self.doc, score, len(self.n_words))
+        return np.bincount(self.doc, score, len(self.n_words)).astype(float)
 
 
 def _totals_of(table: pa.Table) -> dict[int, np.ndarray]:
@@ -240,7 +278,8 @@ def _ask(level: int, order: int, parts: int):
 def _answer(table):
     keys = [np.cumsum(unpacked(x), dtype=U64) for x in table["keys"].to_pylist()]
     times = np.concatenate([unpacked(x) for x in table["times"].to_pylist()])
-    _, place, _ = grouped(np.concatenate(keys))
+    every = np.concatenate(keys)
+    place = places(grouped(every)[0], every)
     # Sums of counts stay exact below 2**53.
     totals = np.bincount(place, times.astype(float)).astype(U64)[place]
     edge = np.append(0, np.cumsum([len(x) for x in keys]))
