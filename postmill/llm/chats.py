@@ -201,9 +201,9 @@ def with_tool_calls(table: DataFrame) -> DataFrame:
     An assistant turn calls ``search`` for its whole text and ``summarise`` after it and after
     the ``search`` two turns earlier; some turns list the two in the wrong order, some arguments
     are of a wrong type or missing. The user turn after it answers the first call, and the
-    second one mostly.
+    second one mostly. A null text is asked for and answered as a JSON null.
     """
-    size = F.length("text")
+    size = F.coalesce(F.length("text"), F.lit(0))
     call_id = lambda turn, n: F.concat_ws(":", "conv_id", turn.cast("string"), F.lit(str(n)))
     turn = F.col("turn")
     search = F.concat(
@@ -222,7 +222,9 @@ def with_tool_calls(table: DataFrame) -> DataFrame:
         F.lit('{"tool_call_id":'), json_text(call_id(turn - 1, n)), F.lit(', "content":'), json_text(F.col("text")), F.lit("}")
     )
     keep = table.select("conv_id", "turn", "role", "text")
-    answers = F.when(size % 3 == 0, F.array(answer(0))).otherwise(F.array(answer(0), answer(1)))
-    turned = keep.where("role = 'user' and turn > 0").select("conv_id", "turn", F.lit("tool").alias("role"), F.explode(answers).alias("text"))
-    called = keep.where("role = 'assistant'").withColumn("text", asked)
-    return keep.where("not (role = 'assistant' or role = 'user' and turn > 0)").unionByName(called).unionByName(turned)
+    # A null role or turn is neither; such messages stay as they are.
+    calling, answering = (F.coalesce(F.expr(x), F.lit(False)) for x in ("role = 'assistant'", "role = 'user' and turn > 0"))
+    answers = F.when(F.length("text") % 3 == 0, F.array(answer(0))).otherwise(F.array(answer(0), answer(1)))
+    turned = keep.where(answering).select("conv_id", "turn", F.lit("tool").alias("role"), F.explode(answers).alias("text"))
+    called = keep.where(calling).withColumn("text", asked)
+    return keep.where(~calling & ~answering).unionByName(called).unionByName(turned)

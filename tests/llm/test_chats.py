@@ -1,6 +1,7 @@
 import json
 
-from postmill.llm.chats import format_chats
+from postmill.llm.chats import SCHEMAS as TOOLS
+from postmill.llm.chats import format_chats, with_tool_calls
 
 SCHEMAS = [("look", "q", "string", True), ("look", "n", "integer", None), ("sum", "x", "number", True), ("sum", "opt", "object", False), ("odd", "a", "nonsense", True)]
 TABLE = "conv_id long, turn long, role string, text string"
@@ -96,3 +97,18 @@ def test_main_path_is_native(spark):
     frame = run(spark, (1, 1, "assistant", calls(call("a", after=["b"]), call("b"))))
     plan = frame._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
+def test_tool_calls_keep_every_message(spark):
+    rows = [(c, t, r, x) for c in (1, None) for t in (0, 1, 2, None) for r in ("user", "assistant", "system", None) for x in ("some text", "", None)]
+    made = with_tool_calls(spark.createDataFrame(rows, TABLE)).collect()
+    of = lambda role: [r for r in made if r.role == role]
+    assert len(of("assistant")) == 24 and all(len(json.loads(r.text)["tool_calls"]) == 2 for r in of("assistant"))
+    assert len(of("system")) == len(of(None)) == 24 and len(of("user")) == 12
+    answers = [json.loads(r.text) for r in of("tool")]
+    assert sum(a["content"] is None for a in answers) == 8 and sum(a["content"] == "some text" for a in answers) == 4
+    assert len(of("tool")) == 16 and {r.turn for r in of("tool")} == {1, 2}
+    one = with_tool_calls(spark.createDataFrame([(1, 1, "assistant", None), (1, 2, "user", None), (1, 3, None, "x"), (2, None, "user", "y")], TABLE))
+    got = format_chats(spark, one, spark.createDataFrame(TOOLS, "name string, argument string, type string, required boolean")).collect()
+    assert sorted((r.conv_id, r.kind, r.status) for r in got) == [(1, "call", "answered"), (1, "call", "answered"), (1, "message", "message"), (1, "message", "message"), (2, "message", "message")]
+    assert all(json.loads(r.json) for r in got)
