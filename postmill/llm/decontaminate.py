@@ -12,7 +12,8 @@ documents (word counts, probing). With more blocks the rows are written to the c
 shared folder between blocks, so a task never holds more than one.
 
 Defined results: a null text has no words; a null or repeated id is judged row by row; items
-without words are never found; items with equal ids count once; an empty benchmark
+without words are never found; items with equal ids count once; an item with a null id counts
+in the hits and their spans but is not listed among the ids; an empty benchmark
 or an empty table gives zeros or no rows. Input columns are passed through, those named like
 a result are replaced.
 """
@@ -43,7 +44,7 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int)
     sized = items.select(
         quoted(find_column(items, id_col)).cast("string").alias("item_id"),
         quoted(find_column(items, text_col)).cast("string").alias("text"),
-    ).where("item_id is not null and text is not null").distinct()
+    ).where("text is not null").distinct()
     size = F.octet_length("text")
     total = sized.agg(F.sum(size).alias("bytes")).first()["bytes"] or 0
     if total <= block_bytes:
@@ -51,7 +52,7 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int)
         return
     # Larger benchmarks: items are dealt to blocks by their hash, one block at a time comes here.
     blocks = -(-2 * total // block_bytes)
-    dealt = sized.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
+    dealt = sized.withColumn("block", F.pmod(F.xxhash64(F.coalesce("item_id", "text")), F.lit(blocks)))
     for block in range(blocks):
         yield dealt.where(F.col("block") == block).drop("block").toArrow()
 
@@ -184,7 +185,7 @@ def _probe(shared, again: bool):
                     own = doc == d
                     s, e = merged(start[own] - words.first[d], end[own] - words.first[d])
                     spans[low + d] = list(zip(s.tolist(), e.tolist()))
-                    items[low + d] = sorted({index.ids[i] for i in np.unique(item[own])})
+                    items[low + d] = sorted({index.ids[i] for i in np.unique(item[own])} - {None})
             if again:
                 for row, (had, more) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                     if had:

@@ -82,3 +82,12 @@ def test_query_finds_what_brute_force_finds(spark, documents):
     want = brute([(r.doc_id, r.text) for r in documents.collect()], items, 13)
     got = entry.queries()["op5_decontaminate"](spark, SMALL).collect()
     assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in got) == sorted((i, n, h, len(x)) for i, n, h, x in want)
+
+
+@pytest.mark.parametrize("block_bytes", [4 << 20, 10])
+def test_items_without_id_are_hits(spark, docs, block_bytes):
+    items = spark.createDataFrame([(None, "purple cats sing"), (None, "a second nameless one"), (1, "red fox"), (2, None)], "item_id long, text string")
+    rows = [(1, "the purple cats sing of a red fox"), (2, "purple cats sing"), (3, "a second nameless one"), (4, "nothing")]
+    out = benchmark_hits(spark, docs(*rows), items, 13, block_bytes=block_bytes).withColumn("bad", is_contaminated())
+    got = {r.doc_id: (r.n_hit, r.item_ids, r.bad) for r in out.collect()}
+    assert got == {1: (5, ["1"], True), 2: (3, [], True), 3: (4, [], True), 4: (0, [], False)}
