@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import chats, decontaminate, embeddings, licenses, lm_score, ngram_join, packing, quality, substrings, toxicity
+from postmill.llm import alignment, chats, decontaminate, embeddings, licenses, lm_score, ngram_join, packing, quality, substrings, toxicity
 from postmill.llm.oracles import ORACLES as ORACLES
 
 
@@ -108,6 +108,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents tokenised twice, their tokens linked where both sides meet."""
+    docs = read(spark, sf_dir, "documents")
+    return alignment.align(spark, docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_toxicity": op2_toxicity,
@@ -119,4 +125,5 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
+    "op13_token_alignment": op13_token_alignment,
 }
