@@ -151,6 +151,75 @@ SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(m, vec_id) AS component_id, v
 FROM embeddings LEFT JOIN lowest USING (vec_id) LEFT JOIN degree USING (vec_id)
 """
 
+MIXING = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len({WORDS}) AS size,
+    CAST('0x' || substr(md5(concat_ws(':', '0', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(text, ''))), 1, 13) AS BIGINT) AS draw
+  FROM documents
+),
+c AS (
+  SELECT *, coalesce('=' || source, '') AS k, CAST(length(bin(size)) AS BIGINT) AS bits,
+    CASE WHEN size < 16 THEN size ELSE 8 * length(bin(size)) + (size >> (length(bin(size)) - 4)) - 8 END AS class
+  FROM d
+),
+s AS (
+  SELECT k, CAST(sum(size) AS BIGINT) AS source_size,
+    CAST((row_number() OVER (ORDER BY min(source) NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight
+  FROM c GROUP BY k
+),
+fill AS (
+  SELECT *, coalesce(3 * sum(source_size) OVER (ORDER BY 3 * source_size / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held,
+    sum(weight) OVER (ORDER BY 3 * source_size / weight DESC, k DESC) AS free, sum(source_size) OVER () AS total
+  FROM s
+),
+level AS (SELECT max(CAST(total - held AS DOUBLE) / free) AS level FROM fill),
+t AS (SELECT k, source_size, least(CAST(3 * source_size AS DOUBLE), level * weight) AS target FROM s, level),
+g AS (
+  SELECT k, class, count(*) AS n, CAST(sum(size) AS BIGINT) AS words, CAST(sum(CAST(size AS HUGEINT) * size) AS DOUBLE) AS squares,
+    min(size) AS low, max(size) AS high, row_number() OVER (PARTITION BY k ORDER BY class DESC) AS nth
+  FROM c WHERE size > 0 GROUP BY k, class
+),
+f AS (
+  SELECT k, 0::BIGINT AS nth, NULL::BIGINT AS class, 0::BIGINT AS whole, 0::BIGINT AS take, 0::DOUBLE AS tilt, 0::DOUBLE AS open FROM t
+  UNION ALL
+  SELECT k, nth, class, whole, take, tilt, wanted - copies * mean - tilt * varied
+  FROM (
+    SELECT *, CASE WHEN spread > 0 AND varied > 0
+      THEN greatest(-room, least(room, (wanted - copies * mean) / varied)) ELSE 0 END AS tilt
+    FROM (
+      SELECT *, 0.9::DOUBLE * least(share, 1 - share) / nullif(spread, 0) AS room
+      FROM (
+        SELECT *, CAST(take AS DOUBLE) / n AS share, greatest(high - mean, mean - low) AS spread, squares - CAST(words AS DOUBLE) * mean AS varied
+        FROM (
+          SELECT *, copies - whole * n AS take
+          FROM (
+            SELECT *, CAST(floor(copies / n) AS BIGINT) AS whole
+            FROM (
+              SELECT *, CAST(greatest(0, least(3 * n, floor(wanted / mean + 0.5::DOUBLE))) AS BIGINT) AS copies
+              FROM (
+                SELECT g.*, target / source_size * CAST(words AS DOUBLE) + f.open AS wanted, CAST(words AS DOUBLE) / CAST(n AS DOUBLE) AS mean
+                FROM f JOIN g ON g.k = f.k AND g.nth = f.nth + 1 JOIN t ON t.k = f.k
+              )
+            )
+          )
+        )
+      )
+    )
+  )
+),
+r AS (
+  SELECT c.doc_id, c.size, t.source_size, t.target, coalesce(f.whole, 0) AS whole, coalesce(f.take, 0) AS take,
+    row_number() OVER (PARTITION BY c.k, c.class ORDER BY
+      ((c.draw + 0.5::DOUBLE) / 4503599627370496 / (1 - (c.draw + 0.5::DOUBLE) / 4503599627370496))
+      / ((CAST(take AS DOUBLE) / g.n + tilt * (c.size - CAST(words AS DOUBLE) / g.n))
+        / (1 - (CAST(take AS DOUBLE) / g.n + tilt * (c.size - CAST(words AS DOUBLE) / g.n)))), c.draw, c.doc_id) AS place
+  FROM c JOIN t ON t.k = c.k LEFT JOIN f ON f.k = c.k AND f.class = c.class LEFT JOIN g ON g.k = c.k AND g.class = c.class
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+  CAST(size * (whole + CASE WHEN place <= take THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM r
+"""
+
 ORACLES = {
     "op1_ngram_jaccard": JACCARD,
     "op3_substring_dedup": SUBSTRINGS,
@@ -158,4 +227,5 @@ ORACLES = {
     "op5_decontaminate": DECONTAMINATE,
     "op7_chat_format": CHATS,
     "op8_embedding_dedup": EMBEDDINGS,
+    "op11_mixing": MIXING,
 }

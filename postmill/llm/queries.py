@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import alignment, chats, decontaminate, embeddings, licenses, lm_score, ngram_join, packing, quality, substrings, toxicity
+from postmill.llm import alignment, chats, decontaminate, embeddings, licenses, lm_score, mixing, ngram_join, packing, quality, substrings, toxicity
 from postmill.llm.oracles import ORACLES as ORACLES
 
 
@@ -108,6 +108,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of the sources with weights 1, 2, 3 takes from each document."""
+    allotted = mixing.allot(spark, read(spark, sf_dir, "documents"))
+    return mixing.rows_taken(allotted).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents tokenised twice, their tokens linked where both sides meet."""
     docs = read(spark, sf_dir, "documents")
@@ -125,5 +131,6 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
+    "op11_mixing": op11_mixing,
     "op13_token_alignment": op13_token_alignment,
 }
