@@ -13,10 +13,12 @@ from postmill.functions.posts import parse_post
 from postmill.functions.text import split_list
 from postmill.schema import COVID19, FOLLOWS, POST_ACCOUNTS
 
-# Rules are compared with every post, and sent to every task for it, while there are at
-# most this many conditions and their texts fit in this many bytes.
-MAX_BROADCAST_CONDITIONS = 2000
-MAX_BROADCAST_BYTES = 8 << 20
+# Every task holds the rules as a table while there are at most this many conditions in this many bytes.
+MAX_TABLE_CONDITIONS = 100_000
+MAX_TABLE_BYTES = 8 << 20
+# Bits of the map of keys in use, and parts that the posts of one key are dealt to.
+KEY_BITS = 1 << 20
+LANES = 16
 GRAM = 3
 # Marks account keys; longer than any letter group, so the two never coincide.
 ACCOUNT = "account:"
@@ -92,94 +94,162 @@ def route_rules(
     posts: DataFrame,
     rules: DataFrame,
     value: str = "value",
-    max_conditions: int = MAX_BROADCAST_CONDITIONS,
+    max_conditions: int = MAX_TABLE_CONDITIONS,
 ) -> DataFrame:
     """(event, post columns) for every post and event whose rule it meets.
 
-    A small rule table (measured here, so its size is known) is broadcast and compared
-    with each post in one pass, grouped per event so that no post is emitted twice. A
-    larger one goes through ``route_many``, where equality joins find the candidates.
+    Rules whose size (measured here) fits in every task become a table of slots that each post
+    looks its keys up in, so posts are neither joined nor shuffled. More rules go through
+    ``route_many``, where the same keys are equality joins.
+    """
+    filed = filed_rules(rules).cache()
+    try:
+        size = filed.agg(
+            F.count(F.lit(1)).alias("n"),
+            F.coalesce(
+                F.sum(F.octet_length("event") + F.octet_length("_key") + F.octet_length(F.array_join("_terms", " "))), F.lit(0)
+            ).alias("bytes"),
+            F.collect_set(F.when(~_is_account("_key"), F.length("_key"))).alias("lengths"),
+            F.coalesce(F.max(_is_account("_key")), F.lit(False)).alias("follows"),
+        ).first()
+        if size.n > max_conditions or size.bytes > MAX_TABLE_BYTES:
+            return route_many(posts, rules, value)
+        slots = max(1024, 1 << (4 * size.n).bit_length())
+        table, every = slot_table(filed, slots)
+    finally:
+        filed.unpersist()
+    source = [c for c in posts.columns if c != "event"]
+    prepared = posts.select("*", F.lower(value).alias("_low"), (accounts(F.col(value)) if size.follows else _no_texts()).alias("_ids"))
+    # Slots count from 1; keys without a rule in their slot are gone before anything is tested.
+    slot = F.transform(offered_keys("_low", "_ids", size.lengths), lambda key: (F.pmod(F.xxhash64(key), F.lit(slots)) + 1).cast("int"))
+    met = prepared.withColumn("_slots", F.array_distinct(F.filter(slot, lambda k: F.size(F.element_at(table, k)) > 0)))
+    held = F.flatten(F.transform("_slots", lambda k: F.element_at(table, k)))
+    passed = F.filter(held, lambda rule: _passes(rule, F.col("_low"), F.col("_ids")))
+    events = F.array_distinct(F.concat(every, F.flatten(F.transform(passed, lambda rule: rule["events"]))))
+    return met.withColumn("event", F.explode(events)).select("event", *source)
+
+
+def _no_texts() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _is_account(key: str) -> Column:
+    return F.coalesce(F.startswith(F.col(key), F.lit(ACCOUNT)), F.lit(False))
+
+
+def filed_rules(rules: DataFrame) -> DataFrame:
+    """(event, _key, _terms) of every condition, filed under one key.
+
+    An account rule is filed under the account, a keyword condition under the first letters (at
+    most ``GRAM``) of its longest term, a match-all rule under no key (null). A condition without
+    letters is filed under the empty text, which every post offers.
     """
     single = event_rules(rules)
-    size = single.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(F.octet_length("event") + F.octet_length("condition")), F.lit(0)).alias("bytes"),
-        F.max(F.col("match_key") == FOLLOWS).alias("follows"),
-    ).first()
-    if size.n > max_conditions or size.bytes > MAX_BROADCAST_BYTES:
-        return route_many(posts, rules, value)
-    kind = F.coalesce("match_key", F.lit(""))
-    per_event = single.groupBy("event").agg(
-        F.max(kind == COVID19).alias("_every"),
-        F.collect_set(F.when(kind == FOLLOWS, F.col("condition"))).alias("_accounts"),
-        F.collect_set(F.when(~kind.isin(FOLLOWS, COVID19), keyword_terms(F.col("condition")))).alias("_terms"),
+    is_follow, is_every = F.col("match_key") == FOLLOWS, F.col("match_key") == COVID19
+    terms = keyword_terms(F.col("condition"))
+    longest = F.array_max(F.transform(terms, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    return single.withColumn("match_key", F.coalesce("match_key", F.lit(""))).select(
+        "event",
+        F.when(is_follow, F.concat(F.lit(ACCOUNT), F.col("condition"))).when(~is_every, F.substring(longest, 1, GRAM)).alias("_key"),
+        F.when(is_follow | is_every, _no_texts()).otherwise(F.array_sort(F.array_distinct(terms))).alias("_terms"),
     )
-    # Posts are only parsed when some rule looks at accounts.
-    ids = accounts(F.col(value)) if size.follows else F.lit(None).cast("array<string>")
-    prepared = posts.withColumn("_low", F.lower(value)).withColumn("_ids", ids)
-    hit = (
-        F.col("_every")
-        | F.coalesce(F.arrays_overlap("_ids", "_accounts"), F.lit(False))
-        | F.exists("_terms", lambda terms: _has_terms(F.col("_low"), terms))
+
+
+def offered_keys(low: str, ids: str, lengths: list[int]) -> Column:
+    """Keys of a post: its accounts and its letter groups of the lengths that rules are filed under.
+
+    A null post offers no letters.
+    """
+    # Overlapping groups: an empty match at every place that n letters follow.
+    groups = [
+        F.coalesce(F.regexp_extract_all(F.col(low), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)), _no_texts())
+        if n
+        else F.when(F.col(low).isNotNull(), F.array(F.lit(""))).otherwise(_no_texts())
+        for n in sorted(lengths)
+    ]
+    return F.concat(F.transform(F.coalesce(ids, _no_texts()), lambda i: F.concat(F.lit(ACCOUNT), i)), *groups)
+
+
+def _passes(rule: Column, low: Column, ids: Column) -> Column:
+    """A rule met through a key holds: its account is one of the post's, or all its terms occur."""
+    own = F.exists(ids, lambda i: F.concat(F.lit(ACCOUNT), i) == rule["_key"])
+    return F.when(F.startswith(rule["_key"], F.lit(ACCOUNT)), F.coalesce(own, F.lit(False))).otherwise(_has_terms(low, rule["_terms"]))
+
+
+def slot_table(filed: DataFrame, slots: int) -> tuple[Column, Column]:
+    """(rules by slot of their key's hash, events of match-all rules), worked out once for all posts."""
+    kind = F.struct("_key", "_terms", F.array_sort(F.collect_set("event")).alias("events"))
+    rules = filed.where(F.col("_key").isNotNull()).groupBy("_key", "_terms").agg(kind.alias("rule"))
+    rules = rules.groupBy(F.pmod(F.xxhash64("_key"), F.lit(slots)).alias("slot")).agg(F.array_sort(F.collect_list("rule")).alias("rules"))
+    empty = F.array().cast(rules.schema["rules"].dataType)
+    dense = filed.sparkSession.range(slots).withColumnRenamed("id", "slot").join(rules, "slot", "left")
+    listed = F.array_sort(F.collect_list(F.struct("slot", F.coalesce("rules", empty).alias("rules"))))
+    every = filed.where(F.col("_key").isNull()).agg(F.array_sort(F.collect_set("event")).alias("e"))
+    return constant(dense.agg(F.transform(listed, lambda x: x["rules"]).alias("rules"))), constant(every)
+
+
+def constant(single: DataFrame) -> Column:
+    """The only value of a frame, an array of bounded size, as a constant that functions of posts can hold.
+
+    A subquery may not stand inside a function of arrays.
+    """
+    (field,) = single.schema.fields
+    value = single.select(F.to_json(F.col(f"`{field.name}`"))).first()[0]
+    return F.from_json(F.lit(value), field.dataType)
+
+
+def key_bits(filed: DataFrame) -> Column:
+    """2**20 bits, set for the hashes of all keys in use, as an array of longs: 128 KiB however many rules."""
+    place = F.pmod(F.xxhash64("_key"), F.lit(KEY_BITS))
+    words = filed.where(F.col("_key").isNotNull()).groupBy(F.shiftright(place, 6).alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(_key), {KEY_BITS}) & 63 AS INT))")).alias("bits")
     )
-    return prepared.join(F.broadcast(per_event), hit).select("event", *posts.columns)
+    dense = filed.sparkSession.range(KEY_BITS // 64).withColumnRenamed("id", "word").join(words, "word", "left")
+    listed = F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    return constant(dense.agg(F.transform(listed, lambda x: x["bits"]).alias("bits")))
+
+
+def keys_in_use(offered: Column, bits: Column) -> Column:
+    """The offered keys whose bit is set, each once."""
+    place = lambda key: F.pmod(F.xxhash64(key), F.lit(KEY_BITS))
+    word = lambda key: F.element_at(bits, (F.shiftright(place(key), 6) + 1).cast("int"))
+    return F.array_distinct(F.filter(offered, lambda key: F.getbit(word(key), (place(key) % 64).cast("int")) == 1))
 
 
 def route_many(posts: DataFrame, rules: DataFrame, value: str = "value") -> DataFrame:
     """``route_rules`` for any number of rules, by equality joins.
 
-    Each condition is filed under one key: an account rule under the account id, a
-    keyword condition under the first letters (at most ``GRAM``) of its longest term,
-    a match-all rule under the empty text. A post offers its accounts, its distinct
-    letter groups of each length and the empty text as keys, so every condition that can
-    match meets the post, and the whole condition is tested on each meeting. Conditions
-    are grouped by key and terms first, so events with the same condition cost one test.
+    A post offers its accounts and letter groups as keys, of which only those with a rule
+    (by a bitmap of fixed size) become rows; each meets the conditions filed under it, and the whole
+    condition is tested on each meeting. Conditions are grouped by key and terms first, so
+    events with the same condition cost one test. A key that most posts hold is dealt over
+    ``LANES``, and so are the posts of match-all rules, which need no key.
     """
-    single = event_rules(rules)
-    is_follow = F.col("match_key") == FOLLOWS
-    is_every = F.col("match_key") == COVID19
-    terms = F.when(is_every, F.array(F.lit(""))).otherwise(keyword_terms(F.col("condition")))
-    sized = F.transform(terms, lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))
-    filed = single.withColumn("match_key", F.coalesce("match_key", F.lit(""))).select(
-        "event",
-        F.when(is_follow | is_every, F.array().cast("array<string>")).otherwise(F.array_distinct(terms)).alias("_terms"),
-        F.when(is_follow, F.concat(F.lit(ACCOUNT), F.col("condition")))
-        .otherwise(F.substring(F.array_max(sized)["t"], 1, GRAM))
-        .alias("_key"),
-    )
-    low = F.col("_low")
-
-    def letter_groups(n: int) -> Column:
-        # Overlapping groups: an empty match at every place that n letters follow.
-        return F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
-
-    nothing = F.array().cast("array<string>")
-    ids = F.coalesce(accounts(F.col("_raw")), nothing)
-    # At most GRAM + 1 different lengths come back; posts only offer those in use. A null
-    # post has no letters, but a match-all rule is filed under the empty text.
-    keyed = filed.where(~F.col("_key").startswith(ACCOUNT))
-    in_use = keyed.select(F.length("_key").alias("n")).distinct().collect()
-    offered = F.concat(
-        F.transform(ids, lambda i: F.concat(F.lit(ACCOUNT), i)),
-        *[F.coalesce(letter_groups(row.n), nothing) if row.n else F.array(F.lit("")) for row in in_use],
-    )
+    filed = filed_rules(rules)
+    keyed = filed.where(F.col("_key").isNotNull())
+    # At most GRAM + 1 different lengths come back; posts only offer those in use.
+    in_use = keyed.where(~_is_account("_key")).select(F.length("_key").alias("n")).distinct().collect()
+    offered = keys_in_use(offered_keys("_low", "_ids", [row.n for row in in_use]), key_bits(filed))
     # What a post matches depends on its text alone, so candidates are found and tested
-    # per text digest; the narrow rows of the letter groups never carry the text. Letter
-    # groups that no rule is filed under are dropped by the join before anything is shuffled
-    # twice. No digest is empty, so the empty text stands for a null post.
+    # per text digest; the narrow rows of the keys never carry the text. No digest is empty, so
+    # the empty text stands for a null post.
     digest = F.coalesce(F.sha2(value, 256), F.lit(""))
-    texts = posts.select(digest.alias("_post"), F.lower(value).alias("_low"), F.col(value).alias("_raw"))
+    lane = F.pmod(F.xxhash64("_post"), F.lit(LANES))
+    lanes = F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("_lane")
+    texts = posts.select(digest.alias("_post"), F.lower(value).alias("_low"), accounts(F.col(value)).alias("_ids")).dropDuplicates(["_post"])
     candidates = (
         texts.select("_post", F.explode(offered).alias("_key"))
-        .join(filed.select("_key", "_terms").distinct(), "_key")
-        .distinct()
-    )
-    hits = (
-        texts.join(candidates, "_post")
-        .where(_has_terms(low, F.col("_terms")))
+        .withColumn("_lane", lane)
+        .join(keyed.select("_key", "_terms").distinct().select("*", lanes), ["_key", "_lane"])
         .select("_post", "_key", "_terms")
-        .join(filed, ["_key", "_terms"])
-        .select("_post", "event")
-        .distinct()
     )
-    return posts.withColumn("_post", digest).join(hits, "_post").select("event", *posts.columns)
+    tested = texts.join(candidates, "_post").where(_passes(F.struct("_key", "_terms"), F.col("_low"), F.col("_ids")))
+    hits = tested.select("_post", "_key", "_terms").join(keyed, ["_key", "_terms"]).select("_post", "event").distinct()
+    every = filed.where(F.col("_key").isNull()).select("event").distinct()
+    source = [c for c in posts.columns if c != "event"]
+    marked = posts.select(*source, digest.alias("_post"))
+    # A match-all rule's posts are not looked up again through its other rules.
+    found = marked.join(hits.join(every, "event", "left_anti"), "_post").select("event", *source)
+    at_random = F.pmod(F.xxhash64("_post", F.monotonically_increasing_id()), F.lit(LANES))
+    whole = marked.withColumn("_lane", at_random).join(every.select("event", lanes), "_lane").select("event", *source)
+    return found.unionByName(whole)
