@@ -4,7 +4,7 @@ A window is ``n`` consecutive words of an item; an item of fewer words is one wi
 words are ordered by how rare they are in all documents, and the rarest one is the window's
 necessary prefix: a document without that word cannot hold the window. Documents are probed
 with the prefix words only; position and length bounds place the window, and its words are
-then compared by two independent 64-bit hashes.
+found by two independent 64-bit hashes and compared word for word.
 
 The index holds the benchmark, not the documents. It is broadcast in blocks of items of at
 most ``block_bytes`` of text; one block is the usual case and needs two passes over the
@@ -64,12 +64,15 @@ class Index:
         self.ids = items["item_id"].to_pylist()
         found: dict[int, list] = {}
         vocabulary = []
+        self.spelled: list[list[bytes]] = []
         for low, _, data, offsets in slices(items["text"]):
             words = _words(data, offsets)
             one, two = words.hashes(0), words.hashes(1)
             vocabulary.append(one)
             sums = prefix_hash(one, 0), prefix_hash(two, 1)
+            spelled = words.spelled(np.arange(len(words)))
             for row, count in enumerate(words.counts()):
+                self.spelled.append(spelled[words.first[row] : words.first[row + 1]])
                 if not count:
                     continue
                 length = min(n, int(count))
@@ -79,6 +82,7 @@ class Index:
                     span_hash(sums[0], start, end, 0),
                     span_hash(sums[1], start, end, 1),
                     np.full(len(start), low + row),
+                    start - words.first[row],
                     one[start[:, None] + np.arange(length)],
                 ))
         self.vocabulary = np.unique(np.concatenate(vocabulary)) if vocabulary else np.zeros(0, U64)
@@ -87,7 +91,7 @@ class Index:
     def order(self, frequency: np.ndarray) -> None:
         """Choose each window's rarest word and group windows by (that word, its position)."""
         self.probes = []
-        for length, (one, two, item, words) in sorted(self.windows.items()):
+        for length, (one, two, item, place, words) in sorted(self.windows.items()):
             seen = frequency[np.searchsorted(self.vocabulary, words)]
             offset = np.argmin(seen, axis=1)
             at = np.arange(len(one))
@@ -96,7 +100,7 @@ class Index:
             order = order[able[order]]
             prefix = words[at, offset]
             pairs = np.unique(np.stack([prefix[able], offset[able].astype(U64)]), axis=1)
-            self.probes.append((length, pairs[0], pairs[1].astype(np.int64), one[order], two[order], item[order]))
+            self.probes.append((length, pairs[0], pairs[1].astype(np.int64), one[order], two[order], item[order], place[order]))
         del self.windows
 
     def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,7 +109,7 @@ class Index:
         one = words.hashes(0)
         last = np.repeat(words.first[1:], words.counts())
         sums = None
-        for length, prefix, offset, hash_one, hash_two, item in self.probes:
+        for length, prefix, offset, hash_one, hash_two, item, place in self.probes:
             low, high = np.searchsorted(prefix, one, "left"), np.searchsorted(prefix, one, "right")
             where = np.flatnonzero(high > low)
             if not len(where):
@@ -129,11 +133,21 @@ class Index:
             entry = np.arange(repeat.sum()) - np.repeat(np.cumsum(repeat) - repeat, repeat) + np.repeat(first[pick], repeat)
             of = np.repeat(pick, repeat)
             same = hash_two[entry] == mine[1][of]
-            out.append((start[of[same]], start[of[same]] + length, item[entry[same]]))
+            of, entry = of[same], entry[same]
+            held = self._held(words, start[of], length, item[entry], place[entry])
+            out.append((start[of[held]], start[of[held]] + length, item[entry[held]]))
         if not out:
             return (np.zeros(0, np.int64),) * 3
         return tuple(np.concatenate(x) for x in zip(*out))
 
+    def _held(self, words: Words, start: np.ndarray, length: int, item: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Which windows are word for word those of the items."""
+        kinds, where = np.unique(start[:, None] + np.arange(length), return_inverse=True)
+        spelled = np.empty(len(kinds), object)
+        spelled[:] = words.spelled(kinds)
+        mine = spelled[where.reshape(-1, length)].tolist()
+        return np.array([w == self.spelled[i][p : p + length] for w, i, p in zip(mine, item.tolist(), place.tolist())], bool)
+
 
 def word_counts(docs: DataFrame, text_col: str, vocabulary: np.ndarray) -> np.ndarray:
     """How often each word of a (block-sized) vocabulary occurs in all documents."""

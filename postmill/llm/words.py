@@ -22,22 +22,8 @@ PUNCTUATION[:0x30] = PUNCTUATION[0x3A:0x61] = PUNCTUATION[0x7B:0x80] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-_FACTORS = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(factor: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of an odd factor and of its inverse, modulo 2**64."""
-    have = _powers.get(factor)
-    if have is None or len(have[0]) <= n:
-        size = max(n + 1, SLICE_BYTES + 1)
-        pair = []
-        for base in (factor, pow(factor, -1, 1 << 64)):
-            values = np.full(size, base, U64)
-            values[0] = 1
-            pair.append(np.multiply.accumulate(values))
-        have = _powers[factor] = (pair[0], pair[1])
-    return have
+_SEEDS = (U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03))
+_JOIN = (U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -50,19 +36,56 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_hash(values: np.ndarray, which: int = 0) -> np.ndarray:
-    """Running polynomial hash; see :func:`span_hash`."""
-    out = np.zeros(len(values) + 1, U64)
-    forward, _ = powers(_FACTORS[which], len(values))
-    np.cumsum(values * forward[: len(values)], out=out[1:])
-    return out
+class Spans:
+    """Hashes of spans of any length over one sequence, by joining hashes of powers of two.
+
+    Every join is mixed, so unlike a sum of powers no sequence cancels out another one.
+    """
+
+    def __init__(self, values: np.ndarray, which: int = 0):
+        self.which = which
+        self.levels = [mix(values ^ _SEEDS[which])]
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix((a ^ (a >> U64(29))) * _JOIN[self.which] + b)
+
+    def level(self, k: int) -> np.ndarray:
+        """Hashes of the ``2**k`` values from each place on that has as many."""
+        while len(self.levels) <= k:
+            half, last = 1 << (len(self.levels) - 1), self.levels[-1]
+            self.levels.append(self.join(last[:-half], last[half:]) if len(last) > half else last[:0])
+        return self.levels[k]
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+def prefix_hash(values: np.ndarray, which: int = 0) -> Spans:
+    """Prepare :func:`span_hash`; the two choices of ``which`` are independent."""
+    return Spans(values, which)
+
+
+def span_hash(spans: Spans, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
     """Hashes of the spans ``start..end`` of the values given to :func:`prefix_hash`."""
-    _, back = powers(_FACTORS[which], len(prefix))
-    spans = (prefix[end] - prefix[start]) * back[start]
-    return mix(spans + (end - start).astype(U64) * U64(0xA0761D6478BD642F))
+    size = np.asarray(end - start)
+    at, out = np.array(start), (size.astype(U64) + U64(1)) * U64(0xA0761D6478BD642F)
+    for k in reversed(range(int(size.max(initial=0)).bit_length())):
+        some = np.flatnonzero(size >> k & 1)
+        if len(some):
+            out[some] = spans.join(out[some], spans.level(k)[at[some]])
+            at[some] += 1 << k
+    return out
+
+
+def byte_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hashes of the byte spans ``start..end``, eight bytes a step."""
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    out = (end - start).astype(U64) * _JOIN[which] + _SEEDS[which]
+    some, at, left = np.arange(len(start)), np.array(start), end - start
+    while len(some):
+        chunk = eights[at] & (U64(0xFFFFFFFFFFFFFFFF) >> (U64(8) * (U64(8) - np.minimum(left, 8).astype(U64))))
+        out[some] = mix((out[some] ^ mix(chunk + _SEEDS[which])) * _JOIN[which])
+        more = left > 8
+        some, at, left = some[more], at[more] + 8, left[more] - 8
+    return out
 
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -120,10 +143,14 @@ class Words:
 
     def hashes(self, which: int = 0) -> np.ndarray:
         if which not in self._hash:
-            prefix = prefix_hash(self.data.astype(U64) + U64(1), which)
-            self._hash[which] = span_hash(prefix, self.start, self.end, which)
+            self._hash[which] = byte_hash(self.data, self.start, self.end, which)
         return self._hash[which]
 
+    def spelled(self, which: np.ndarray) -> list[bytes]:
+        """The bytes of some of the words."""
+        raw = self.data.tobytes()
+        return [raw[a:b] for a, b in zip(self.start[which].tolist(), self.end[which].tolist())]
+
     def doc_of(self) -> np.ndarray:
         """The document of every word."""
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
