@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from postmill.llm import decontaminate, ngram_join, packing, quality, substrings
 from postmill.llm.queries import read, vocabulary
+from postmill.operators.paging import with_positions
 from postmill.session import scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -23,12 +24,25 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; rows without id stay."""
-    joined = ngram_join.jaccard_join(spark, docs)
-    # Texts are told apart by the join only through their ids, so of rows with one id one stays.
-    kept = joined.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS)
-    return named.unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    """Of each group of near duplicates one document, that with the smallest id.
+
+    Rows are judged by id and text: other texts under one id are documents of their own, of which
+    that with the smallest text hash counts as earlier. Of rows equal in id and text one stays, the
+    smallest in its other columns. Rows without words link with nothing and stay; so do rows
+    without id, which the join does not compare.
+    """
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(*COLUMNS).withColumns({"hash_a": F.xxhash64(text), "hash_b": F.xxhash64(F.lit(1), text)})
+    named = keyed.where("doc_id is not null").groupBy("doc_id", "hash_a", "hash_b")
+    named = named.agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row"))
+    # The join names its classes by position in (id, text hash).
+    folder = scratch_path(spark, "near-duplicates")
+    ranked = with_positions(named, ["doc_id", "hash_a", "hash_b"], f"{folder}/ranked")
+    ranked.select("position", "doc_id", "row.*").write.parquet(f"{folder}/named")
+    ranked = spark.read.parquet(f"{folder}/named")
+    joined = ngram_join.jaccard_join(spark, ranked, id_col="position")
+    kept = joined.where("doc_id = component_id").select(F.col("doc_id").alias("position"))
+    return ranked.join(kept, "position").select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

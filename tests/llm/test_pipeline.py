@@ -76,10 +76,36 @@ def test_run_is_the_stages(spark, stages):
     assert sorted(map(key, corpus_pipeline.run(spark, SMALL).collect())) == sorted(map(key, stages[-1][2].collect()))
 
 
-def test_odd_rows_pass_the_middle_stages(spark):
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_texts_under_one_id_are_documents_of_their_own(spark):
+    """The same rows stay however the table is partitioned."""
+    words = [f"w{i}" for i in range(60)]
+    near, far = " ".join(["x", *words[1:]]), " ".join(reversed(words))
+    rows = [
+        (5, " ".join(words), "en", "a", 1), (5, far, "en", "a", 2), (5, "a third text here", "en", "a", 3), (5, "a third text here", "de", "a", 3),
+        (7, near, "en", "a", 4), (7, "seven words that nobody else has written", "en", "a", 5), (8, None, "en", "a", 6), (8, "", "en", "a", 6), (8, "", "en", "b", 6),
+    ]
+    kept = set()
+    for parts in (1, 2, 3, 5, 9):
+        docs = spark.createDataFrame(rows, SCHEMA).repartition(parts, "text", "lang", "n_chars")
+        kept.add(tuple(sorted((tuple(r) for r in corpus_pipeline.near_duplicate_stage(spark, docs, SMALL).collect()), key=str)))
+    (stay,) = kept
+    assert sorted((r[0], r[1]) for r in stay if r[1]) == sorted(
+        [(5, " ".join(words)), (5, far), (5, "a third text here"), (7, "seven words that nobody else has written")]
+    )
+    assert [r[2] for r in stay if r[1] == "a third text here"] == ["de"] and sum(r[0] == 8 for r in stay) == 1
+
+
+def test_odd_rows_pass_every_stage(spark):
     rows = [(None, "no id", "en", "s", 5), (None, None, None, None, None), (3, None, "en", "s", 0), (4, "", "en", "s", 0), (5, "twice " * 60, "en", "s", 360), (5, "twice " * 60, "en", "s", 360)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame(rows, SCHEMA)
+    wide = docs.selectExpr("*", "1 AS position", "'x' AS hash_a", "2 AS n_words", "3 AS row", "'y' AS score")
     for _, stage in corpus_pipeline.STAGES[1:4]:
-        for frame, want in ((docs, 5), (docs.limit(0), 0)):
+        for frame, want in ((docs, 5), (wide, 5), (docs.limit(0), 0)):
             n = stage(spark, frame, SMALL).count()
             assert n == want or (n == 6 and stage is not corpus_pipeline.near_duplicate_stage)
+    first, last = corpus_pipeline.STAGES[0][1], corpus_pipeline.STAGES[-1][1]
+    assert first(spark, wide, SMALL).columns == COLUMNS and first(spark, docs.limit(0), SMALL).count() == 0
+    assert last(spark, wide, SMALL).count() == 6 and last(spark, docs.limit(0), SMALL).count() == 0
