@@ -22,9 +22,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -115,7 +117,10 @@ def matches(automaton, folded: str) -> dict[int, float]:
         elif weight > best.get(start, 0.0):
             best[start] = weight
     if void:
-        best = {s: w for s, w in best.items() if not any(a <= s < b for a, b in void)}
+        void.sort()
+        starts, reach = [a for a, _ in void], list(accumulate((b for _, b in void), max))
+        ahead = {s: bisect_right(starts, s) for s in best}
+        best = {s: w for s, w in best.items() if not ahead[s] or reach[ahead[s] - 1] <= s}
     return best
 
 
@@ -132,26 +137,30 @@ def _texts(batch: pa.RecordBatch) -> Iterator[str]:
         yield value.as_py() or ""
 
 
-def _counted(rows: DataFrame, of, known: set[str] | None = None) -> DataFrame:
-    """(pattern, number of documents, of these labelled 1); summed in each task first.
-
-    ``known`` is broadcast; it is bounded by the size of the lexicon's candidates.
-    """
-    shared = rows.sparkSession.sparkContext.broadcast((of, known))
+def _counted(rows: DataFrame, of, most: int = 500_000) -> DataFrame:
+    """(pattern, number of documents, of these labelled 1); summed in each task first, ``most`` patterns at a time."""
+    shared = rows.sparkSession.sparkContext.broadcast(of)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, wanted = shared.value
+        find = shared.value
         both = Counter(), Counter()
+
+        def sums() -> pa.RecordBatch:
+            keys = list(both[0].keys() | both[1].keys())
+            one = [both[1][k] for k in keys]
+            total = [both[0][k] + n for k, n in zip(keys, one)]
+            for counter in both:
+                counter.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.string()), pa.array(total, pa.int64()), pa.array(one, pa.int64())], ["pattern", "n", "n_one"]
+            )
+
         for batch in batches:
             for text, label in zip(_texts(batch), batch.column(1).to_pylist()):
-                seen = find(fold(text))
-                both[label].update(seen if wanted is None else seen & wanted)
-        keys = list(both[0].keys() | both[1].keys())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.string()), pa.array([both[0][k] + both[1][k] for k in keys], pa.int64()),
-             pa.array([both[1][k] for k in keys], pa.int64())],
-            ["pattern", "n", "n_one"],
-        )
+                both[label].update(find(fold(text)))
+                if len(both[0]) + len(both[1]) > most:
+                    yield sums()
+        yield sums()
 
     parts = rows.mapInArrow(count, "pattern string, n long, n_one long")
     return parts.groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("n_one").alias("n_one"))
@@ -181,20 +190,22 @@ class Contexts:
 
 
 def learn_lexicon(rows: DataFrame, entries: int = ENTRIES, least: int = 6, least_weight: float = 2.5) -> Lexicon:
-    """Entries that mark label 1 in ``rows`` (text, label), and exception phrases."""
+    """Entries that mark label 1 in ``rows`` (text, label), and exception phrases.
+
+    A pattern is an entry if at least ``least`` documents labelled 1 hold it and its weight, the
+    logarithm of how many times likelier documents labelled 1 are to hold it, is ``least_weight`` or
+    more; of these the ``entries`` heaviest stay. Every pattern is weighed, in Spark. Exceptions are
+    phrases of an entry and a neighbour that at least ``least`` documents labelled 0 hold and at most
+    a quarter of whose documents are labelled 1; the ``entries`` most frequent stay.
+    """
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n_one, n_zero = sizes.get(1, 0), sizes.get(0, 0)
-    often = _counted(rows.where("label = 1"), patterns).where(F.col("n") >= least)
-    wanted = {r["pattern"] for r in often.orderBy(F.desc("n"), "pattern").limit(10 * entries).collect()}
-    if not wanted:
-        return Lexicon({})
-
-    def odds(one: int, both: int) -> float:
-        return float(np.log((one + 0.5) / (n_one + 1)) - np.log((both - one + 0.5) / (n_zero + 1)))
-
-    weights = {r["pattern"]: odds(r["n_one"], r["n"]) for r in _counted(rows, patterns, wanted).collect()}
-    heavy = sorted((-w, p) for p, w in weights.items() if w >= least_weight)[:entries]
-    lexicon = Lexicon({p: -w for w, p in heavy})
+    odds = F.log((F.col("n_one") + 0.5) / (n_one + 1)) - F.log((F.col("n") - F.col("n_one") + 0.5) / (n_zero + 1))
+    weighed = _counted(rows, patterns).where(F.col("n_one") >= least).withColumn("weight", odds)
+    heavy = weighed.where(F.col("weight") >= least_weight).orderBy(F.desc("weight"), "pattern").limit(entries)
+    lexicon = Lexicon({r["pattern"]: r["weight"] for r in heavy.collect()})
+    if not lexicon.weights:
+        return lexicon
     around = _counted(rows, Contexts(lexicon)).where(F.col("n") - F.col("n_one") >= least)
     around = around.where("n_one * 4 <= n").orderBy(F.desc("n"), "pattern").limit(entries)
     lexicon.exceptions = {r["pattern"] for r in around.collect()}

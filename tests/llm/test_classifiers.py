@@ -99,3 +99,44 @@ def test_folding_and_exceptions():
     assert found("idiot idiot scumbag SCUM idiots") == [3.0, 4.0, 5.0, 5.0]
     assert found("no idiot here, 1d1ot") == [5.0]
     assert found("") == [] and toxicity.Lexicon({}).automaton() is None
+
+
+def test_matches_by_brute_force():
+    """Every entry at every place, and every place in every exception, in plain loops."""
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        text = " " + " ".join("".join(rng.choice(list("ab"), rng.integers(1, 5))) for _ in range(12)) + " "
+        pick = lambda n: {text[i:j] for i, j in np.sort(rng.integers(0, len(text) + 1, (n, 2)), axis=1) if j > i and text[i] == " "}  # noqa: E731,B023
+        weights = {e: float(rng.integers(1, 9)) for e in pick(12)}
+        void = pick(4) - weights.keys()
+        want = {}
+        for entry_, weight in weights.items():
+            for i in range(len(text)):
+                if text.startswith(entry_, i):
+                    want[i] = max(weight, want.get(i, 0))
+        for phrase in void:
+            for i in range(len(text)):
+                if text.startswith(phrase, i):
+                    for k in range(i, i + len(phrase) - 1):
+                        want.pop(k, None)
+        assert toxicity.matches(toxicity.Lexicon(weights, void).automaton(), text) == want
+
+
+def test_many_exceptions_cost_no_more_than_their_number():
+    import time
+
+    automaton = toxicity.Lexicon({" bad ": 2.0, " x": 1.0}, {" not bad "}).automaton()
+    took = []
+    for n in (20_000, 80_000):
+        start = time.perf_counter()
+        found = toxicity.matches(automaton, " not bad x" * n + " ")
+        took.append(time.perf_counter() - start)
+        assert len(found) == n
+    assert took[1] < 12 * took[0]
+
+
+def test_every_pattern_is_weighed(spark, docs):
+    """A telling word stays in a lexicon of few entries however many neutral ones are more frequent."""
+    rows = [(f"{'foul' if k % 2 else 'fair'} " + " ".join(f"n{i}" for i in range(400)), k % 2) for k in range(40)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, label int"), entries=2)
+    assert set(lexicon.weights) == {" foul "}
