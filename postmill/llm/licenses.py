@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.rows import add_columns, find_column, quoted
+from postmill.llm.rows import add_columns, find_column, free_name, quoted
 
 # Notices by which texts name their license.
 TEMPLATES = {
@@ -332,5 +332,5 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str | tuple[str, ...]] =
     cues = cues_of(templates, cues)
     # Only texts with a cue are sent on; the others reach Python as null.
     cue = F.lower(text).rlike("|".join(re.escape(c) for c in cues)) if cues else F.lit(False)
-    marked = docs.withColumn("_cued", F.when(cue, text))
-    return add_columns(marked, {"_cued": "string"}, FIELDS, make).drop("_cued")
+    cued = free_name(docs, "cued")
+    return add_columns(docs.withColumn(cued, F.when(cue, text)), {cued: "string"}, FIELDS, make).drop(cued)

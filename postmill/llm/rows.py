@@ -25,6 +25,14 @@ def find_column(df: DataFrame, name: str) -> str:
     raise ValueError(f"no column {name} among {df.columns}")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def add_columns(docs: DataFrame, inputs: dict[str, str], fields: str, make: Make, keep: bool = True) -> DataFrame:
     """``docs`` with the columns ``fields``; a column that already has such a name is replaced.
 

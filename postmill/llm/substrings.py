@@ -15,7 +15,7 @@ the text itself determines, and a passage is cut alike in every document that ho
 
 Every step is a join or a sum by a fingerprint, so a passage that a third of all documents
 share costs rows in proportion to its occurrences. Step 1 uses 64-bit hashes as a filter;
-steps 2 and 3 decide by 128 bits. No group is gathered but the spans of one document. The
+steps 2 and 3 decide by two 64-bit hashes of the words. No group is gathered but the spans of one document. The
 texts are shuffled once: windows are read and documents cut from the same exchange, as both
 keep all columns.
 
@@ -181,14 +181,17 @@ def remove_repeats(
     spark: SparkSession, docs: DataFrame, n: int = 50, k: int = 10, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``docs`` with ``n_words``, ``n_removed`` and ``kept``, the words left over joined by a space."""
-    name = find_column(docs, text_col)
-    text = F.coalesce(quoted(name).cast("string"), F.lit(""))
-    others = [quoted(c) for c in docs.columns if c != name]
+    results = {f.split()[0] for f in FIELDS.split(", ")}
+    own = find_column(docs, text_col)
+    text = F.coalesce(quoted(own).cast("string"), F.lit(""))
     ids = F.coalesce(quoted(find_column(docs, id_col)).cast("long"), F.lit(LAST_ID)), F.xxhash64(text)
-    rows = docs.select(*others, quoted(name).cast("string").alias(name), ids[0].alias("_repeat_id"), ids[1].alias("_repeat_key"))
+    # Input columns go by number on the way, so that no name of theirs meets one used here.
+    kept = [c for c in docs.columns if c.lower() not in results]
+    numbered = [quoted(c).alias(f"c{i}") for i, c in enumerate(kept)]
+    rows = docs.select(*numbered, quoted(own).cast("string").alias("_text"), ids[0].alias("_repeat_id"), ids[1].alias("_repeat_key"))
     found = repeated_windows(spark, rows, n, k)
     spans = found.groupBy(F.col("id").alias("_repeat_id"), F.col("text_key").alias("_repeat_key"))
     spans = spans.agg(F.collect_set(F.struct("start", "size")).alias("_repeat_spans"))
-    joined = rows.join(spans, ["_repeat_id", "_repeat_key"], "left").select(*map(quoted, docs.columns), "_repeat_spans")
-    out = add_columns(joined, {text_col: "string", "_repeat_spans": "array<struct<start:int,size:int>>"}, FIELDS, _cut(n))
-    return out.drop("_repeat_spans")
+    joined = rows.join(spans, ["_repeat_id", "_repeat_key"], "left").drop("_repeat_id", "_repeat_key")
+    out = add_columns(joined, {"_text": "string", "_repeat_spans": "array<struct<start:int,size:int>>"}, FIELDS, _cut(n))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], "n_words", "n_removed", "kept")

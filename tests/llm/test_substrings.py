@@ -58,6 +58,10 @@ def test_empty_table_and_clashing_columns(spark, docs):
     assert frame.columns == ["doc_id", "text", "size", "start", "lang", "n_words", "n_removed", "kept"]
     assert {(r.doc_id, r.n_removed, r.size, r.lang) for r in frame.collect()} == {(1, 0, 3, "en"), (2, 12, 6, None)}
 
+    schema = "doc_id long, text string, _repeat_id long, _repeat_spans string, _REPEAT_key int, _text string, c0 int, id int"
+    frame = remove_repeats(spark, docs((1, PASSAGE, 9, "s", 1, "t", 5, 6), (2, PASSAGE, 8, "r", 2, "u", 7, 8), schema=schema), 8, 3)
+    assert {(r.doc_id, r.n_removed, r._repeat_id, r._repeat_spans, r._text, r.c0) for r in frame.collect()} == {(1, 0, 9, "s", "t", 5), (2, 12, 8, "r", "u", 7)}
+
 
 def test_query_on_whole_table(spark, documents):
     rows = [(r.doc_id, r.text) for r in documents.collect()]
