@@ -27,7 +27,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm.packing import RARE_SPACE, Encoder, byte_alphabet
+from postmill.llm.packing import LATIN_END, RARE_SPACE, Encoder, byte_alphabet
 from postmill.llm.words import slices
 from postmill.session import scratch_path
 
@@ -64,10 +63,9 @@ class ByteSide:
             self.bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         self.by_unit = self.encoder.by_unit
 
-    def __call__(self, text: str) -> list[int]:
-        if not self.by_unit or RARE_SPACE.search(text):
-            return np.frombuffer(self.encoder._whole(text), np.uint32).tolist()
-        return np.frombuffer(self.encoder._unit(text), np.uint32).tolist()
+    def __call__(self, text: str) -> np.ndarray:
+        quick = self.encoder.latin and not RARE_SPACE.search(text) and max(text) <= LATIN_END
+        return np.array(self.encoder.latin(text) if quick else self.encoder.tokenizer.encode(text, add_special_tokens=False).ids)
 
 
 class PieceSide:
@@ -83,107 +81,136 @@ class PieceSide:
             self.bytes.append(bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode())
         self.by_unit = not any(re.search(rb"[^ ] ", piece) for piece in self.bytes)
 
-    def __call__(self, text: str) -> list[int]:
-        return self.model.encode(text[1:])
-
-
-def groups(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> list[tuple[int, int, int, int]]:
-    """(from, to) in ``a`` and in ``b`` of the shortest stretches that end together; both have equal sums."""
-    found, i, j, n = [], 0, 0, len(a)
-    while i < n:
-        i0, j0 = i, j
-        left, right = size_a[a[i]], size_b[b[j]]
-        i, j = i + 1, j + 1
-        while left != right:
-            if left < right:
-                left += size_a[a[i]]
-                i += 1
-            else:
-                right += size_b[b[j]]
-                j += 1
-        found.append((i0, i, j0, j))
-    return found
+    def __call__(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode(text[1:]))
 
 
 class Units:
-    """What the units of texts come to on both sides, remembered by unit until ``limit`` of them."""
+    """What the units of texts come to on both sides, remembered until there are ``limit`` of them.
+
+    New units are encoded joined together, as no token reaches over a unit's end.
+    """
 
-    def __init__(self, a: ByteSide, b: PieceSide, limit: int = 300_000):
-        self.a, self.b, self.limit = a, b, limit
-        self.size_a, self.size_b = [len(x) for x in a.bytes], [len(x) for x in b.bytes]
+    def __init__(self, a: ByteSide, b: PieceSide, limit: int = 500_000):
+        self.sides, self.limit = (a, b), limit
         self.whole = not (a.by_unit and b.by_unit)
+        self.sizes = [np.array([len(x) for x in side.bytes]) for side in self.sides]
+        self.names = [
+            np.array([[f"{i}," for i in range(len(side.bytes))], [f"{i}{end}" for i in range(len(side.bytes))]], object)
+            for side, end in zip(self.sides, "|;")
+        ]
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.numbers: list[tuple[int, int, int, int]] = []
         self.text: list[str] = []
-        self.pairs: list[np.ndarray] = []
-        self.times: list[np.ndarray] = []
-
-    def of(self, text: str) -> list[int] | None:
-        """Units of a space and ``text``; None where either side spells something else."""
-        text = " " + text
-        names = [text] if self.whole or RARE_SPACE.search(text) else UNITS.findall(text)
-        found = [self.at[name] if name in self.at else self._add(name) for name in names]
-        return None if -1 in found else found
-
-    def _add(self, unit: str) -> int:
-        a, b, raw = self.a(unit), self.b(unit), unit.encode()
-        spelled = b"".join(map(self.a.bytes.__getitem__, a)) == raw == b"".join(map(self.b.bytes.__getitem__, b))
-        index = len(self.text) if spelled else -1
-        if spelled:
-            cuts = groups(a, b, self.size_a, self.size_b)
-            self.numbers.append((len(a), len(b), len(cuts), sum((i1 - i0) * (j1 - j0) for i0, i1, j0, j1 in cuts)))
-            self.text.append(
-                ";".join(",".join(map(str, a[i0:i1])) + "|" + ",".join(map(str, b[j0:j1])) for i0, i1, j0, j1 in cuts)
-            )
-            pairs, times = self._links(a, b, cuts)
-            self.pairs.append(pairs)
-            self.times.append(times)
-        self.at[unit] = index
-        return index
-
-    @staticmethod
-    def _links(a: list[int], b: list[int], cuts: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-        small: Counter = Counter()
-        pairs, times = [], []
-        for i0, i1, j0, j1 in cuts:
-            if (i1 - i0) * (j1 - j0) <= 256:
-                for x in a[i0:i1]:
-                    for y in b[j0:j1]:
-                        small[x << 32 | y] += 1
+        self.numbers = np.zeros((0, 4), np.int64)
+        self.first = np.zeros(1, np.int64)
+        self.pairs, self.links = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Units of the texts with a space before each, and where each text's begin.
+
+        A text without units is empty or one that either side spells otherwise.
+        """
+        if len(self.at) > self.limit:
+            self.clear()
+        names = []
+        for text in texts:
+            text = " " + text if text else ""
+            names.append([text] if text and (self.whole or RARE_SPACE.search(text)) else UNITS.findall(text))
+        self._add(list({name for mine in names for name in mine if name not in self.at}))
+        find = self.at.__getitem__
+        found = [list(map(find, mine)) for mine in names]
+        found = [[] if -1 in mine else mine for mine in found]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((u for mine in found for u in mine), np.int64, int(sizes.sum())), np.append(0, np.cumsum(sizes))
+
+    def _add(self, names: list[str], together: int = 1 << 16) -> None:
+        alone, joined = [], {True: [[]], False: [[]]}
+        held = {True: 0, False: 0}
+        for name in names:
+            if "▁" in name:
+                self.at[name] = -1
+            elif self.whole or name[-1].isspace() or RARE_SPACE.search(name):
+                alone.append([name])
             else:
-                x, n = np.unique(np.array(a[i0:i1], np.uint64), return_counts=True)
-                y, m = np.unique(np.array(b[j0:j1], np.uint64), return_counts=True)
-                pairs.append(((x << SIDE)[:, None] | y).ravel())
-                times.append((n[:, None] * m).ravel())
-        pairs.append(np.fromiter(small.keys(), np.uint64, len(small)))
-        times.append(np.fromiter(small.values(), np.int64, len(small)))
-        if len(pairs) == 1:
-            return pairs[0], times[0]
-        kinds, where = np.unique(np.concatenate(pairs), return_inverse=True)
-        return kinds, np.bincount(where, np.concatenate(times)).astype(np.int64)
-
-    def records(self, docs: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(pair, position of the document, links) for each pair of each document."""
-        sizes = np.fromiter(map(len, docs), np.int64, len(docs))
-        units = np.fromiter((u for d in docs for u in d), np.int64, int(sizes.sum()))
-        kinds, unit = np.unique(units, return_inverse=True)
-        held, repeats = np.unique(np.repeat(np.arange(len(docs)), sizes) * max(len(kinds), 1) + unit, return_counts=True)
-        doc, unit = held // max(len(kinds), 1), held % max(len(kinds), 1)
-        length = np.fromiter((len(self.pairs[k]) for k in kinds), np.int64, len(kinds))
-        if not length.sum():
+                kind = max(name) <= LATIN_END
+                joined[kind][-1].append(name)
+                held[kind] += len(name)
+                if held[kind] > together:
+                    joined[kind].append([])
+                    held[kind] = 0
+        new = [x for group in (*joined[True], *joined[False], *alone) if group for x in self._encoded(group)]
+        if new:
+            numbers, sizes, pairs, links = zip(*new)
+            self.numbers = np.concatenate([self.numbers, *numbers])
+            self.first = np.append(self.first, self.first[-1] + np.cumsum(np.concatenate(sizes)))
+            self.pairs, self.links = np.concatenate([self.pairs, *pairs]), np.concatenate([self.links, *links])
+
+    def _encoded(self, names: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        text = "".join(names)
+        raw, ids = text.encode(), [side(text) for side in self.sides]
+        if any(b"".join(map(side.bytes.__getitem__, mine.tolist())) != raw for side, mine in zip(self.sides, ids)):
+            if len(names) > 1:
+                return [x for name in names for x in self._encoded([name])]
+            self.at[text] = -1
+            return []
+        ends = np.cumsum([len(name.encode()) for name in names])
+        self.at.update(zip(names, range(len(self.text), len(self.text) + len(names))))
+        return [self._aligned(*ids, ends)]
+
+    def _aligned(self, a: np.ndarray, b: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers, and counted pairs, of units that end at the byte offsets ``ends``."""
+        end_a, end_b = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
+        stop_a = end_b[np.searchsorted(end_b, end_a)] == end_a
+        stop_b = end_a[np.searchsorted(end_a, end_b)] == end_b
+        group_a, group_b = np.cumsum(stop_a) - stop_a, np.cumsum(stop_b) - stop_b
+        in_a, in_b = np.bincount(group_a), np.bincount(group_b)
+        first_a, first_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
+        unit = np.searchsorted(ends, end_a[stop_a])
+        cut = np.searchsorted(unit, np.arange(len(ends) + 1))
+
+        def per_unit(values: np.ndarray) -> np.ndarray:
+            return np.add.reduceat(values, cut[:-1])
+
+        numbers = np.stack([per_unit(in_a), per_unit(in_b), np.diff(cut), per_unit(in_a * in_b)], axis=1)
+        out = np.empty(len(a) + len(b), object)
+        out[np.arange(len(a)) + first_b[group_a]] = self.names[0][stop_a.astype(int), a]
+        out[np.arange(len(b)) + (first_a + in_a)[group_b]] = self.names[1][stop_b.astype(int), b]
+        words, where = out.tolist(), np.append(0, np.cumsum(numbers[:, 0] + numbers[:, 1])).tolist()
+        self.text += ["".join(words[low:high]) for low, high in zip(where, where[1:])]
+
+        times = np.where(in_a * in_b <= 4096, in_b, 0)[group_a]
+        at = np.repeat(first_b[group_a] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
+        pairs = [np.repeat(a, times).astype(np.uint64) << SIDE | b[at].astype(np.uint64)]
+        owner, links = [np.repeat(unit[group_a], times)], [np.ones(len(at), np.int64)]
+        for g in np.flatnonzero(in_a * in_b > 4096):
+            x, n = np.unique(a[first_a[g] : first_a[g] + in_a[g]], return_counts=True)
+            y, m = np.unique(b[first_b[g] : first_b[g] + in_b[g]], return_counts=True)
+            pairs.append((x.astype(np.uint64)[:, None] << SIDE | y.astype(np.uint64)).ravel())
+            links.append((n[:, None] * m).ravel())
+            owner.append(np.full(len(x) * len(y), unit[g]))
+        owner, pairs, links = np.concatenate(owner), np.concatenate(pairs), np.concatenate(links)
+        order = np.lexsort((pairs, owner))
+        owner, pairs, links = owner[order], pairs[order], links[order]
+        start = np.flatnonzero(np.append(True, (pairs[1:] != pairs[:-1]) | (owner[1:] != owner[:-1])))
+        return numbers, np.bincount(owner[start], minlength=len(ends)), pairs[start], np.add.reduceat(links, start)
+
+    def records(self, units: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pair, position of the text, links) for each pair of each text."""
+        n, size = len(first) - 1, len(self.text) + 1
+        held, repeats = np.unique(np.repeat(np.arange(n), np.diff(first)) * size + units, return_counts=True)
+        doc, unit = held // size, held % size
+        count = self.first[unit + 1] - self.first[unit]
+        at = np.repeat(self.first[unit] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        if not len(at):
             return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pool, which = np.unique(np.concatenate([self.pairs[k] for k in kinds]), return_inverse=True)
-        times = np.concatenate([self.times[k] for k in kinds])
-        first, count = (np.cumsum(length) - length)[unit], length[unit]
-        at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
-        key = which[at] * len(docs) + np.repeat(doc, count)
-        order = np.argsort(key, kind="stable")
-        key, links = key[order], (times[at] * np.repeat(repeats, count))[order]
-        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        return pool[key[start] // len(docs)], key[start] % len(docs), np.add.reduceat(links, start)
+        doc, links = np.repeat(doc, count), self.links[at] * np.repeat(repeats, count)
+        order = np.lexsort((doc, self.pairs[at]))
+        pairs, doc, links = self.pairs[at][order], doc[order], links[order]
+        start = np.flatnonzero(np.append(True, (pairs[1:] != pairs[:-1]) | (doc[1:] != doc[:-1])))
+        return pairs[start], doc[start], np.add.reduceat(links, start)
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
@@ -264,15 +291,16 @@ def _tokenised(docs: DataFrame, path_a: str, path_b: str, parts: int, splits: in
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for low, high, data, offsets in slices(batch.column(1)):
-                raw, out, found = data.tobytes(), [], []
-                for d, (x, y) in enumerate(zip(offsets[:-1], offsets[1:])):
-                    mine = units.of(raw[x:y].decode()) if y > x else None
-                    found.append(mine or [])
-                    n = np.sum([units.numbers[u] for u in mine], axis=0).tolist() if mine else [0] * 4
-                    text = ";".join([units.text[u] for u in mine]).encode() if mine else None
-                    sha = hashlib.sha256(text).hexdigest() if mine else ""
-                    out.append((row + d, ids[low + d], *n, sha, None, None, None, None))
-                pairs, doc, links = units.records(found)
+                raw = data.tobytes()
+                found, first = units.of([raw[x:y].decode() for x, y in zip(offsets[:-1], offsets[1:])])
+                sums = np.vstack([np.zeros(4, np.int64), np.cumsum(units.numbers[found], axis=0)])
+                numbers = (sums[first[1:]] - sums[first[:-1]]).tolist()
+                names, out = found.tolist(), []
+                for d, (x, y) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+                    text = "".join([units.text[u] for u in names[x:y]])[:-1].encode()
+                    sha = hashlib.sha256(text).hexdigest() if y > x else ""
+                    out.append((row + d, ids[low + d], *numbers[d], sha, None, None, None, None))
+                pairs, doc, links = units.records(found, first)
                 if len(pairs):
                     waiting.append((pairs, doc + row, links))
                     held += len(pairs)
@@ -280,8 +308,6 @@ def _tokenised(docs: DataFrame, path_a: str, path_b: str, parts: int, splits: in
                 if held >= limit:
                     out += flush()
                     waiting, held = [], 0
-                if len(units.text) > units.limit:
-                    units.clear()
                 yield _batch(out, schema)
         if waiting:
             yield _batch(flush(), schema)
