@@ -9,9 +9,10 @@ from postmill.operators.geotag import geotag_extract, geotag_index_rows
 from postmill.operators.mentions import media_extract, mentions_ranking
 from postmill.operators.paging import page_by_position, with_positions
 from postmill.operators.upsert import new_rows
-from postmill.operators.volume import file_listing, index_refresh
-from postmill.schema import FILE_INDEX, GEO_INDEX
+from postmill.operators.volume import file_listing
+from postmill.schema import GEO_INDEX
 from postmill.session import scratch_folder
+from postmill.sinks.file_index import read_index, refresh_parts
 from postmill.sinks.snapshots import SnapshotStore
 from postmill.sources.tables import stored_files
 from postmill.sources.timeline import read_timeline
@@ -63,22 +64,23 @@ def load_geotag_index(store: SnapshotStore, event: str, run_ms: int) -> int:
 
 
 def refresh_file_index(store: SnapshotStore, landing: str, run_ms: int, folders: list[str] | None = None) -> int:
-    """Publish the file-offset index of all events after looking at the stored files.
+    """Bring the file-offset index of all events up to the stored files.
 
     ``folders`` limits the listing, for instance to the days since the last refresh; indexed
     files elsewhere keep their rows. Returns the row count.
     """
     listing = file_listing(stored_files(store.spark, folders or landing), landing)
-    if store.latest_run("event_index", "all") is None:
-        index = store.spark.createDataFrame([], FILE_INDEX)
-    else:
-        index = file_index(store)
-    return store.write(index_refresh(index, listing), "event_index", "all", run_ms)
+    refresh_parts(store.spark, _index_path(store), listing)
+    return file_index(store).count()
 
 
-def file_index(store: SnapshotStore) -> DataFrame:
-    """The newest file-offset index."""
-    return store.latest("event_index", "all", schema=FILE_INDEX)
+def _index_path(store: SnapshotStore) -> str:
+    return f"{store.root}/file_index"
+
+
+def file_index(store: SnapshotStore, events: list[str] | None = None) -> DataFrame:
+    """The file-offset index, of some events or of all."""
+    return read_index(store.spark, _index_path(store), events)
 
 
 def analyse_posts(store: SnapshotStore, posts: DataFrame, event: str, run_ms: int) -> dict[str, int]:

@@ -169,6 +169,7 @@ def _like(words: list[str], glue: str, negate: bool = False) -> str:
 
 WORDS = "SELECT CAST(doc_id AS VARCHAR) AS id_str FROM documents LEFT JOIN (SELECT page_id, html AS full_text FROM pages) ON page_id = doc_id WHERE "
 TREE = f"({_like(['the', 'with'], 'AND')} OR ({_like(['avec', 'dans'], 'OR')} AND {_like(['nicht'], 'AND', True)}))"
+RARE = f"(({_like(['apache', 'license'], 'AND')} AND {_like(['nicht'], 'AND', True)}) OR {_like(['all rights reserved'], 'AND')})"
 OF_THE = _like(["of the"], "AND")
 FIXED = (
     "ms BETWEEN 883612800000 AND 946684800000 AND lang = 'en' AND "
@@ -303,6 +304,7 @@ ORACLES = {
     "search_cached": f"WITH {BASE} SELECT id_str, text, CAST(ms AS VARCHAR) AS timestamp_ms, source, {USER} FROM text_posts WHERE {TREE}",
     "search_curated": f"""WITH {BASE} SELECT id_str, ms AS created_ms FROM text_posts
         WHERE ms BETWEEN 883612800000 AND 946684800000 AND lang = 'en' AND {TREE}""",
+    "search_indexed": f"WITH {BASE} SELECT id_str, ms AS created_ms FROM text_posts WHERE {RARE}",
     "page_meta": f"""WITH t AS (SELECT count(*) AS n FROM ({WORDS}{TREE}))
         SELECT 'storm' AS event_name, CAST(2 AS BIGINT) AS page, CAST(50 AS BIGINT) AS "count", CAST(n AS BIGINT) AS total_count,
         CAST(ceil(n / 50.0) AS BIGINT) AS num_pages, CAST(greatest(0, least(50, n - 50)) AS BIGINT) AS tweet_count,
@@ -441,5 +443,6 @@ ORACLES = {
 ORACLES |= {
     "geotag_load_twice": ORACLES["geotag_first"],
     "index_refresh_twice": ORACLES["index_refresh"],
+    "index_refresh_parts": ORACLES["index_refresh"],
     "snapshot_rows": ORACLES["media_extract"],
 }

@@ -18,7 +18,7 @@ from postmill.plans import fixtures as fx
 from postmill.plans import jobs
 from postmill.schema import FILE_INDEX, GEO_INDEX, TABLES
 from postmill.session import scratch_path
-from postmill.sinks import curated
+from postmill.sinks import curated, file_index, word_index
 from postmill.sinks.snapshots import SnapshotStore
 from postmill.sources import tables, timeline
 from postmill.streaming import collect, publish
@@ -42,6 +42,8 @@ FULL = PostQuery(
     hashtags="Machinery,BUILDING,1-urgent",
 )
 
+RARE = Predicate([Expression("ALLWORDS", "apache,license"), Expression("NOTWORDS", "nicht"), Expression("PHRASE", "all rights reserved", is_or=True)])
+
 
 # ---- projections and filters -------------------------------------------------
 
@@ -108,6 +110,17 @@ def search_curated(spark, d):
     return curated.search_curated(spark.read.parquet(path), query).select("id_str", "created_ms")
 
 
+def search_indexed(spark, d):
+    """Rare words over two stored batches, found through the index of letter groups."""
+    path = scratch_path(spark, "indexed")
+    posts = fx.text_posts(spark, d)
+    odd = F.col("id_str").cast("bigint") % 2 == 1
+    word_index.write_batch(posts.where(odd), path, "1", blocks=8)
+    word_index.write_batch(posts.where(~odd), path, "2", blocks=8)
+    found = word_index.search_indexed(spark, path, PostQuery([RARE]))
+    return found.select("id_str", "created_ms")
+
+
 def search_tweets(spark, d):
     page = search.search_page(fx.text_posts(spark, d), PostQuery([TREE]), page=2, count=50)
     return page.select(*projections.POST_FIELDS, "user.*")
@@ -392,6 +405,18 @@ def index_refresh_twice(spark, d):
     return store.latest("event_index", "all", schema=FILE_INDEX)
 
 
+def index_refresh_parts(spark, d):
+    """An index in parts that follows the files of each week, then all, some of them late."""
+    path = scratch_path(spark, "parts")
+    files = fx.hour_files(spark, d)
+    late = F.pmod(F.xxhash64("filename"), F.lit(50)) == 0
+    for until in ("2024-01-11 00:00:00", "2024-01-21 00:00:00"):
+        seen = files.where((F.col("hour") < F.to_timestamp(F.lit(until))) & ~late)
+        file_index.refresh_parts(spark, path, volume.file_listing(seen.select("filename")))
+    file_index.refresh_parts(spark, path, volume.file_listing(files.select("filename")))
+    return file_index.read_index(spark, path)
+
+
 def counts_by_column(spark, d):
     """Counts per day of a time column: every order one row of an index."""
     rows = fx.table(spark, d, "orders").select(
@@ -818,6 +843,7 @@ QUERIES = {
     "search_page_cached": search_page_cached,
     "collect_to_pages": collect_to_pages,
     "search_curated": search_curated,
+    "search_indexed": search_indexed,
     "page_meta": page_meta,
     "page_results": page_results,
     "page_by_position": page_by_position,
@@ -830,6 +856,7 @@ QUERIES = {
     "route_rules_null": route_rules_null,
     "geotag_load_twice": geotag_load_twice,
     "index_refresh_twice": index_refresh_twice,
+    "index_refresh_parts": index_refresh_parts,
     "counts_by_column": counts_by_column,
     "long_term_list": long_term_list,
     "event_create": event_create,

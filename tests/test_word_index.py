@@ -1,0 +1,115 @@
+import glob
+import itertools
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from postmill.operators.predicates import Expression, PostQuery, Predicate
+from postmill.sinks import word_index
+from postmill.sinks.curated import search_curated
+
+SCHEMA = "id_str string, created_at string, text string, lang string, extended_tweet struct<full_text:string>"
+
+
+def posts(spark, rows):
+    """Posts of (id, minute, short text, long text)."""
+    full = [(str(i), f"Mon Jan 01 10:{m:02d}:00 +0000 2024" if m is not None else None, t, "en", None if f is None else (f,)) for i, m, t, f in rows]
+    return spark.createDataFrame(full, SCHEMA)
+
+
+ROWS = [
+    *[(i, i % 60, f"common text number {i} about fire", None) for i in range(120)],
+    (200, 5, "a Zebra crossing", None), (201, 50, "nothing here", "long text with a ZEBRA in it"), (202, 30, None, "only long zebra"), (203, 20, None, None),
+    (204, None, "zebra without time", ""), (205, 11, "", "x"), (206, 12, "ab", None), (207, 40, "Été où naïve", None), (208, 41, "😀😀😀 zebra😀", None),
+]
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("indexed"))
+    frame = posts(spark, ROWS)
+    word_index.write_batch(frame.where("cast(id_str as int) % 2 = 0"), path, "2024", blocks=12)
+    word_index.write_batch(frame.where("cast(id_str as int) % 2 = 1"), path, "2025", blocks=12)
+    return path
+
+
+def ids(frame):
+    return sorted(r.id_str for r in frame.select("id_str").collect())
+
+
+def one(kind, text):
+    return PostQuery([Predicate([Expression(kind, text)])])
+
+
+QUERIES = [
+    one("ALLWORDS", "zebra"), one("ALLWORDS", "Zebra,crossing"), one("ANYWORDS", "zebra,number 7"), one("ANYWORDS", "zebra,ab"), one("NOTWORDS", "common"),
+    one("PHRASE", "a zebra"), one("ALLWORDS", "zebra,"), one("ANYWORDS", ",zebra"), one("PHRASE", "naïve"), one("PHRASE", "😀 zebra😀"), one("ALLWORDS", "fir"),
+    one("ALLWORDS", "missing word"), PostQuery(), PostQuery(language="en"), PostQuery([Predicate([Expression("ALLWORDS", "zebra")])], start_ms=1704103200000, end_ms=1704104400000),
+    PostQuery([Predicate([Expression("ALLWORDS", "zebra"), Expression("NOTWORDS", "crossing")]), Predicate([Expression("PHRASE", "number 77")], is_or=True)]),
+    PostQuery([Predicate([Expression("ALLWORDS", "zebra"), Expression("NOTWORDS", "fire", is_or=True)])]),
+    PostQuery([Predicate([Expression("ALLWORDS", "common"), Expression("ANYWORDS", "été,number 1", is_or=True), Expression("PHRASE", "où")]), Predicate([Expression("ANYWORDS", "e")])]),
+]
+
+
+@pytest.mark.parametrize("at", range(len(QUERIES)))
+def test_same_as_the_full_scan(spark, stored, at):
+    query = QUERIES[at]
+    assert ids(word_index.search_indexed(spark, stored, query)) == ids(search_curated(word_index.read_posts(spark, stored), query))
+
+
+def test_a_rare_word_opens_few_files(spark, stored, tmp_path):
+    """Files of other blocks could not even be read."""
+    copy = str(tmp_path / "copy")
+    word_index.write_batch(posts(spark, ROWS), copy, "1", blocks=30)
+    query = one("ALLWORDS", "zebra,crossing")
+    want = ids(word_index.search_indexed(spark, copy, query))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in word_index.read_posts(spark, copy).schema.fields)
+    groups = word_index._listed(spark, copy, "groups", word_index.GROUPS)
+    blocks = {r.block for r in word_index.candidate_blocks(groups, query).collect()}
+    files = glob.glob(f"{copy}/posts/*/*/*/*.parquet")
+    assert 0 < len(blocks) <= 2 and len(files) > 20
+    for file in files:
+        if not any(f"block={b}{os.sep}" in file for b in blocks):
+            with open(file, "wb") as broken:
+                broken.write(b"no parquet")
+            os.path.exists(crc := os.path.join(os.path.dirname(file), f".{os.path.basename(file)}.crc")) and os.remove(crc)
+    found = word_index.search_indexed(spark, copy, query, schema)
+    assert ids(found) == want == ["200"]
+    with pytest.raises(Exception, match="(?i)parquet|read"):
+        ids(word_index.read_posts(spark, copy, schema))
+
+
+def test_the_index_is_read_by_ranges_and_prunes_the_scan(spark, stored):
+    frame = word_index.search_indexed(spark, stored, one("PHRASE", "zebra crossing"))
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan and "PushedFilters: [In(group" in plan
+
+
+def test_batches_show_when_they_are_complete_and_can_be_written_again(spark, tmp_path):
+    path = str(tmp_path / "again")
+    word_index.write_batch(posts(spark, ROWS[:50]), path, "1", blocks=3)
+    os.makedirs(f"{path}/posts/batch=b2")
+    posts(spark, ROWS[50:]).write.mode("overwrite").parquet(f"{path}/posts/batch=b2")
+    assert word_index.read_posts(spark, path).count() == 50
+    for _ in range(2):
+        word_index.write_batch(posts(spark, ROWS[50:]), path, "2", blocks=4)
+        assert word_index.read_posts(spark, path).count() == len(ROWS)
+    assert ids(word_index.search_indexed(spark, path, one("ALLWORDS", "zebra"))) == sorted(str(r[0]) for r in ROWS if "zebra" in f"{r[2]} {r[3]}".lower())
+
+
+def test_needed_groups_are_implied_by_the_query(spark):
+    """A text that matches has all groups that are asked of its block."""
+    texts = ["abcdef", "xbcdefx", "ab cde", "", "bcde abcdef", "zzz"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    asked = 0
+    for (first, second), is_or in itertools.product([("abcdef,cde", "bcde"), ("bcde", "cde,abcdef"), ("ab", "abcdef")], (False, True)):
+        for kinds in itertools.permutations(["ALLWORDS", "ANYWORDS", "NOTWORDS"], 2):
+            query = PostQuery([Predicate([Expression(kinds[0], first), Expression(kinds[1], second, is_or)])])
+            needed = word_index.NeededGroups(query)
+            if needed.condition is not None:
+                asked += 1
+                hit = query.condition(F.col("text"), F.lit(None).cast("string"))
+                flags = {name: F.contains("text", F.lit(g)) for g, name in needed.groups.items()}
+                assert frame.withColumns(flags).where(hit & ~needed.condition).count() == 0
+    assert asked > 10
