@@ -8,6 +8,27 @@ from pyspark.sql import functions as F
 from postmill.operators.predicates import originals
 
 
+def mention_sums(posts: DataFrame, *by: str) -> DataFrame:
+    """Sums per mentioned account and name (and the columns ``by``), which add up over any parts of the posts."""
+    mention = originals(posts).select(*by, "retweet_count", "favorite_count", F.explode("entities.user_mentions").alias("m"))
+    return mention.groupBy(*by, F.col("m.id").alias("user_id"), F.col("m.screen_name").alias("name")).agg(
+        F.count("m.id").alias("n"),
+        F.sum("retweet_count").alias("retweets"),
+        F.sum("favorite_count").alias("likes"),
+    )
+
+
+def ranking_of(sums: DataFrame, ordered: bool = True) -> DataFrame:
+    """Ranking from ``mention_sums`` of parts that together are all posts."""
+    ranked = sums.groupBy("user_id").agg(
+        F.array_sort(F.collect_set("name")).alias("user"),
+        F.sum("n").alias("times_mentioned"),
+        F.sum("retweets").alias("total_retweets"),
+        F.sum("likes").alias("total_likes"),
+    )
+    return ranked.orderBy(F.desc("times_mentioned"), F.asc_nulls_last("user_id")) if ordered else ranked
+
+
 def mentions_ranking(posts: DataFrame, ordered: bool = True) -> DataFrame:
     """Per mentioned account: its names, times mentioned, sums of retweets and likes.
 
@@ -15,25 +36,7 @@ def mentions_ranking(posts: DataFrame, ordered: bool = True) -> DataFrame:
     group counted 0 times. Aggregating by (id, name) first folds a much-mentioned account
     to a few rows inside every map task, so the by-account shuffle carries no hot key.
     """
-    mention = originals(posts).select(
-        "retweet_count", "favorite_count", F.explode("entities.user_mentions").alias("m")
-    )
-    by_name = mention.groupBy(
-        F.col("m.id").alias("user_id"), F.col("m.screen_name").alias("_name")
-    ).agg(
-        F.count("m.id").alias("_n"),
-        F.sum("retweet_count").alias("_retweets"),
-        F.sum("favorite_count").alias("_likes"),
-    )
-    ranked = by_name.groupBy("user_id").agg(
-        F.array_sort(F.collect_set("_name")).alias("user"),
-        F.sum("_n").alias("times_mentioned"),
-        F.sum("_retweets").alias("total_retweets"),
-        F.sum("_likes").alias("total_likes"),
-    )
-    if not ordered:
-        return ranked
-    return ranked.orderBy(F.desc("times_mentioned"), F.asc_nulls_last("user_id"))
+    return ranking_of(mention_sums(posts), ordered)
 
 
 def media_extract(posts: DataFrame) -> DataFrame:

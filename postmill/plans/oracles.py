@@ -391,6 +391,10 @@ ORACLES = {
           UNION ALL SELECT CAST(page_id AS VARCHAR), 'page' FROM pages)
         SELECT * FROM target UNION ALL
         SELECT tweet_id, min(origin) FROM batch WHERE tweet_id NOT IN (SELECT tweet_id FROM target) GROUP BY tweet_id""",
+    "upsert_bucketed": """SELECT CAST(doc_id AS VARCHAR) AS tweet_id, 'label' AS origin FROM labels
+        UNION ALL SELECT CAST(doc_id AS VARCHAR), min(source) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY doc_id
+        UNION ALL SELECT CAST(page_id AS VARCHAR), 'page' FROM pages
+        WHERE page_id NOT IN (SELECT doc_id FROM labels) AND page_id NOT IN (SELECT doc_id FROM documents) GROUP BY page_id""",
     "slug_name": f"SELECT doc_id, {_slug('text')} AS slug FROM documents",
     "table_name": f"SELECT c_custkey, replace({_slug('c_name || chr(32) || lower(c_mktsegment)')}, '-', '_') AS table_name FROM customer",
     "canonical_words": f"SELECT doc_id, {_canonical('lower(text)')} AS words, {_canonical('text')} AS hashtags FROM documents",
@@ -420,6 +424,9 @@ ORACLES = {
     "scan_catalogue": f"""WITH {CATALOGUE} SELECT name, normalized_name, status, description, author, term AS keyword
         FROM cat JOIN term_rows USING (s_suppkey) WHERE cat.match_key = 'KEYWORDS'""",
     "adhoc_sql": f"WITH {BASE} SELECT lang, count(*) AS posts, count(full_text) AS long_posts FROM text_posts GROUP BY lang",
+    "event_table_drift": f"""WITH {BASE} SELECT lang, count(*) AS posts, count(full_text) AS long_posts,
+        CAST(sum(CASE WHEN doc_id % 2 = 0 THEN doc_id * 10 END) AS BIGINT) AS reach
+        FROM text_posts WHERE ms < 820454400000 GROUP BY lang""",
     "frame_lines": "SELECT CAST(doc_id AS VARCHAR) AS id_str FROM documents",
     "union_partitions": """SELECT 'documents' AS feed, CAST(doc_id AS VARCHAR) AS id, text FROM documents
         UNION ALL SELECT 'pages', CAST(page_id AS VARCHAR), html FROM pages
@@ -444,5 +451,6 @@ ORACLES |= {
     "geotag_load_twice": ORACLES["geotag_first"],
     "index_refresh_twice": ORACLES["index_refresh"],
     "index_refresh_parts": ORACLES["index_refresh"],
+    "mentions_stored": ORACLES["mentions_ranking"],
     "snapshot_rows": ORACLES["media_extract"],
 }

@@ -18,7 +18,7 @@ from postmill.plans import fixtures as fx
 from postmill.plans import jobs
 from postmill.schema import FILE_INDEX, GEO_INDEX, TABLES
 from postmill.session import scratch_path
-from postmill.sinks import curated, file_index, word_index
+from postmill.sinks import curated, event_table, file_index, keyed_table, mention_sums, word_index
 from postmill.sinks.snapshots import SnapshotStore
 from postmill.sources import tables, timeline
 from postmill.streaming import collect, publish
@@ -212,6 +212,19 @@ def mentions_ranking(spark, d):
     return _joined_names(mentions.mentions_ranking(fx.line_posts(spark, d)))
 
 
+def mentions_stored(spark, d):
+    """The ranking merged from sums by hour folder; the second hour comes in a later run."""
+    landed, root, sums = (scratch_path(spark, p) for p in ("landed", "stored", "sums"))
+    posts = fx.line_posts(spark, d)
+    later = F.pmod(F.xxhash64("id_str"), F.lit(2)) == 1
+    for run, part in enumerate((posts.where(~later), posts.where(later))):
+        lines = part.select(F.lit("storm").alias("event"), F.to_json(F.struct("*")).alias("value"))
+        collect.write_hourly(lines, f"{landed}/batch={run:012d}", F.timestamp_millis(F.lit(RUN_MS + run * 3_600_000)), 20_000)
+        publish.publish_landed(spark, landed, root, RUN_MS + run, 20_000)
+        mention_sums.refresh_sums(spark, sums, root, "storm")
+    return _joined_names(mention_sums.stored_ranking(spark, sums))
+
+
 def media_extract(spark, d):
     return mentions.media_extract(fx.line_posts(spark, d))
 
@@ -577,6 +590,20 @@ def upsert_ignore(spark, d):
     return upsert.insert_or_ignore(target, batch, ["tweet_id"], ["origin"])
 
 
+def upsert_bucketed(spark, d):
+    """The same two sources into a table stored in buckets, pages a batch after documents."""
+    target, documents, pages = (
+        fx.table(spark, d, name).select(F.col(key).cast("string").alias("tweet_id"), origin.alias("origin"))
+        for name, key, origin in (("labels", "doc_id", F.lit("label")), ("documents", "doc_id", F.col("source")), ("pages", "page_id", F.lit("page")))
+    )
+    path = scratch_path(spark, "keyed")
+    name = "keyed_" + path.rsplit("-", 1)[1]
+    keyed_table.create_keyed(target, name, ["tweet_id"], 8, path)
+    for batch in (documents, pages, documents):
+        keyed_table.insert_new(spark, name, batch, ["tweet_id"], 8, ["origin"], path)
+    return spark.table(name)
+
+
 # ---- text functions ------------------------------------------------------------
 
 def slug_name(spark, d):
@@ -676,6 +703,21 @@ def adhoc_sql(spark, d):
     )
 
 
+def event_table_drift(spark, d):
+    """SQL over a stored table whose second load brought a field; one language, days before 1996."""
+    path = scratch_path(spark, "events")
+    posts, even = fx.text_posts(spark, d), F.col("id_str").cast("bigint") % 2 == 0
+    value = F.to_json(F.struct("*")).alias("value")
+    event_table.load_lines(spark, path, "storm", posts.where(~even).select(value), 1)
+    more = posts.where(even).withColumn("reach", F.col("id_str").cast("bigint") * 10)
+    event_table.load_lines(spark, path, "storm", more.select(value), 2)
+    view = event_table.register_events(spark, path, "events_" + path.rsplit("-", 1)[1])
+    return spark.sql(
+        f"""SELECT lang, count(*) AS posts, count(extended_tweet.full_text) AS long_posts, sum(reach) AS reach
+        FROM {view} WHERE _day < '1996-01-01' GROUP BY lang"""
+    )
+
+
 def frame_lines(spark, d):
     path = scratch_path(spark, "feed")
     blank = fx.table(spark, d, "pages").select(F.lit("").alias("value"))
@@ -823,6 +865,7 @@ def scan_catalogue(spark, d):
 
 QUERIES = {
     "mentions_ranking": mentions_ranking,
+    "mentions_stored": mentions_stored,
     "media_extract": media_extract,
     "project_nested": project_nested,
     "project_tweet_user": project_tweet_user,
@@ -899,6 +942,7 @@ QUERIES = {
     "annotation_lookup": annotation_lookup,
     "annotation_delete": annotation_delete,
     "upsert_ignore": upsert_ignore,
+    "upsert_bucketed": upsert_bucketed,
     "slug_name": slug_name,
     "table_name": table_name,
     "canonical_words": canonical_words,
@@ -909,6 +953,7 @@ QUERIES = {
     "scan_quarantine": scan_quarantine,
     "scan_catalogue": scan_catalogue,
     "adhoc_sql": adhoc_sql,
+    "event_table_drift": event_table_drift,
     "frame_lines": frame_lines,
     "union_partitions": union_partitions,
     "stream_source": stream_source,
