@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from postmill.functions import geo
-from postmill.operators import geotag, volume
+from postmill.operators import geotag, routing, volume
 from postmill.operators.predicates import PostQuery
+from postmill.plans import fixtures as fx
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,13 +21,15 @@ def test_no_python_and_no_cartesian_product(spark, key):
     text = plan(entry.queries()[key](spark, SF))
     for node in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "CartesianProduct"):
         assert node not in text
-    if key != "route_rules":
-        assert "BroadcastNestedLoopJoin" not in text
+    assert "BroadcastNestedLoopJoin" not in text
 
 
-def test_routing_broadcasts_the_rules_only(spark):
-    text = plan(entry.queries()["route_rules"](spark, SF))
-    assert "BroadcastNestedLoopJoin LeftOuter" not in text and "BroadcastNestedLoopJoin Inner BuildRight" in text
+def test_routing_looks_rules_up_without_a_join(spark):
+    posts, rules = fx.raw_posts(spark, SF).select("value"), fx.rules(spark)
+    both = plan(routing.route_rules(posts, rules)), plan(posts)
+    for kind in ("Join", "Exchange"):
+        assert both[0].count(kind) == both[1].count(kind)
+    assert "NestedLoop" not in both[0]
 
 
 def test_filters_and_columns_reach_the_scan(spark, tmp_path):
