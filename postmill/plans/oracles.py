@@ -432,6 +432,7 @@ ORACLES = {
         UNION ALL SELECT 'pages', CAST(page_id AS VARCHAR), html FROM pages
         UNION ALL SELECT 'benchmark', CAST(item_id AS VARCHAR), text FROM benchmark
         UNION ALL SELECT 'conversations', CAST(conv_id AS VARCHAR), text FROM conversations""",
+    "stream_feed": "SELECT CAST(doc_id AS VARCHAR) AS id_str, lang FROM documents",
     "stream_source": "SELECT CAST(doc_id AS VARCHAR) AS id_str, lang FROM documents",
     "stream_sink": "SELECT 'turn-' || conv_id || '-' || turn AS id_str, text FROM conversations",
     "collect_to_pages": f"""WITH {ROUTED} SELECT event, 'count' AS kind, count(*) AS n FROM routed GROUP BY event

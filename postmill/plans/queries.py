@@ -21,7 +21,7 @@ from postmill.session import scratch_path
 from postmill.sinks import curated, event_table, file_index, keyed_table, mention_sums, word_index
 from postmill.sinks.snapshots import SnapshotStore
 from postmill.sources import tables, timeline
-from postmill.streaming import collect, publish
+from postmill.streaming import collect, feed, publish
 
 RUN_MS = 1704067200000
 BOX = (50.0, -120.0, 10.0, 60.0)
@@ -739,6 +739,17 @@ def _feeds(spark, d):
     ]
 
 
+def stream_feed(spark, d):
+    """A live feed of four partitions with keep-alives, read to its end as a stream."""
+    root, out, mark = (scratch_path(spark, p) for p in ("feed", "out", "checkpoint"))
+    blank = fx.table(spark, d, "pages").select(F.lit("").alias("value"))
+    lines = fx.raw_posts(spark, d).select("value").unionByName(blank)
+    lines.repartition(4).write.option("lineSep", "\r\n").text(root)
+    posts = feed.read_feed(spark, root).select(parse_post(F.col("value"), "id_str string, lang string").alias("p")).select("p.*")
+    collect.drain(posts.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark))
+    return spark.read.schema("id_str string, lang string").parquet(out)
+
+
 def union_partitions(spark, d):
     return timeline.union_partitions(_feeds(spark, d))
 
@@ -957,6 +968,7 @@ QUERIES = {
     "frame_lines": frame_lines,
     "union_partitions": union_partitions,
     "stream_source": stream_source,
+    "stream_feed": stream_feed,
     "stream_sink": stream_sink,
     "land_hourly": land_hourly,
     "restart_exactly_once": restart_exactly_once,
