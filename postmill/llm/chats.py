@@ -16,7 +16,7 @@ written as null; of calls with one id the first (turn, place) counts and later o
 ``duplicate``; of several results the first counts; results without a call are ``orphan``; a
 need that no call has is ignored; calls that need each other have level -1; calls without an
 id are ``unlinked``; a tool without schema makes its calls invalid; an empty table gives an
-empty result. Other columns are ignored.
+empty result. Texts of any length are taken whole. Other columns are ignored.
 """
 
 from __future__ import annotations

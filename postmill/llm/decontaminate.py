@@ -14,7 +14,7 @@ shared folder between blocks, so a task never holds more than one.
 Defined results: a null text has no words; a null or repeated id is judged row by row; items
 without words are never found; items with equal ids count once; an item with a null id counts
 in the hits and their spans but is not listed among the ids; an empty benchmark
-or an empty table gives zeros or no rows. Input columns are passed through, those named like
+or an empty table gives zeros or no rows; texts of any length are taken whole. Input columns are passed through, those named like
 a result are replaced.
 """
 

@@ -15,7 +15,8 @@ Buckets and parts have bounded sizes and their number grows with the text. An n-
 its part once per bucket however often it occurs, so frequent n-grams are no hot keys.
 
 Defined results: a null or empty text has no words, sum 0 and mean null; a null or repeated id
-is scored row by row; an empty table gives an empty result. Other columns are ignored. Words
+is scored row by row; an empty table gives an empty result; a text of any length is taken
+whole, one longer than a bucket as a bucket of its own. Other columns are ignored. Words
 are runs of letters and digits with A-Z in lower case.
 """
 

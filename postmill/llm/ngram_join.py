@@ -14,7 +14,8 @@ smallest id of its local component; no row is made per pair.
 
 Defined results: null and empty texts have no shingles and link with nothing, nor does a row
 with a null id; rows with one id are one node of the graph; copies count as links; an empty
-table gives an empty result. Other columns are ignored.
+table gives an empty result. Other columns are ignored. Texts of any length are taken
+whole: a task holds at most two tiles of texts.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ it is read, without a shuffle.
 
 Defined results: null and empty texts have all statistics 0 and get that row's score; without
 labels every score is 0.5; rows with a null id are in no fold (``held_out`` false) and never
-train; repeated rows are scored alike. Input columns are passed through, those named like a
+train; repeated rows are scored alike, texts of any length whole; an empty table gives an
+empty result. Input columns are passed through, those named like a
 result are replaced.
 """
 
