@@ -21,7 +21,7 @@ keep all columns.
 
 Defined results: a null text has no words; a null id counts as later than every other, and
 rows with equal ids are not earlier than each other; rows equal in id and text are judged
-alike; an empty table gives an empty result. Input columns are passed through, those named
+alike; an empty table gives an empty result; texts of any length are taken whole. Input columns are passed through, those named
 like a result are replaced.
 """
 
@@ -187,11 +187,12 @@ def remove_repeats(
     ids = F.coalesce(quoted(find_column(docs, id_col)).cast("long"), F.lit(LAST_ID)), F.xxhash64(text)
     # Input columns go by number on the way, so that no name of theirs meets one used here.
     kept = [c for c in docs.columns if c.lower() not in results]
-    numbered = [quoted(c).alias(f"c{i}") for i, c in enumerate(kept)]
+    numbered = [quoted(c).alias(f"c{i}") for i, c in enumerate(kept) if c != own]
     rows = docs.select(*numbered, quoted(own).cast("string").alias("_text"), ids[0].alias("_repeat_id"), ids[1].alias("_repeat_key"))
     found = repeated_windows(spark, rows, n, k)
     spans = found.groupBy(F.col("id").alias("_repeat_id"), F.col("text_key").alias("_repeat_key"))
     spans = spans.agg(F.collect_set(F.struct("start", "size")).alias("_repeat_spans"))
     joined = rows.join(spans, ["_repeat_id", "_repeat_key"], "left").drop("_repeat_id", "_repeat_key")
     out = add_columns(joined, {"_text": "string", "_repeat_spans": "array<struct<start:int,size:int>>"}, FIELDS, _cut(n))
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], "n_words", "n_removed", "kept")
+    back = [F.col("_text" if c == own else f"c{i}").alias(c) for i, c in enumerate(kept)]
+    return out.select(*back, "n_words", "n_removed", "kept")
