@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from postmill.llm import decontaminate, ngram_join, packing, quality, substrings
 from postmill.llm.queries import read, vocabulary
 from postmill.operators.paging import with_positions
-from postmill.session import scratch_path
+from postmill.session import scratch_folder, scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -32,17 +32,18 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     without id, which the join does not compare.
     """
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select(*COLUMNS).withColumns({"hash_a": F.xxhash64(text), "hash_b": F.xxhash64(F.lit(1), text)})
-    named = keyed.where("doc_id is not null").groupBy("doc_id", "hash_a", "hash_b")
-    named = named.agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row"))
-    # The join names its classes by position in (id, text hash).
-    folder = scratch_path(spark, "near-duplicates")
-    ranked = with_positions(named, ["doc_id", "hash_a", "hash_b"], f"{folder}/ranked")
-    ranked.select("position", "doc_id", "row.*").write.parquet(f"{folder}/named")
-    ranked = spark.read.parquet(f"{folder}/named")
-    joined = ngram_join.jaccard_join(spark, ranked, id_col="position")
-    kept = joined.where("doc_id = component_id").select(F.col("doc_id").alias("position"))
-    return ranked.join(kept, "position").select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    key = ["doc_id", "hash_a", "hash_b"]
+    keyed = docs.where("doc_id is not null").select(*COLUMNS).withColumns({"hash_a": F.xxhash64(text), "hash_b": F.xxhash64(F.lit(1), text)})
+    # The join names its classes by position in (id, text hash); texts stay out of the ranking.
+    path = scratch_path(spark, "near-duplicates")
+    with scratch_folder(spark, "ranked") as folder:
+        with_positions(keyed.select(*key).distinct(), key, folder).write.parquet(path)
+    ranked = spark.read.schema("doc_id long, hash_a long, hash_b long, position long").parquet(path)
+    joined = ngram_join.jaccard_join(spark, keyed.join(ranked, key).select("position", "text"), id_col="position")
+    kept = joined.where("doc_id = component_id").select(F.col("doc_id").alias("position")).distinct()
+    stay = keyed.join(ranked.join(kept, "position").drop("position"), key)
+    rows = stay.groupBy(*key).agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row")).select("doc_id", "row.*")
+    return rows.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
