@@ -16,6 +16,8 @@ from postmill.schema import COVID19, FOLLOWS, POST_ACCOUNTS
 # Every task holds the rules as a table while there are at most this many conditions in this many bytes.
 MAX_TABLE_CONDITIONS = 100_000
 MAX_TABLE_BYTES = 8 << 20
+# So few rules are all tested on every post, which costs less than its letter groups.
+MAX_DIRECT = 32
 # Bits of the map of keys in use, and parts that the posts of one key are dealt to.
 KEY_BITS = 1 << 20
 LANES = 16
@@ -122,8 +124,11 @@ def route_rules(
     prepared = posts.select("*", F.lower(value).alias("_low"), (accounts(F.col(value)) if size.follows else _no_texts()).alias("_ids"))
     # Slots count from 1; keys without a rule in their slot are gone before anything is tested.
     slot = F.transform(offered_keys("_low", "_ids", size.lengths), lambda key: (F.pmod(F.xxhash64(key), F.lit(slots)) + 1).cast("int"))
-    met = prepared.withColumn("_slots", F.array_distinct(F.filter(slot, lambda k: F.size(F.element_at(table, k)) > 0)))
-    held = F.flatten(F.transform("_slots", lambda k: F.element_at(table, k)))
+    if size.n <= MAX_DIRECT:
+        met, held = prepared, F.flatten(table)
+    else:
+        met = prepared.withColumn("_slots", F.array_distinct(F.filter(slot, lambda k: F.size(F.element_at(table, k)) > 0)))
+        held = F.flatten(F.transform("_slots", lambda k: F.element_at(table, k)))
     passed = F.filter(held, lambda rule: _passes(rule, F.col("_low"), F.col("_ids")))
     events = F.array_distinct(F.concat(every, F.flatten(F.transform(passed, lambda rule: rule["events"]))))
     return met.withColumn("event", F.explode(events)).select("event", *source)
