@@ -88,9 +88,10 @@ def geo_box_query(
 def match_boxes(index: DataFrame, boxes: DataFrame, resolution: int = 4, *box_key: str) -> DataFrame:
     """Index rows per box of a table of boxes: equi join of hash prefix and box cover.
 
-    A cell belongs to a box once, so a row meets a box at most once. The cover may be
-    large, so the join strategy is left to Spark's size statistics and skew handling.
+    A cell belongs to a box once, so a row meets a box at most once. Spark's statistics take
+    the cover for as small as the boxes it is generated from, and would broadcast it; it is
+    merged instead, and hot cells are split by Spark's skew handling.
     """
-    cover = geo.geohash_cover(boxes, resolution, name="_prefix").select(*box_key, "_prefix")
+    cover = geo.geohash_cover(boxes, resolution, name="_prefix").select(*box_key, "_prefix").hint("merge")
     tagged = index.withColumn("_prefix", F.substring("geo_hash", 1, resolution))
     return tagged.join(cover, "_prefix").drop("_prefix")

@@ -92,3 +92,11 @@ def test_latest_files_are_trimmed_before_the_shuffle(spark):
     files = spark.range(1000).select(F.substring(name, 1, 1).alias("event"), name.alias("filename"))
     text = plan(volume.latest_files(files)).split("\n\n")[0]
     assert text.count("WindowGroupLimit") == 2
+
+
+def test_a_cover_is_never_broadcast(spark):
+    """The size Spark reckons with is that of a few boxes, not of their many cells."""
+    index = spark.range(100).select(F.lit("s00000").alias("geo_hash"), "id")
+    boxes = spark.createDataFrame([(1, 50.0, -10.0, 40.0, 10.0)], "box int, nw_lat double, nw_lon double, se_lat double, se_lon double")
+    text = plan(geotag.match_boxes(index, boxes, 4, "box"))
+    assert "SortMergeJoin" in text and "Broadcast" not in text
