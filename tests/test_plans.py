@@ -1,5 +1,7 @@
 """Properties of physical plans that matter at scale."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,7 +98,19 @@ def test_latest_files_are_trimmed_before_the_shuffle(spark):
 
 def test_a_cover_is_never_broadcast(spark):
     """The size Spark reckons with is that of a few boxes, not of their many cells."""
-    index = spark.range(100).select(F.lit("s00000").alias("geo_hash"), "id")
+    index = spark.range(100).select(F.concat(F.lit("s00"), "id").alias("geo_hash"), "id")
     boxes = spark.createDataFrame([(1, 50.0, -10.0, 40.0, 10.0)], "box int, nw_lat double, nw_lon double, se_lat double, se_lon double")
     text = plan(geotag.match_boxes(index, boxes, 4, "box"))
     assert "SortMergeJoin" in text and "Broadcast" not in text
+
+
+@pytest.mark.parametrize("columns", [["text"], ["html", "full_text"]])
+def test_text_posts_shuffle_each_text_once(spark, columns):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(fx.text_posts(spark, SF))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    moved = re.findall(r"Exchange\nInput \[\d+\]: \[(.*)\]", text)
+    assert len(moved) >= 4 and sum(any(f"{c}#" in x for c in columns) for x in moved) == 1
