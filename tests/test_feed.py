@@ -106,3 +106,18 @@ def test_batches_are_limited_and_offsets_never_go_back(tmp_path):
     values = [v for s in stretches for _, _, v in reader.read(s)]
     assert values == [f"{i:03d}" for i in range(26)] + ["a message longer than the limit"]
     assert feed.FeedReader({"path": str(tmp_path), "maxbytes": "12"}).latestOffset() == {"a": 163}
+
+
+def test_what_is_there_at_the_start_is_read_by_many_tasks(tmp_path):
+    data = b"".join(b"%03d\r\n" % i for i in range(20)) + b"\r\na message longer than the limit\r\n" + b"last\r\n"
+    (tmp_path / "a").write_bytes(data + b"open")
+    (tmp_path / "b").write_bytes(b"b\r\n")
+    reader = feed.FeedReader({"path": str(tmp_path), "maxbytes": "12"})
+    end = reader.latestOffset()
+    stretches = reader.partitions({}, end)
+    own = [s for s in stretches if s.feed == "a"]
+    assert end == {"a": len(data), "b": 3} and len(own) > 10 and max(s.end - s.start for s in own) == 33
+    assert own[0].start == 0 and own[-1].end == len(data) and all(a.end == b.start for a, b in zip(own, own[1:]))
+    assert [v for s in own for _, _, v in reader.read(s)] == [f"{i:03d}" for i in range(20)] + ["a message longer than the limit", "last"]
+    assert reader.partitions({"a": 5, "b": 3}, end)[0] == feed.Stretch("a", 5, 15)
+    assert reader.partitions(end, end) == []
