@@ -130,3 +130,18 @@ def test_pages_read_from_landed_files(spark, tmp_path):
 def test_kafka_needs_its_connector(spark):
     with pytest.raises(Exception, match="(?i)kafka"):
         collect.kafka_source(spark, "localhost:1", "KEYWORDS")
+
+
+def test_a_line_of_several_events_is_moved_once(spark, tmp_path):
+    """The rows that reach the write's shuffle are lines, not pairs of line and event."""
+    from postmill.operators.routing import route_sets
+
+    several = rules(spark, ("b", "COVID19", ""), ("a", "KEYWORDS", "fire,rain"), ("c", "KEYWORDS", "rain"))
+    lines = spark.createDataFrame([('{"t":"fire"}',), ('{"t":"rain"}',), ('{"t":"x"}',), (None,)], "value string")
+    sets = route_sets(lines, several)
+    assert sorted((r.events, r.value) for r in sets.where("value is not null").collect()) == [(["a", "b"], '{"t":"fire"}'), (["a", "b", "c"], '{"t":"rain"}'), (["b"], '{"t":"x"}')]
+    assert route_sets(lines, rules(spark, ("c", "KEYWORDS", "rain"))).count() == 1
+    assert sorted(r.events for r in route_sets(lines, several, max_conditions=1).collect()) == [["a"]] * 2 + [["b"]] * 4 + [["c"]]
+    root = str(tmp_path / "out")
+    collect.write_hourly(sets, f"{root}/batch=000000000000", now())
+    assert texts(spark, root, "a") == ["fire", "rain"] and texts(spark, root, "c") == ["rain"]
