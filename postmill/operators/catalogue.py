@@ -64,7 +64,8 @@ def gather_terms(rows: DataFrame, keys: list[str], distinct: bool = False, chunk
     A list of at most ``chunk_bytes`` is one text, chunk 0. The terms of a longer one are
     dealt to as many chunks by their hash, so that no list is too long and no task gathers
     more than about one chunk; repetitions of a term are folded to counts first and split
-    likewise.
+    likewise. Only keys with a longer list are looked up, one short row for each: there are
+    fewer of them than the terms hold ``chunk_bytes``, so they are broadcast and no term moves by key alone.
     """
     if distinct:
         counted = rows.select(*keys, "term").distinct().withColumn("_n", F.lit(1).cast("bigint"))
@@ -74,7 +75,8 @@ def gather_terms(rows: DataFrame, keys: list[str], distinct: bool = False, chunk
     chunks = F.ceil(F.sum(size * F.col("_n")) / chunk_bytes).cast("bigint")
     lists = counted.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(chunks.alias("_chunks"))
     same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    placed = counted.join(lists, same).select(*keys, "term", "_n", "_chunks")
+    placed = counted.join(F.broadcast(lists.where("_chunks > 1")), same, "left")
+    placed = placed.select(*keys, "term", "_n", F.coalesce("_chunks", F.lit(1).cast("bigint")).alias("_chunks"))
     # A term with very many copies is cut into pieces that fit a chunk.
     most = F.greatest(F.floor(F.lit(chunk_bytes) / size), F.lit(1))
     placed = placed.select("*", most.alias("_most"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / most))).alias("_piece"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from postmill.functions import geo
-from postmill.operators import geotag, routing, volume
+from postmill.operators import catalogue, geotag, routing, volume
 from postmill.operators.predicates import PostQuery
 from postmill.plans import fixtures as fx
 
@@ -114,3 +114,17 @@ def test_text_posts_shuffle_each_text_once(spark, columns):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     moved = re.findall(r"Exchange\nInput \[\d+\]: \[(.*)\]", text)
     assert len(moved) >= 4 and sum(any(f"{c}#" in x for c in columns) for x in moved) == 1
+
+
+def test_long_lists_never_move_by_key_alone(spark):
+    """All terms of a key in one task would be the whole of a long list."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        terms = spark.range(1000).select((F.col("id") % 2).cast("string").alias("match_key"), F.col("id").cast("string").alias("term"))
+        text = plan(catalogue.gather_terms(terms, ["match_key"], chunk_bytes=64))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    moved = re.findall(r"Exchange\nInput \[\d+\]: \[(.*)\]\nArguments: hashpartitioning\((.*), \d+\)", text)
+    carried = [by for columns, by in moved if "term#" in columns]
+    assert carried and all("term#" in by or "chunk#" in by for by in carried)
