@@ -1,6 +1,7 @@
 import glob
 import json
 import os
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,3 +69,24 @@ def test_failed_runs_publish_once(spark, tmp_path, monkeypatch, after):
     publish.publish_landed(spark, landed, root, 1, rows_per_file=10)
     assert ids(spark, root) == [f"{i:04}" for i in range(30)]
     assert publish.publish_landed(spark, landed, root, 2) == 0
+
+
+def test_files_are_moved_side_by_side(spark, tmp_path, monkeypatch):
+    """A store that answers late must not be asked for one file after the other."""
+    both, moved = threading.Barrier(2), []
+
+    class Late:
+        def mkdirs(self, folder):
+            return True
+
+        def exists(self, source):
+            return source.toString() not in moved
+
+        def rename(self, source, target):
+            both.wait(20)
+            moved.append(source.toString())
+            return True
+
+    monkeypatch.setattr(publish, "_files", lambda spark, root: Late())
+    moves = spark.createDataFrame([(f"s/{i}", f"e/2024/{i}.json.gz", 1) for i in range(2)], publish.PLAN)
+    assert publish._move(spark, moves, str(tmp_path)) == 2 and sorted(moved) == ["s/0", "s/1"]
