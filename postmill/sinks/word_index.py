@@ -20,13 +20,25 @@ from postmill.operators.predicates import ANYWORDS, NOTWORDS, Expression, PostQu
 from postmill.sinks.curated import curate, search_curated
 
 LENGTHS = (3, 5)
+# A word with the space after it and, ahead of the next word, as many letters as a group can reach
+# into it; very long words go in stretches.
+PIECES = rf"(?s)(?=(\S{{0,24}}+\s{{0,4}}+.{{0,{max(LENGTHS) - 1}}}))\S{{0,24}}+\s{{0,4}}+"
 GROUPS = "group bigint, block string"
 BATCHES = "batch string"
 
 
-def letter_groups(lowered: Column, n: int) -> Column:
-    """Distinct overlapping groups of ``n`` letters; none for a null text."""
-    found = F.regexp_extract_all(lowered, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+def letter_groups(piece: Column, n: int) -> Column:
+    """Hashes of the overlapping groups of ``n`` letters of a short piece, which is cut at each letter."""
+    starts = F.when(F.length(piece) >= n, F.sequence(F.lit(1), F.length(piece) - F.lit(n - 1)))
+    return F.coalesce(F.transform(starts, lambda i: F.xxhash64(F.substr(piece, i, F.lit(n)))), F.array().cast("array<bigint>"))
+
+
+def text_pieces(lowered: Column) -> Column:
+    """Distinct short pieces that together hold the same letter groups as the text; none for a null text.
+
+    Words recur far more often than texts do, so that a block has few pieces to take groups from.
+    """
+    found = F.regexp_extract_all(lowered, F.lit(PIECES), F.lit(1))
     return F.coalesce(F.array_distinct(found), F.array().cast("array<string>"))
 
 
@@ -42,8 +54,9 @@ def write_batch(posts: DataFrame, path: str, batch: str, blocks: int | None = No
     placed.write.mode("overwrite").partitionBy("month", "block").parquet(f"{path}/posts/batch=b{batch}")
     stored = spark.read.schema(placed.schema).parquet(f"{path}/posts/batch=b{batch}")
     texts = [F.lower("text"), F.lower("extended_tweet.full_text")]
-    groups = F.array_distinct(F.transform(F.concat(*[letter_groups(t, n) for t in texts for n in LENGTHS]), lambda g: F.xxhash64(g)))
-    held = stored.select(F.explode(groups).alias("group"), "block").distinct()
+    pieces = stored.select(F.explode(F.concat(*[text_pieces(t) for t in texts])).alias("piece"), "block").distinct()
+    groups = F.concat(*[letter_groups(F.col("piece"), n) for n in LENGTHS])
+    held = pieces.select(F.explode(groups).alias("group"), "block").distinct()
     held = held.repartitionByRange("group", "block").sortWithinPartitions("group", "block")
     held.write.mode("overwrite").parquet(f"{path}/groups/batch=b{batch}")
     listed = spark.createDataFrame([(f"b{batch}",)], BATCHES)

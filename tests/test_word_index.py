@@ -113,3 +113,17 @@ def test_needed_groups_are_implied_by_the_query(spark):
                 flags = {name: F.contains("text", F.lit(g)) for g, name in needed.groups.items()}
                 assert frame.withColumns(flags).where(hit & ~needed.condition).count() == 0
     assert asked > 10
+
+
+def test_pieces_of_a_text_hold_its_letter_groups(spark):
+    """Groups are taken from few short pieces, also where words are very long, doubled or of one letter."""
+    odd = ["", " ", "ab", "a b c d e f", "  two  spaces\n\n\n\n\n\nand lines ", "x" * 100 + "y" * 30, "\U0001f600 caf\u00e9 \u4f60\u597d" * 9, "0123456789" * 7 + " " * 40 + "z", None]
+    rows = spark.createDataFrame([(t,) for t in odd], "text string").select("text", word_index.text_pieces(F.col("text")).alias("pieces"))
+    for row in rows.collect():
+        text = row.text or ""
+        for n in word_index.LENGTHS:
+            want = {text[i : i + n] for i in range(len(text) - n + 1)}
+            assert {p[i : i + n] for p in row.pieces for i in range(len(p) - n + 1)} == want
+        assert all(len(p) <= 32 for p in row.pieces)
+    repeated = spark.createDataFrame([("same words again " * 1000,)], "text string").select(word_index.text_pieces(F.col("text")).alias("p"))
+    assert len(repeated.first().p) < 10
