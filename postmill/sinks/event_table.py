@@ -1,7 +1,7 @@
 """Stored tables of events whose schema is found from the data and follows it.
 
 Each load brings the JSON lines of an event. Their schema is one aggregate over all of them (merged
-in every task first) and is merged with that of the loads before: new fields are added,
+in every task first, while they are staged) and is merged with that of the loads before: new fields are added,
 also nested ones; where a type changed, the stored one stays, the change is listed as drift and the
 lines of that load are kept beside the typed post. Rows are Parquet by event and day, so SQL over
 one day of an event reads that folder, and of it the columns that are asked for.
@@ -16,13 +16,15 @@ import json
 import re
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postmill.functions.times import created_ms
+from postmill.session import scratch_folder
 
 SCHEMAS = "schema string"
+LINES = "value string, good boolean"
 DRIFT = "field string, kind string, stored string, seen string"
 ADDED, CHANGED = "added", "changed"
 # Names in back quotes stay as they are; what follows are the type names of variants.
@@ -35,8 +37,16 @@ def detect_schema(lines: DataFrame, value: str = "value") -> T.StructType:
 
     Numbers with a fraction are doubles, fields of several types texts.
     """
-    objects = lines.where(F.startswith(F.ltrim(value), F.lit("{")))
-    found = objects.agg(F.schema_of_variant_agg(F.try_parse_json(value)).alias("s")).first().s
+    return _fields(lines.agg(F.schema_of_variant_agg(_object(F.col(value))).alias("s")).first().s)
+
+
+def _object(value: Column) -> Column:
+    """The JSON object of a line; null if it holds none."""
+    return F.when(F.startswith(F.ltrim(value), F.lit("{")), F.try_parse_json(value))
+
+
+def _fields(found: str | None) -> T.StructType:
+    """The fields that ``schema_of_variant_agg`` found."""
     if not found or not found.startswith("OBJECT<") or found == "OBJECT<>":
         return T.StructType()
     ddl = _TYPES.sub(lambda m: m[0] if m[0].startswith("`") else _AS.get(m[0], "DOUBLE"), found)
@@ -80,21 +90,30 @@ def merge_types(stored: T.DataType, seen: T.DataType, field: str = "") -> tuple[
 
 
 def load_lines(spark: SparkSession, path: str, event: str, lines: DataFrame, load: int) -> list[tuple[str, str, str | None, str]]:
-    """Store the JSON lines (``value``) of an event as load number ``load``; returns its drift."""
-    lines = lines.where(F.trim("value") != "").select("value")
+    """Store the JSON lines (``value``) of an event as load number ``load``; returns its drift.
+
+    The lines are worked out once, with their schema on the way, and kept until the load is stored.
+    """
+    with scratch_folder(spark, "event-lines") as folder:
+        seen = Observation()
+        parsed = lines.where(F.trim("value") != "").select("value", _object(F.col("value")).alias("object"))
+        parsed = parsed.observe(seen, F.schema_of_variant_agg("object").alias("fields"))
+        parsed.select("value", F.col("object").isNotNull().alias("good")).write.parquet(folder)
+        return _store(spark, path, event, spark.read.schema(LINES).parquet(folder), _fields(seen.get["fields"]), load)
+
+
+def _store(spark: SparkSession, path: str, event: str, lines: DataFrame, seen: T.StructType, load: int) -> list[tuple[str, str, str | None, str]]:
     before = _schema(spark, path, load)
-    schema, drift = merge_types(before or T.StructType(), detect_schema(lines))
-    good = F.startswith(F.ltrim("value"), F.lit("{")) & F.try_parse_json("value").isNotNull()
-    lines.where(~F.coalesce(good, F.lit(False))).write.mode("overwrite").text(f"{path}/bad/load={load}")
+    schema, drift = merge_types(before or T.StructType(), seen)
+    lines.where("not good").select("value").write.mode("overwrite").text(f"{path}/bad/load={load}")
     changed = any(kind == CHANGED for _, kind, *_ in drift)
     post = F.from_json("value", schema) if schema.fields else F.lit(None).cast("struct<none:string>")
     created = next((f.name for f in schema.fields if f.name == "created_at"), None)
     day = F.date_format(F.timestamp_millis(created_ms(F.col(f"post.{created}"))), "yyyy-MM-dd") if created else F.lit(None).cast("string")
-    rows = lines.where(good).select(post.alias("post"), (F.col("value") if changed else F.lit(None).cast("string")).alias("line"))
+    rows = lines.where("good").select(post.alias("post"), (F.col("value") if changed else F.lit(None).cast("string")).alias("line"))
     rows = rows.select(F.lit(event).alias("event"), day.alias("day"), "post", "line")
-    rows.repartition("event", "day", F.pmod(F.xxhash64("post.created_at" if created else "line"), F.lit(32))).write.mode("overwrite").partitionBy(
-        "event", "day"
-    ).parquet(f"{path}/rows/load={load}")
+    # A day is one file, a busy one as many as it fills.
+    rows.hint("rebalance", "event", "day").write.mode("overwrite").partitionBy("event", "day").parquet(f"{path}/rows/load={load}")
     listed = drift if before else []
     spark.createDataFrame(listed, DRIFT).coalesce(1).write.mode("overwrite").parquet(f"{path}/drift/load={load}")
     spark.createDataFrame([(schema.json(),)], SCHEMAS).coalesce(1).write.mode("overwrite").parquet(f"{path}/schema/load={load}")

@@ -74,3 +74,14 @@ def test_loads_show_when_complete_and_replace_themselves(spark, tmp_path):
     assert sorted(r.id for r in et.read_events(spark, path).select("post.id").collect()) == [1, 5]
     et.load_lines(spark, path, "empty", lines(spark), 3)
     assert et.read_events(spark, path).count() == 2
+
+
+def test_lines_are_worked_out_once_and_a_day_is_one_file(spark, tmp_path):
+    path, seen = str(tmp_path / "events"), spark.sparkContext.accumulator(0)
+    texts = [json.dumps({"id": i, "created_at": f"Mon Jan 0{1 + i % 2} 00:00:{i:02} +0000 2024"}) for i in range(40)] + ["bad"]
+    rows = spark.sparkContext.parallelize(texts, 4).map(lambda text: (seen.add(1), (text,))[1])
+    et.load_lines(spark, path, "storm", spark.createDataFrame(rows, "value string"), 1)
+    assert seen.value == len(texts)
+    assert [len(glob.glob(f"{path}/rows/load=1/event=storm/day=2024-01-0{d}/*.parquet")) for d in (1, 2)] == [1, 1]
+    assert et.read_events(spark, path).count() == 40
+    assert [r.value for r in spark.read.text(f"{path}/bad/load=1").collect()] == ["bad"]
