@@ -11,7 +11,9 @@ the text itself determines, and a passage is cut alike in every document that ho
    joined neighbours of that kind are the long factors.
 3. At the boundaries of factors, and in passages cut differently, the blocks left over are
    checked window by window, if another document has a block of that name left over too. The
-   first holder of a window always has it left over, so nothing is missed.
+   first holder of a window always has it left over, so nothing is missed. A window that a
+   document repeats is one row with all its places, so a run of one word or line costs a row
+   for each different window of a period, however long it is.
 
 Every step is a join or a sum by a fingerprint, so a passage that a third of all documents
 share costs rows in proportion to its occurrences. Step 1 uses 64-bit hashes as a filter;
@@ -39,6 +41,7 @@ from postmill.llm.words import U64, Words, prefix_hash, slices, span_hash
 from postmill.session import scratch_path
 
 FIELDS = "n_words long, n_removed long, kept string"
+SPANS = "array<struct<start:int,size:int>>"
 LAST_ID = 2**63 - 1
 
 
@@ -93,7 +96,7 @@ def _blocks(rows: DataFrame, n: int, k: int) -> DataFrame:
 
 
 def _windows(rows: DataFrame, n: int) -> DataFrame:
-    """128-bit fingerprints of the windows that the last column asks for.
+    """The different windows that the last column asks for, with a 128-bit fingerprint and all their places.
 
     The columns before it are the text, the id and the key of the text; others are not used.
     """
@@ -110,13 +113,29 @@ def _windows(rows: DataFrame, n: int) -> DataFrame:
                 at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + start[row]
                 window = at + words.first[doc[row]]
                 prints = (span_hash(prefix_hash(words.hashes(i), i), window, window + n, i).view(np.int64) for i in (0, 1))
-                own = pa.array(doc[row] + low)
+                own, heads, spans, prints = _places(doc[row], at, *prints)
+                own = pa.array(own[heads] + low)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(own), keys.take(own), pa.array(at.astype(np.int32)), *map(pa.array, prints)],
-                    ["id", "text_key", "start", "window_a", "window_b"],
+                    [ids.take(own), keys.take(own), spans, *(pa.array(p[heads]) for p in prints)],
+                    ["id", "text_key", "spans", "window_a", "window_b"],
                 )
 
-    return rows.mapInArrow(run, "id long, text_key long, start int, window_a long, window_b long")
+    return rows.mapInArrow(run, f"id long, text_key long, spans {SPANS}, window_a long, window_b long")
+
+
+def _places(doc: np.ndarray, at: np.ndarray, *prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array, list[np.ndarray]]:
+    """Documents and fingerprints in order, the first row of each different one, its runs of neighbouring places."""
+    order = np.lexsort((at, *prints, doc))
+    doc, at, *prints = (x[order] for x in (doc, at, *prints))
+    new = np.ones(len(at), bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in (doc, *prints)], axis=0)
+    apart = new.copy()
+    apart[1:] |= at[1:] != at[:-1] + 1
+    runs, heads = np.flatnonzero(apart), np.flatnonzero(new)
+    places = (at[runs], np.diff(np.append(runs, len(at))))
+    places = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in places], ["start", "size"])
+    ends = np.searchsorted(runs, np.append(heads, len(at))).astype(np.int32)
+    return doc, heads, pa.ListArray.from_arrays(pa.array(ends), places), prints
 
 
 def _stored(spark: SparkSession, rows: DataFrame) -> DataFrame:
@@ -127,7 +146,7 @@ def _stored(spark: SparkSession, rows: DataFrame) -> DataFrame:
 
 
 def repeated_windows(spark: SparkSession, rows: DataFrame, n: int, k: int) -> DataFrame:
-    """(id, text_key, start, size): runs of windows of ``rows`` that an earlier id holds.
+    """(id, text_key, spans): runs of windows of ``rows`` that an earlier id holds, several to a row.
 
     The last columns of ``rows`` are the text, ``_repeat_id`` and ``_repeat_key``.
     """
@@ -145,9 +164,8 @@ def repeated_windows(spark: SparkSession, rows: DataFrame, n: int, k: int) -> Da
     asked = asked.agg(F.collect_set(F.struct("start", "size")).alias("_repeat_asked"))
     left = _windows(rows.join(asked, ids).select(*map(quoted, rows.columns), "_repeat_asked"), n)
     first = left.groupBy("window_a", "window_b").agg(F.min("id").alias("holder"), F.max("id").alias("last")).where("holder < last")
-    single = left.join(first, ["window_a", "window_b"]).where("holder < id")
-    single = single.select("id", "text_key", "start", F.lit(1).alias("size"))
-    return placed.where("held").select("id", "text_key", "start", "size").unionByName(single)
+    single = left.join(first, ["window_a", "window_b"]).where("holder < id").select("id", "text_key", "spans")
+    return placed.where("held").select("id", "text_key", F.array(F.struct("start", "size")).alias("spans")).unionByName(single)
 
 
 def _cut(n: int):
@@ -191,8 +209,8 @@ def remove_repeats(
     rows = docs.select(*numbered, quoted(own).cast("string").alias("_text"), ids[0].alias("_repeat_id"), ids[1].alias("_repeat_key"))
     found = repeated_windows(spark, rows, n, k)
     spans = found.groupBy(F.col("id").alias("_repeat_id"), F.col("text_key").alias("_repeat_key"))
-    spans = spans.agg(F.collect_set(F.struct("start", "size")).alias("_repeat_spans"))
+    spans = spans.agg(F.flatten(F.collect_set("spans")).alias("_repeat_spans"))
     joined = rows.join(spans, ["_repeat_id", "_repeat_key"], "left").drop("_repeat_id", "_repeat_key")
-    out = add_columns(joined, {"_text": "string", "_repeat_spans": "array<struct<start:int,size:int>>"}, FIELDS, _cut(n))
+    out = add_columns(joined, {"_text": "string", "_repeat_spans": SPANS}, FIELDS, _cut(n))
     back = [F.col("_text" if c == own else f"c{i}").alias(c) for i, c in enumerate(kept)]
     return out.select(*back, "n_words", "n_removed", "kept")

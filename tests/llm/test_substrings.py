@@ -1,9 +1,10 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from postmill.llm.substrings import remove_repeats
+from postmill.llm.substrings import remove_repeats, repeated_windows
 from tests.llm.conftest import SMALL, words_of
 
 LAST = 2**63 - 1
@@ -51,6 +52,17 @@ def test_same_as_brute_force(spark, docs, case, n, k):
     assert found(remove_repeats(spark, docs(*CASES[case]), n, k)) == brute(CASES[case], n)
 
 
+@pytest.mark.parametrize("period", [1, 3])
+def test_window_repeated_in_a_document_is_one_row(spark, docs, period):
+    """Runs of few words cost rows by their different windows, not by their length, and each is removed whole."""
+    rows = [(i, f"a{i} b{i} " + " ".join(f"la{j % period}" for j in range(600)) + f" c{i} " + PASSAGE + f" d{i}") for i in range(20)]
+    frame = docs(*rows)
+    keyed = frame.select("text", F.col("doc_id").alias("_repeat_id"), F.xxhash64("text").alias("_repeat_key"))
+    runs = repeated_windows(spark, keyed, 8, 3)
+    assert runs.count() <= 19 * (period + 5)
+    assert found(remove_repeats(spark, frame, 8, 3)) == brute(rows, 8)
+
+
 def test_empty_table_and_clashing_columns(spark, docs):
     assert remove_repeats(spark, docs()).count() == 0
     schema = "doc_id long, text string, kept int, N_WORDS int, size int, start string, lang string"
