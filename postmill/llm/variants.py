@@ -15,7 +15,8 @@ word (typing errors whose right form is known); ``one_in=None`` leaves texts as
 
 The dictionary has less than ``3 * frequent`` entries whatever the number of words, since a frequent gram
 covers more than that share of all places; it is the only thing sent to every task. Counts are
-folded before shuffles; lists are joined, so that Spark's skew handling splits long ones. A chain of forms
+folded before shuffles; lists are joined, so that Spark's skew handling splits long ones. All joins merge:
+by file size Spark would take words, and the lists made of them, for small and broadcast them. A chain of forms
 has at most as many steps as the largest count has bits, and is followed by doubling.
 
 Defined results: null and empty texts have no words; a null id is an empty text in the checksum;
@@ -136,9 +137,9 @@ def _lists(words: DataFrame, frequent: dict[str, int], shift: int) -> DataFrame:
 def near_words(words: DataFrame, frequent: dict[str, int]) -> DataFrame:
     """(a, b): pairs of words one inserted, deleted or replaced letter apart, each once."""
     kept = _lists(words, frequent, 0)
-    longer = _lists(words, frequent, 1).select("key", F.col("word").alias("a")).join(kept.select("key", F.col("word").alias("b")), "key")
+    longer = _lists(words, frequent, 1).select("key", F.col("word").alias("a")).hint("merge").join(kept.select("key", F.col("word").alias("b")), "key")
     other = _lists(words, frequent, 0).select("key", F.col("word").alias("b"))
-    equal = kept.select("key", F.col("word").alias("a")).join(other, "key").where("a < b")
+    equal = kept.select("key", F.col("word").alias("a")).hint("merge").join(other, "key").where("a < b")
     met = longer.select("a", "b").unionByName(equal.select("a", "b"))
     return met.where(F.levenshtein("a", "b", 1) == 1).distinct()
 
@@ -167,12 +168,12 @@ def group_variants(
     near_words(words, frequent_grams(words, frequent)).write.parquet(f"{folder}/near")
     near = spark.read.schema("a string, b string").parquet(f"{folder}/near")
     both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counted = both.join(words.select(F.col("word").alias("b"), "n"), "b")
+    counted = both.hint("merge").join(words.select(F.col("word").alias("b"), "n"), "b")
     best = counted.groupBy(F.col("a").alias("word")).agg(
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("n")).alias("less"), F.col("b").alias("form"))).alias("best")
     )
     strong = -F.col("best.less") >= factor * F.col("n")
-    found = words.join(best, "word", "left").select(
+    found = words.hint("merge").join(best, "word", "left").select(
         "word",
         "n",
         F.coalesce("n_near", F.lit(0)).alias("n_near"),
@@ -185,6 +186,6 @@ def group_variants(
     most = found.agg(F.max("n")).first()[0] or 0
     for step in range(max(most, 1).bit_length().bit_length()):
         onward = ends.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        ends.join(onward, "root", "left").select("word", F.coalesce("next", "root").alias("root")).write.parquet(f"{folder}/ends-{step}")
+        ends.hint("merge").join(onward, "root", "left").select("word", F.coalesce("next", "root").alias("root")).write.parquet(f"{folder}/ends-{step}")
         ends = spark.read.schema("word string, root string").parquet(f"{folder}/ends-{step}")
-    return found.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.hint("merge").join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

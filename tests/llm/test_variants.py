@@ -104,6 +104,15 @@ def test_lists_are_short_where_words_share_grams(spark):
     assert near.count() < 5 * 20_000
 
 
+def test_nothing_is_broadcast(spark, docs):
+    """Words and lists grow with the corpus, and Spark takes both for smaller than they are."""
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1b")
+    try:
+        assert plain(group_variants(spark, docs(*ROWS))) == brute(ROWS)
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
 def test_empty_table_other_columns_and_options(spark, docs):
     assert group_variants(spark, docs()).count() == 0
     schema = "doc_id long, text string, word string, n int, id string, form string"
