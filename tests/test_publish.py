@@ -1,13 +1,16 @@
 import glob
 import json
 import os
+import random
+import re
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from postmill.operators.volume import bucket_counts
-from postmill.plans import jobs
+from postmill.plans import jobs, queries
 from postmill.sinks.snapshots import SnapshotStore
 from postmill.sources.tables import read_page
 from postmill.sources.timeline import read_timeline
@@ -90,3 +93,106 @@ def test_files_are_moved_side_by_side(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(publish, "_files", lambda spark, root: Late())
     moves = spark.createDataFrame([(f"s/{i}", f"e/2024/{i}.json.gz", 1) for i in range(2)], publish.PLAN)
     assert publish._move(spark, moves, str(tmp_path)) == 2 and sorted(moved) == ["s/0", "s/1"]
+
+
+def land_uneven(spark, landed):
+    """One large event and nine small ones in two batches; (event, value) of all lines."""
+    rng = random.Random(1)
+    rows = [("big", json.dumps({"id_str": str(i), "text": rng.randbytes(300).hex()})) for i in range(400)]
+    rows += [(f"e{i % 9}", json.dumps({"id_str": str(i)})) for i in range(90)]
+    for n in range(2):
+        part = spark.createDataFrame(rows[n::2], "event string, value string")
+        collect.write_hourly(part, f"{landed}/batch={n:012d}", F.timestamp_millis(F.lit(CLOCK)), 50)
+    return rows
+
+
+def published(spark, root, rows):
+    events = sorted({e for e, _ in rows})
+    return sorted((e, r.id_str) for e in events for r in read_timeline(spark, root, e).collect())
+
+
+@pytest.mark.parametrize(("lost", "keep"), [("_divide", True), ("_gather", False), ("_move", False), ("_remove", False)])
+def test_parts_publish_once(spark, tmp_path, monkeypatch, lost, keep):
+    """A large hour and dealt small ones, with a run lost in every step of the second part."""
+    landed, root = str(tmp_path / "landed"), str(tmp_path / "stored")
+    rows = land_uneven(spark, landed)
+    want = sorted((e, json.loads(v)["id_str"]) for e, v in rows)
+    monkeypatch.setattr(publish, "PART_BYTES", 1)
+    monkeypatch.setattr(publish, "PARTS", 8)
+    left, step, calls = [], getattr(publish, lost), []
+
+    def fails(*args):
+        out = step(*args)
+        calls.append(lost)
+        if len(calls) == (1 if lost == "_divide" else 2):
+            raise RuntimeError("lost")
+        return out
+
+    monkeypatch.setattr(publish, lost, fails)
+    with pytest.raises(RuntimeError):
+        publish.publish_landed(spark, landed, root, 1, 40, keep)
+    monkeypatch.setattr(publish, lost, step)
+    move = publish._move
+    monkeypatch.setattr(publish, "_move", lambda *a: left.append(len(glob.glob(f"{landed}/*/event=*/**/*.gz", recursive=True))) or move(*a))
+    count = publish.publish_landed(spark, landed, root, 1, 40, keep)
+    names = glob.glob(f"{root}/*/2024/01/01/00/*.json.gz")
+    assert len(names) == count == len(set(names)) and published(spark, root, rows) == want
+    assert max(int(re.search(r"-(\d+)\.json", n)[1]) for n in names) <= 40
+    assert len(left) > 1 and (left[-1] == left[0] if keep else left[-1] < 10)
+    assert bool(glob.glob(f"{landed}/*/event=*/**/*.gz", recursive=True)) == keep
+    assert publish.publish_landed(spark, landed, root, 2) == 0
+
+
+def test_a_large_hour_is_not_shuffled(spark, tmp_path, monkeypatch):
+    landed, root, plans = str(tmp_path / "landed"), str(tmp_path / "stored"), {}
+    rows = land_uneven(spark, landed)
+    monkeypatch.setattr(publish, "PART_BYTES", 1)
+    monkeypatch.setattr(publish, "PARTS", 2)
+
+    def gather(lines, staging, rows_per_file, alone=None, run=publish._gather):
+        before = last_shuffle(spark)
+        run(lines, staging, rows_per_file, alone)
+        plans[alone.part if alone else None] = last_shuffle(spark) - before - 1
+
+    monkeypatch.setattr(publish, "_gather", gather)
+    publish.publish_landed(spark, landed, root, 1, 40)
+    assert plans == {"big/2024/01/01/00": 0, None: 1} and len(published(spark, root, rows)) == len(rows)
+
+
+def last_shuffle(spark):
+    """A new number for a shuffle; each shuffle takes the next one."""
+    return spark.sparkContext._jsc.sc().newShuffleId()
+
+
+def written_blocks(spark):
+    """Names of the shuffle files that are on disk now."""
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return set(re.findall(r"shuffle_\d+_\d+", blocks.mkString(",")))
+
+
+def test_shuffles_of_landing_go_with_it(spark, tmp_path):
+    """Shuffle files would else stay until the driver collects its garbage, all of them together."""
+    before = written_blocks(spark)
+    land_uneven(spark, str(tmp_path / "landed"))
+    until = time.time() + 5
+    while written_blocks(spark) - before and time.time() < until:
+        time.sleep(0.1)
+    assert not written_blocks(spark) - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_feed_and_landed_lines_do_not_stay(spark, monkeypatch):
+    """What a step has taken over is gone before the next one makes its own copy."""
+    shared, seen = spark.conf.get("spark.checkpoint.dir"), []
+    before, publish_landed = set(os.listdir(f"{shared}/postmill")) if os.path.isdir(f"{shared}/postmill") else set(), publish.publish_landed
+
+    def watched(*args, **kwargs):
+        seen.extend(x for x in os.listdir(f"{shared}/postmill") if x not in before)
+        return publish_landed(*args, **kwargs)
+
+    monkeypatch.setattr(publish, "publish_landed", watched)
+    found = queries.collect_to_pages(spark, "/root/testdata/sf0.001").collect()
+    assert len([r for r in found if r.kind == "position"]) == 50 and {r.event for r in found if r.kind == "count"} >= {"everything", "fire"}
+    assert seen and not [x for x in seen if x.startswith("feed-")]
+    (landed,) = (x for x in seen if x.startswith("landed-"))
+    assert not glob.glob(f"{shared}/postmill/{landed}/**/*.gz", recursive=True)
